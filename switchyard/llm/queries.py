@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
+from switchyard.llm.packing import Packing, pack
+from switchyard.llm.sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,22 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), Packing(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_dedup": op6_minhash_dedup}
+    return {f.__name__: f for f in (op4_curve_packing, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
