@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.packing import Packing, pack
+from switchyard.llm.secrets import secret_report
 from switchyard.llm.sharding import shard
 
 
@@ -20,6 +21,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +40,7 @@ def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_curve_packing, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
+    return {f.__name__: f for f in (op2_secret_battery, op4_curve_packing, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
