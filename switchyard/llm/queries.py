@@ -11,12 +11,17 @@ from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.packing import Packing, pack
 from switchyard.llm.secrets import secret_report
 from switchyard.llm.sharding import shard
+from switchyard.llm.urls import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_battery, op4_curve_packing, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
+    return {f.__name__: f for f in (op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
