@@ -11,6 +11,7 @@ from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.packing import Packing, pack
 from switchyard.llm.secrets import secret_report
 from switchyard.llm.sharding import shard
+from switchyard.llm.toxicity import toxicity_report
 from switchyard.llm.urls import url_verdicts
 
 
@@ -26,6 +27,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
+    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
