@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.packing import Packing, pack
+from switchyard.llm.quality_qda import quality_report
+from switchyard.llm.quality_rules import judged
 from switchyard.llm.secrets import secret_report
 from switchyard.llm.sharding import shard
 from switchyard.llm.toxicity import toxicity_report
@@ -41,6 +43,10 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), Packing(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +55,12 @@ def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op8_decontamination, op9_splitter_sharding)}
+    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op7_weak_supervision, op8_decontamination, op9_splitter_sharding, op10_quadratic_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
