@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.text import WordHashes, mixed, shingle_set, shingles, texts
+from switchyard.llm.text import WordHashes, kept, mixed, shingle_set, shingles, texts
 
 ROWS = "doc_id long, n_items long, n_hits long, item_ids array<long>, best_common long"
 
@@ -101,7 +101,7 @@ def item_blocks(benchmark: DataFrame, p: Containment) -> Iterator[list[tuple[int
     """Items with their sets, in blocks of at most ``block`` shingles (or one item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = kept("words", WordHashes)
         for batch in batches:
             sets = [shingle_set(t, cache, p.width).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["item_id", "s"])
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Containment = Contai
 
     def search(shared) -> DataFrame:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, block = WordHashes(), Block([(i, np.frombuffer(s, np.uint64)) for i, s in shared.value], p)
+            cache, block = kept("words", WordHashes), Block([(i, np.frombuffer(s, np.uint64)) for i, s in shared.value], p)
             for batch in batches:
                 hits = [block.found(shingles(t, cache, p.width)) for t in texts(batch.column(1))]
                 ids = [sorted({i for i, _ in h}) for h in hits]

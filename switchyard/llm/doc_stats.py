@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.text import WordHashes, mixed, texts
+from switchyard.llm.text import WordHashes, kept, mixed, texts
 
 SYMBOLS = b"#*$%&<>|"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -61,7 +61,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and ``LONGS`` for each row; a null text is empty, whose values are all 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = kept("words", WordHashes)
         for batch in batches:
             rows = np.array([statistics(t, cache) for t in texts(batch.column(1))], dtype=np.int64).reshape(-1, len(LONGS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], names=["doc_id", *LONGS])

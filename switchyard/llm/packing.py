@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.llm.scratch import stored
-from switchyard.llm.text import texts
+from switchyard.llm.text import kept, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
@@ -48,7 +48,7 @@ class Encoder:
     encoded whole.  The lookup tables are bounded.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 250_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,15 +67,11 @@ class Encoder:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.whole) > self.limit:
-            self.whole.clear()
-        if len(self.letters) > self.limit:
-            self.letters.clear()
         compound, rest = [], []
         for c in chunks:
             word = c[:-1] if c[-1:] in self.marks else c
             (compound if word.isalpha() or (word and word.decode().isalpha()) else rest).append((c, word))
-        new = list({word for _, word in compound} - self.letters.keys())
+        new = list({word for _, word in compound if word not in self.letters})
         if new:
             ids = np.frombuffer(self.direct([b" ".join(new).decode()])[0], dtype="<u2")
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -92,21 +88,14 @@ class Encoder:
 
     def encode(self, some: list[bytes], step: int = 500) -> Iterator[bytes]:
         for at in range(0, len(some), step):
+            for table in (self.whole, self.letters):
+                if len(table) > self.limit:
+                    table.clear()
             parts = [None if b"<|" in x else x.lower().split() for x in some[at : at + step]]
-            new = set().union(*(x for x in parts if x)) - self.whole.keys()
-            if new:
-                self.learn(new)
-            missing = set()
+            known = self.whole
+            self.learn({c for c in set().union(*(x for x in parts if x)) if c not in known})
             for text, chunks in zip(some[at : at + step], parts, strict=True):
-                if chunks is None:
-                    yield self.direct([text.decode()])[0]
-                    continue
-                try:
-                    yield b"".join(map(self.whole.__getitem__, chunks))
-                except KeyError:  # forgotten when the table was cleared
-                    missing = {c for c in chunks if c not in self.whole}
-                    self.learn(missing)
-                    yield b"".join([self.whole.get(c) or self.direct([c.decode()])[0] for c in chunks])
+                yield self.direct([text.decode()])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -140,7 +129,7 @@ def tokens(docs: DataFrame, p: Packing) -> DataFrame:
     """doc_id, curve (Hilbert key), ids (16-bit, without the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rng = Encoder(p.vocabulary), np.random.default_rng(p.seed)
+        encoder, rng = kept(("encoder", p.vocabulary), lambda: Encoder(p.vocabulary)), np.random.default_rng(p.seed)
         place, axes = rng.integers(0, p.buckets, 2**16), rng.standard_normal((p.buckets, p.dims)).astype(np.float32)
         for batch in batches:
             ids = list(encoder.encode(texts(batch.column(1))))

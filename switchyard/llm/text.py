@@ -6,6 +6,10 @@ lower-cases A-Z alone.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Hashable
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +35,15 @@ class WordHashes(dict):
         return value
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A bounded lookup table or the like that a worker process keeps from task to task, made on first use."""
+    store = sys.__dict__.setdefault("_switchyard_kept", {})
+    if key not in store:
+        store.clear()  # one operator's table at a time
+        store[key] = make()
+    return store[key]
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm.labelled import area, labels_of, logistic, remainder
 from switchyard.llm.scratch import stored
-from switchyard.llm.text import texts
+from switchyard.llm.text import kept, texts
 
 MARKS = b".,!?;:|#*$%&<>\"'()[]{}@^~`=_/\\+-"
 TAIL = b" \x01every window of a text ends alike\x02"
@@ -157,7 +157,7 @@ def toxicity(docs: DataFrame, model: Model, p: Distance = Distance()) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances, w = Windows(model.toxic, model.ordinary, p.level), np.array(model.weights)
+        distances, w = kept(("windows", model, p.level), lambda: Windows(model.toxic, model.ordinary, p.level)), np.array(model.weights)
         for batch in batches:
             x = np.array([features(t, distances, p) for t in texts(batch.column(1))], dtype=float).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
