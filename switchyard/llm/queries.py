@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
+from switchyard.llm.maxent import scored
 from switchyard.llm.packing import Packing, pack
 from switchyard.llm.quality_qda import quality_report
 from switchyard.llm.quality_rules import judged
@@ -37,6 +38,10 @@ def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +65,7 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op7_weak_supervision, op8_decontamination, op9_splitter_sharding, op10_quadratic_quality)}
+    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op3_maxent_scoring, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op7_weak_supervision, op8_decontamination, op9_splitter_sharding, op10_quadratic_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
