@@ -26,10 +26,15 @@ def root(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def fresh() -> str:
+    """A name that no other table has."""
+    return uuid.uuid4().hex
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to a new table in the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{root(spark)}/switchyard-{uuid.uuid4().hex}-{name}"
+    path = f"{root(spark)}/switchyard-{fresh()}-{name}"
     frame.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(frame.schema).parquet(path)
