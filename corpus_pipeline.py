@@ -1,25 +1,70 @@
-"""Corpus pipeline over ``documents`` (stages follow)."""
+"""Corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the columns of
+``documents``.  Rows with a null text stay until packing, where they are the end id alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from switchyard.llm import decontam, dedup, packing, scratch, secrets, toxicity
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among the rejected; a null doc_id stays."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
-from switchyard.llm import dedup, scratch
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    scratch.clear(spark)  # the last stage's result has been written
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    return _without(docs, scratch.stored(toxicity.toxicity(docs, model).where("predicted = 1").select("doc_id"), "toxic"))
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     scratch.clear(spark)
-    kept = dedup.near_duplicates(docs).where("kept").select(docs.doc_id).distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, scratch.stored(dedup.near_duplicates(docs).where("not kept").select("doc_id"), "copies"))
+
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    scratch.clear(spark)
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, scratch.stored(found.where("contaminated").select("doc_id"), "contaminated"))
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    scratch.clear(spark)
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, in the order of the curve."""
+    import public_tokenizers
+
+    scratch.clear(spark)
+    return packing.pack(docs, packing.Packing(public_tokenizers.path(VOCABULARY)))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack)]
+ORACLE_SQL = None  # dictionaries, sampled tests and a tokenizer are not SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.stored(stage(spark, docs, sf_dir), name)
-    return docs
+    scratch.clear(spark)
+    for name, stage in STAGES[:-1]:
+        path = f"{scratch.root(spark)}/switchyard-pipeline-{scratch.fresh()}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
