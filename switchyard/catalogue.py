@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from switchyard.plans import forecasting, history, rates, relational, routing, rules  # noqa: F401
+from switchyard.registry import QUERIES, SQL, Query
+from switchyard.streaming import monitor  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
