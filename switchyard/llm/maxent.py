@@ -39,7 +39,7 @@ class MaxEnt:
     classes: int = 16
     batch: int = 4096
     rate: float = 0.5
-    frequent: int = 400_000
+    frequent: int = 100_000
     chunk: int = 512
     flush: int = 300_000
     folds: int = 7
@@ -192,8 +192,9 @@ def scored(docs: DataFrame, p: MaxEnt = MaxEnt()) -> DataFrame:
     by_class = {r.class_: (r.n, r.v) for r in counts.groupBy("class_").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_all, v_all = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     class_size = np.array([sum(by_class.get(k, (0, 0))) + 1 for k in range(p.classes)], dtype=float)
-    top = counts.orderBy(F.desc("c"), "word").limit(p.frequent).select("word", "c").toPandas()  # at most ``frequent`` rows
-    shared = spark.sparkContext.broadcast((top["word"].map(bytes).tolist(), top["c"].to_numpy(dtype=np.int64), *averaged(rows, p)))
+    top = counts.orderBy(F.desc("c"), "word").limit(p.frequent).select("word", "c").toArrow()  # at most ``frequent`` rows
+    shared = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64), *averaged(rows, p)))
+    del top
     base_size = float(n_all + v_all + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
