@@ -88,11 +88,11 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RULES_SQL}, {SNAP_SQL}, {TIME_SQL}, {WEIGHT_SQL}, {VOL_SQL}, part AS (SELECT rpgt, currency, m, gateway, sum(w * share) AS p FROM weights GROUP BY ALL), tot AS (SELECT rpgt, currency, m, sum(p) AS p FROM part GROUP BY ALL)
-SELECT rpgt, currency, gateway, m, t, round(sum(v), 4) AS v FROM (
+SELECT rpgt, currency, gateway, m, t, round(sum(v), 6) AS v FROM (
   SELECT rpgt, currency, vol.gateway, m, t, CASE WHEN t <= m THEN greatest(v * (1 - coalesce(p, 0)), 0) ELSE v END AS v FROM vol LEFT JOIN tot USING (rpgt, currency, m)
   UNION ALL SELECT vol.rpgt, vol.currency, part.gateway, vol.m, t, v * p FROM vol JOIN part ON vol.rpgt = part.rpgt AND vol.currency = part.currency AND vol.m = part.m WHERE t <= vol.m) GROUP BY ALL""")
 def allocation_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.reallocated(volume(spark, sf_dir), weights(spark, sf_dir), PROFILE).withColumn("v", F.round("v", 4))
+    return tl.reallocated(volume(spark, sf_dir), weights(spark, sf_dir), PROFILE).withColumn("v", F.round("v", 6))
 
 
 @query(f"""WITH {RULES_SQL}, {SNAP_SQL}, {TIME_SQL}, {WEIGHT_SQL}, {VOL_SQL}, part AS (SELECT rpgt, currency, gateway, sum(w * share) AS p FROM weights WHERE m = -1 GROUP BY ALL), tot AS (SELECT rpgt, currency, sum(p) AS p FROM part GROUP BY ALL)

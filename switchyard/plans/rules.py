@@ -1 +1,60 @@
-"""Queries."""
+"""Compression and rule-generation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from switchyard.operators import compression as cm
+from switchyard.plans.rates import CELL, SPLIT_SQL, softmax_split
+from switchyard.registry import query
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return softmax_split(spark, sf_dir).select(*CELL, "gateway", "share", "volume")
+
+
+@query(f"""WITH {SPLIT_SQL}, cut AS (SELECT *, CAST(floor(share * 1000 + 1e-9) AS INTEGER) AS whole, share * 1000 - floor(share * 1000 + 1e-9) AS d FROM split),
+r AS (SELECT *, row_number() OVER (PARTITION BY rpgt, currency, bank ORDER BY round(d, 9) DESC, gateway) AS k, 1000 - sum(whole) OVER (PARTITION BY rpgt, currency, bank) AS left_ FROM cut)
+SELECT rpgt, currency, bank, gateway, CAST(whole + CASE WHEN k <= left_ THEN 1 ELSE 0 END AS INTEGER) AS weight FROM r""")
+def rules_whole_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.whole_weights(_split(spark, sf_dir), CELL).select(*CELL, "gateway", "weight")
+
+
+@query(f"""WITH {SPLIT_SQL}, w AS (SELECT rpgt, currency, bank, list_sort(list(gateway)) AS g FROM split WHERE share > 0.15 GROUP BY ALL) SELECT rpgt, currency, array_to_string(g, ',') AS signature, count(*) AS banks FROM w GROUP BY ALL""")
+def rules_gateway_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _split(spark, sf_dir).where("share > 0.15").groupBy(*CELL).agg(F.array_join(F.array_sort(F.collect_list("gateway")), ",").alias("signature"))
+    return g.groupBy("rpgt", "currency", "signature").agg(F.count(F.lit(1)).alias("banks"))
+
+
+@query()
+def rules_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.signatures(_split(spark, sf_dir), CELL)
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares rounded to tenths, so that banks share rules."""
+    from switchyard.functions.columns import share_of
+
+    return _split(spark, sf_dir).withColumn("share", F.round("share", 1)).withColumn("share", share_of("share", CELL, "even"))
+
+
+@query()
+def rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.rule_json(cm.pools(_coarse(spark, sf_dir), CELL, "bank"), ["rpgt", "currency"])
+
+
+@query()
+def rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.matched_rules(rules_json(spark, sf_dir), {"rpgt": "1-URGENT", "currency": "BUILDING", "bank": "FRANCE"})
+
+
+@query()
+def rules_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.clustered(_split(spark, sf_dir), CELL, [f"gw_{k}" for k in range(10)], 12)
+
+
+@query()
+def rules_cluster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _split(spark, sf_dir)
+    return cm.accuracy(before, cm.clustered(before, CELL, [f"gw_{k}" for k in range(10)], 12), CELL)

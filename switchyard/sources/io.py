@@ -1,0 +1,111 @@
+"""Loaders, caches, rule files, settings and report sinks."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from switchyard.operators.relational import expanded, long_shares
+
+
+def load(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """A frame as it is, or a CSV, JSON or Parquet path by its ending."""
+    if isinstance(source, DataFrame):
+        return source
+    ending = source.rstrip("/").rpartition(".")[2].lower()
+    if ending == "csv":
+        return spark.read.option("header", True).csv(source)
+    return spark.read.json(source) if ending in ("json", "jsonl") else spark.read.parquet(source)
+
+
+def first_readable(spark: SparkSession, paths: Sequence[str], otherwise: Callable[[], DataFrame]) -> DataFrame:
+    """The first path that exists, asked of Spark's own file system; else ``otherwise``."""
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return load(spark, path)
+    return otherwise()
+
+
+def run_sql(spark: SparkSession, text: str, params: Mapping[str, object] | None = None) -> DataFrame:
+    """SQL with named parameters (``:name``), over the session's views."""
+    return spark.sql(text, args=dict(params or {}))
+
+
+def cache_key(text: str, params: Mapping[str, object] | None = None) -> str:
+    """Name of a cached result: digests of the text and of its sorted parameters."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    return f"{digest(text)}-{digest(json.dumps(sorted((params or {}).items()), default=str))}"
+
+
+def cached_sql(spark: SparkSession, text: str, folder: str, params: Mapping[str, object] | None = None, use_cache: bool = True) -> tuple[DataFrame, str]:
+    """(result, ``cache`` or ``query``): a result is written once and read from then on."""
+    path = f"{folder}/{cache_key(text, params)}.parquet"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if use_cache and found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found):
+        return spark.read.parquet(path), "cache"
+    run_sql(spark, text, params).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), "query"
+
+
+def missing_tables(spark: SparkSession, names: Sequence[str]) -> list[str]:
+    """Names that the catalogue does not have."""
+    return [n for n in names if not spark.catalog.tableExists(n)]
+
+
+def partitioned_scan(spark: SparkSession, path: str, column: str, values: Sequence[str]) -> DataFrame:
+    """Only the partitions of a table that are named."""
+    return spark.read.parquet(path).where(F.col(column).isin(*values))
+
+
+def rule_sheets(spark: SparkSession, folder: str, keys: Sequence[str], not_before: str | None = None) -> DataFrame:
+    """Wide rule sheets (CSV) of a folder as long shares, with the sheet's name; dates are day first or ISO, from the column ``GO LIVE`` or the file's name."""
+    wide = spark.read.option("header", True).csv(folder).withColumn("_sheet", F.col("_metadata.file_name"))
+    text = F.coalesce(F.col("`GO LIVE`"), F.regexp_extract("_sheet", r"(\d{2,4}-\d{2}-\d{2,4})", 1)) if "GO LIVE" in wide.columns else F.regexp_extract("_sheet", r"(\d{2,4}-\d{2}-\d{2,4})", 1)
+    day = F.coalesce(F.try_to_timestamp(text, F.lit("dd/MM/yyyy")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("dd-MM-yyyy"))).cast("date")
+    dated = wide.withColumn("go_live", day)
+    dated = dated.where(F.col("go_live") >= F.lit(not_before).cast("date")) if not_before else dated
+    gateways = [c for c in wide.columns if c not in {*keys, "GO LIVE", "_sheet"}]
+    return long_shares(dated, [*keys, "go_live", "_sheet"], gateways)
+
+
+def catch_all_rules(spark: SparkSession, folder: str, keys: Sequence[str], choices: Mapping[str, dict[str, Sequence[str]]]) -> DataFrame:
+    """Rules for every BIN, collective words expanded, shares added up across sheets."""
+    rows = rule_sheets(spark, folder, keys).where(F.lower("bin").isin("other", "all"))
+    for column, words in choices.items():
+        rows = expanded(rows, column, words)
+    return rows.groupBy(*[k for k in keys if k != "bin"], "gateway").agg(F.sum("share").alias("share"))
+
+
+def rule_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(json) of every ``ConnectorPool`` in a folder tree; a file holds one document or a list of them."""
+    texts = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+    items = F.coalesce(F.expr("try_cast(try_parse_json(value) as array<variant>)"), F.array(F.try_parse_json("value")))
+    each = texts.select(F.explode(items).alias("v"))
+    return each.select(F.to_json("v").alias("json")).where(F.get_json_object("json", "$.kind") == "ConnectorPool")
+
+
+def settings(path: str) -> dict:
+    """JSON or YAML settings of the driver."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
+def write_report(frame: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A report as Parquet or as CSV with a header."""
+    writer = frame.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Rules (json, ...) as lines of JSON."""
+    rules.select("json").write.mode("overwrite").text(path)
