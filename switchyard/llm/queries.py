@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.maxent import scored
+from switchyard.llm.oracles import SQL
 from switchyard.llm.packing import Packing, pack
 from switchyard.llm.quality_qda import quality_report
 from switchyard.llm.quality_rules import judged
@@ -53,7 +55,9 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "contaminated", "n_items", ids.alias("item_ids"), "best_common")
 
 
 def op9_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
