@@ -37,7 +37,7 @@ class MaxEnt:
 
     rows: int = 1 << 16
     classes: int = 16
-    batch: int = 4096
+    batch: int = 1024
     rate: float = 0.5
     frequent: int = 100_000
     chunk: int = 512

@@ -71,8 +71,8 @@ def test_model_learns_what_follows_what(spark):
     pairs = ["alpha beta", "gamma delta", "omega sigma"]
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(k, " ".join(str(x) for x in rng.choice(pairs, 30))) for k in range(300)], "doc_id long, text string")
-    got = scored(docs).where("held_out").toPandas()
-    assert got.score.sum() > 0.8 * got.base_score.sum()
+    got = scored(docs, MaxEnt(batch=64)).where("held_out").toPandas()
+    assert got.score.sum() > 0.85 * got.base_score.sum()
 
 
 def test_statistics_equal_brute_force():
