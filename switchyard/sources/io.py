@@ -84,7 +84,7 @@ def catch_all_rules(spark: SparkSession, folder: str, keys: Sequence[str], choic
 
 def rule_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(json) of every ``ConnectorPool`` in a folder tree; a file holds one document or a list of them."""
-    texts = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     items = F.when(F.ltrim("value").startswith("["), F.expr("try_cast(try_parse_json(value) as array<variant>)")).otherwise(F.array(F.try_parse_json("value")))
     each = texts.select(F.explode(items).alias("v"))
     return each.select(F.to_json("v").alias("json")).where(F.get_json_object("json", "$.kind") == "ConnectorPool")
