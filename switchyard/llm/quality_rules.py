@@ -60,8 +60,8 @@ def rules() -> dict[str, Column]:
 
 def estimated(votes: np.ndarray, counts: np.ndarray, s: Supervision) -> tuple[float, np.ndarray]:
     """(log prior odds, weights[rule, vote]) from distinct vote patterns and their counts: log-odds of good for a vote 0, 1 or -1 (the last)."""
-    n_rules = votes.shape[1] if len(votes) else 0
-    one_hot = np.stack([votes == v for v in (0, 1, -1)], axis=2).astype(float) if len(votes) else np.zeros((0, n_rules, 3))
+    n_rules = votes.shape[1]
+    one_hot = np.stack([votes == v for v in (0, 1, -1)], axis=2).astype(float)
     start = [np.tile(np.array(x), (n_rules, 1)) for x in (s.good, s.bad)]
     good, bad, prior = start[0], start[1], s.prior
     for _ in range(s.rounds if len(votes) else 0):
