@@ -98,14 +98,14 @@ def join_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ATTEMPTS_SQL}, c AS (SELECT rpgt, currency, bank, avg(amount) AS t FROM attempts WHERE success AND provider = 'F' GROUP BY ALL HAVING count(*) >= 5),
 u AS (SELECT currency, avg(amount) AS t FROM attempts WHERE success GROUP BY ALL), k AS (SELECT DISTINCT rpgt, currency, bank FROM attempts)
-SELECT rpgt, currency, bank, round(coalesce(c.t, u.t, 0), 3) AS ticket FROM k LEFT JOIN c USING (rpgt, currency, bank) LEFT JOIN u USING (currency)""")
+SELECT rpgt, currency, bank, round(coalesce(c.t, u.t, 0), 6) AS ticket FROM k LEFT JOIN c USING (rpgt, currency, bank) LEFT JOIN u USING (currency)""")
 def join_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = attempts(spark, sf_dir)
     mean = F.avg("amount").alias("t")
     fine = a.where("success and provider = 'F'").groupBy("rpgt", "currency", "bank").agg(mean, F.count(F.lit(1)).alias("n")).where("n >= 5")
     coarse = a.where("success").groupBy("currency").agg(mean)
     out = rl.with_fallback(a.select("rpgt", "currency", "bank").distinct(), [(fine, ["rpgt", "currency", "bank"]), (coarse, ["currency"])], "t", F.lit(0.0), "ticket")
-    return out.select("rpgt", "currency", "bank", F.round("ticket", 3).alias("ticket"))
+    return out.select("rpgt", "currency", "bank", F.round("ticket", 6).alias("ticket"))
 
 
 @query(f"""WITH {ATTEMPTS_SQL}, p AS (SELECT DISTINCT bank FROM attempts), m AS (SELECT DISTINCT gateway, year(day) AS y FROM attempts WHERE year(day) = 1997), h AS (SELECT bank, gateway, count(*) AS n FROM attempts WHERE year(day) = 1997 AND rpgt = '1-URGENT' GROUP BY ALL)
