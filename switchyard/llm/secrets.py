@@ -3,9 +3,10 @@
 Method: three patterns give base spans.  Other long runs of encoding characters are put to a battery of randomness tests under
 their inferred encoding: chi-squared uniformity over the alphabet and over its character classes, runs about the middle
 of the alphabet, and lag-one serial correlation, combined by Fisher's rule into one p-value of "uniformly random".
-Discoveries are controlled by length: within each band of encoding and length, the share of random strings is estimated
-from the upper half of the p-values (Storey), and the least cut-off is taken whose estimated share of ordinary strings
-among the declared ones is at most ``rate``.
+Discoveries are controlled by length: within each band of encoding and length, the ordinary strings above a cut-off are
+estimated from their own tail, carried on from the two decades of p below 0.1 at the rate at which they thin out there, with
+few counts smoothed towards all bands.  The least cut-off is taken whose estimated share of ordinary strings among the
+declared ones is at most ``rate``, and the greatest where none is.
 
 Scale: one pass of regular expressions over each text, written once, and no shuffle of the texts without long strings;
 the cut-offs come from counts of distinct strings in a fixed number of bands, so the driver sees one row for each band.
@@ -13,6 +14,7 @@ the cut-offs come from counts of distinct strings in a fixed number of bands, so
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,12 +43,11 @@ ENCODINGS = [
 
 @dataclass(frozen=True)
 class Battery:
-    """``rate``: estimated share of ordinary strings among the declared; ``cuts``: cut-offs to choose from; ``usual``: the cut-off of bands with fewer than ``enough`` distinct strings; ``lengths``: lower ends of the length bands."""
+    """``rate``: estimated share of ordinary strings among the declared; ``cuts``: cut-offs to choose from, rising; ``pool``: distinct strings for which all bands together count in a band's tail; ``lengths``: lower ends of the length bands."""
 
     rate: float = 0.1
     cuts: tuple[float, ...] = (0.003, 0.01, 0.03, 0.1, 0.2, 0.3)
-    usual: float = 0.1
-    enough: int = 40
+    pool: float = 40.0
     lengths: tuple[int, ...] = (20, 24, 32, 48, 96)
 
 
@@ -113,18 +114,36 @@ def battery(strings: DataFrame) -> DataFrame:
     return out.withColumn("p", _chi_tail(fisher, F.lit(8.0))).drop("alphabet", "place", "parts", "uniform", "classes", "runs", "serial")
 
 
+def _limits(bands: list[tuple[int, int, list[int]]], b: Battery) -> dict[int, float]:
+    """Cut-offs by band, from (band, distinct strings, how many have p over 0.5, 0.1, 0.01, 0.001 and each of ``cuts``)."""
+    tails = {}
+    for band, n, (half, tenth, hundredth, thousandth, *_) in bands:
+        random = 2 * half  # they are uniform, so 9 % and 0.9 % of them lie in the two decades
+        tails[band] = max(n - random, 1), max(hundredth - tenth - 0.09 * random, 0.0), max(thousandth - hundredth - 0.009 * random, 0.0)
+    every, upper, lower = (sum(x) for x in zip(*tails.values(), strict=True)) if tails else (0, 0.0, 0.0)
+    share, thinner = (upper + 1) / (every + b.pool), (upper + 1) / (lower + 2)
+    out = {}
+    for band, _, over in bands:
+        n, upper, lower = tails[band]
+        there = n * (upper + b.pool * share) / (n + b.pool)  # ordinary strings with p from 0.01 to 0.1
+        q = (upper + b.pool * thinner) / (lower + b.pool)
+        depth = [-math.log10(c) for c in b.cuts]
+        ordinary = [there * (t if abs(1 - q) < 1e-6 else q * q * (q**-t - 1) / (1 - q)) for t in depth]
+        out[band] = next((c for c, x, found in zip(b.cuts, ordinary, over[4:], strict=True) if found and x <= b.rate * found), b.cuts[-1])
+    return out
+
+
 def judged(strings: DataFrame, b: Battery) -> DataFrame:
     """Distinct ``value``s -> (value, declared): the battery with a cut-off for each band, from all strings."""
     step = F.lit(0)
     for least in b.lengths[1:]:
         step = step + F.when(F.col("n") >= least, 1).otherwise(0)
     tested = stored(battery(strings.select("value").distinct()).select("value", "p", (F.col("encoding") * len(b.lengths) + step).alias("band")), "battery")
-    counts = [F.sum((F.col("p") > c).cast("long")).alias(f"over_{k}") for k, c in enumerate((0.5, *b.cuts))]
-    limit = F.lit(b.usual)
-    for r in tested.groupBy("band").agg(F.count(F.lit(1)).alias("all"), *counts).collect():  # one row for each band
-        random = 2 * r["over_0"]
-        fit = [c for k, c in enumerate(b.cuts) if r[f"over_{k + 1}"] and 1 - random * (1 - c) / r[f"over_{k + 1}"] <= b.rate]
-        limit = F.when(F.col("band") == r["band"], F.lit(b.usual if r["all"] < b.enough else fit[0] if fit else 1.0)).otherwise(limit)
+    counts = [F.sum((F.col("p") > c).cast("long")).alias(f"over_{k}") for k, c in enumerate((0.5, 0.1, 0.01, 0.001, *b.cuts))]
+    bands = tested.groupBy("band").agg(F.count(F.lit(1)).alias("all"), *counts).collect()  # one row for each band
+    limit = F.lit(b.cuts[-1])
+    for band, cut in _limits([(r["band"], r["all"], [r[f"over_{k}"] for k in range(4 + len(b.cuts))]) for r in bands], b).items():
+        limit = F.when(F.col("band") == band, F.lit(cut)).otherwise(limit)
     return tested.select("value", (F.col("p") > limit).alias("declared"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -42,6 +43,25 @@ def test_random_strings_are_added_and_words_are_not(spark):
     assert sum(got[k] for k in range(30)) >= 24 and sum(got[100 + k] for k in range(30)) <= 3
 
 
+def test_rare_secrets_are_found_among_many_ordinary_strings(spark):
+    rng = random.Random(4)
+    syllables = ["schen", "heit", "keit", "lich", "ver", "ein", "ung", "tion", "ment", "ble"]
+    ordinary = list({"".join(rng.choice(syllables) for _ in range(9))[:28] for _ in range(1100)})[:1000]
+    drawn = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(28)),) for _ in range(300)]
+    tested = [(r.value, r.p) for r in secrets.battery(spark.createDataFrame(drawn, "value string")).collect()]
+    low = [v for v, p in tested if 0.32 < p < 0.5]
+    high = [v for v, p in tested if p > 0.5]
+
+    def found(some, others):
+        got = secrets.judged(spark.createDataFrame([(v,) for v in some + others], "value string"), secrets.Battery()).where("declared")
+        return {r.value for r in got.collect()}
+
+    for some in (low[:1], low[:6] + high[:4]):
+        for others in ([], ordinary[:30], ordinary):
+            declared = found(some, others)
+            assert set(some) <= declared and len(declared - set(some)) <= 1
+
+
 def test_redaction_covers_spans_and_nothing_else(odd):
     out = {r.doc_id: r.text for r in secrets.redacted(odd).collect()}
     assert out[9].startswith("x [secret]") and "AKIA" not in out[9] and "token:ab" in out[9]
