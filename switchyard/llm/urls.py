@@ -4,8 +4,9 @@ Method: rules decide some URLs.  From those, a smoothed variable-order Markov mo
 and for rejected URLs; each order backs off to the next shorter context.  Any other URL is judged by the difference of
 its log-likelihoods divided by its length, against a threshold calibrated on ruled URLs held out from training.
 
-Scale: n-gram counts are pre-aggregated before each shuffle.  The finished model is hashed into an array of fixed size, so
-what reaches the tasks does not grow with the data, and scoring is a scan without a shuffle.
+Scale: n-gram counts are pre-aggregated before each shuffle.  The model is a table of all n-grams and grows with the data;
+it is joined to the distinct longest n-grams of all URLs, and those to the URLs.  Only the n-grams that each hold a fixed
+share of all places are broadcast, of which there can be but so many; no other is hot.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from switchyard.llm.scratch import stored
 
 # Fixed values: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-PAD, NONE = "\x02", 999.0
+PAD, UNIT = "\x02", 1e9
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """``order``: longest n-gram; ``weight``: strength of the shorter context; ``slots``: size of the hashed model; one ``fold``-th of the ruled URLs calibrates; ``step``: width of a threshold bin."""
+    """``order``: longest n-gram; ``weight``: strength of the shorter context; an n-gram that holds one ``hot``-th of all places is broadcast; one ``fold``-th of the ruled URLs calibrates; ``step``: width of a threshold bin."""
 
     order: int = 5
     weight: float = 4.0
-    slots: int = 1 << 16
+    hot: int = 10_000
     fold: int = 5
     step: float = 0.02
 
@@ -55,9 +56,8 @@ def _gram(chars: str, at: Column, size: int) -> Column:
     return F.array_join(F.slice(chars, at, F.lit(size)), "")
 
 
-def model(train: DataFrame, p: Ratio) -> Column:
-    """An array constant of ``slots`` numbers: the log ratio accepted / rejected of the n-grams hashed to a slot, weighted by
-    count; ``NONE`` in an empty slot.
+def model(train: DataFrame, p: Ratio) -> list[DataFrame]:
+    """For each order from 1 on, the log ratio accepted / rejected of its n-grams (g, ratio).
 
     P_k(c | context) = (n(context c) + weight * P_(k-1)(c | shorter context)) / (n(context) + weight), from a uniform P_0.
     """
@@ -76,16 +76,29 @@ def model(train: DataFrame, p: Ratio) -> Column:
             level = level.withColumn("shorter", F.substring("g", 2, k - 1)).join(below, "shorter")
         chance = lambda c: ((F.col(c) + p.weight * F.col("p" + c)) / (F.col("c" + c) + p.weight)).alias("q" + c)
         level = stored(level.select("g", "x", "y", chance("x"), chance("y")), f"order{k}")
-        levels.append(level.select("g", (F.col("x") + F.col("y")).alias("n"), F.log(F.col("qx") / F.col("qy")).alias("ratio")))
+        levels.append(level.select("g", F.log(F.col("qx") / F.col("qy")).alias("ratio")))
         below = level.select(F.col("g").alias("shorter"), F.col("qx").alias("px"), F.col("qy").alias("py"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    slots = every.groupBy(F.pmod(F.xxhash64("g"), F.lit(p.slots)).alias("slot")).agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("ratio"))
-    written = [str(NONE)] * p.slots
-    for slot, ratio in slots.collect():  # at most ``slots`` rows
-        written[slot] = f"{ratio:.3f}"
-    return F.split(F.lit(",".join(written)), ",").cast("array<double>")  # folded to a constant
+    return levels
+
+
+def summed(rows: DataFrame, levels: list[DataFrame], p: Ratio) -> DataFrame:
+    """``rows`` (u, chars) -> u, total: the ratios of all places added up, each from the longest known n-gram that ends there.
+
+    Ratios are whole multiples of 1 / ``UNIT``, so that the order of adding does not matter.
+    """
+    n = p.order
+    each = rows.where(F.size("chars") >= n).select("u", F.explode(F.transform(F.sequence(F.lit(1), F.size("chars") - n + 1), lambda i: _gram("chars", i, n))).alias("g"))
+    known = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    for k in range(n, 0, -1):
+        level = levels[k - 1].select(F.col("g").alias("end"), F.col("ratio").alias(f"ratio{k}"))
+        known = known.withColumn("end", F.substring("g", n - k + 1, k)).join(level, "end", "left").drop("end")
+    ratio = F.coalesce(*[F.col(f"ratio{k}") for k in range(n, 0, -1)], F.lit(0.0))
+    known = stored(known.select("g", "n", F.round(ratio * UNIT).cast("long").alias("ratio")), "known")
+    places = known.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    hot = F.broadcast(known.where(F.col("n") * p.hot >= places).select("g", "ratio"))  # at most ``hot`` rows
+    cold = known.where(F.col("n") * p.hot < places).select("g", "ratio")
+    parts = each.join(hot, "g").unionByName(each.join(hot, "g", "left_anti").join(cold, "g"))
+    return parts.groupBy("u").agg((F.sum("ratio") / UNIT).alias("total"))
 
 
 def url_verdicts(pages: DataFrame, p: Ratio = Ratio()) -> DataFrame:
@@ -97,15 +110,12 @@ def url_verdicts(pages: DataFrame, p: Ratio = Ratio()) -> DataFrame:
     """
     rows = located(pages).withColumn("held", F.pmod(F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), F.lit(p.fold)) == 0)
     padded = F.concat(F.lit(PAD * (p.order - 1)), _lower(F.col("rest")))
-    rows = stored(rows.withColumn("chars", F.split(padded, "")), "urls")
+    rows = stored(rows.withColumn("chars", F.split(padded, "")).withColumn("u", F.monotonically_increasing_id()), "urls")
     fitted = model(rows.where("ruled is not null and not held"), p)
 
-    # a slot that no training n-gram fell into passes to the next shorter one
-    slot = lambda i, k: F.pmod(F.xxhash64(_gram("chars", i + (p.order - k), k)), F.lit(p.slots)).cast("int")
-    ratio = lambda i: F.coalesce(*[F.nullif(F.get(fitted, slot(i, k)), F.lit(NONE)) for k in range(p.order, 0, -1)], F.lit(0.0))
     n = F.size("chars") - (p.order - 1)
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + ratio(i))
-    scored = rows.select("page_id", "host", "path", "rule", "ruled", "held", F.when(n > 0, total / n).otherwise(0.0).alias("score"))
+    scored = rows.join(summed(rows.select("u", "chars"), fitted, p), "u", "left")
+    scored = scored.select("page_id", "host", "path", "rule", "ruled", "held", F.when(n > 0, F.col("total") / n).otherwise(0.0).alias("score"))
     scored = stored(scored, "scores")
 
     # of all bins of the held-out scores, the one from which acceptance has the best balanced accuracy; the cut is half-way to the bin below

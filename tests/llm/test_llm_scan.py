@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from switchyard.llm import secrets
 from switchyard.llm.decontam import Containment, contamination
-from switchyard.llm.urls import located, url_verdicts
+from switchyard.llm.urls import Ratio, located, url_verdicts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -96,3 +99,37 @@ def test_ratio_separates_what_rules_teach(spark):
     got = {r.page_id: (r.verdict, r.score) for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[5000][0] == "allow" and got[5001][0] == "block" and got[5002][1] == 0.0 and len(got) == 403
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_scores_equal_an_exact_model_of_every_order(spark):
+    rng = random.Random(7)
+    words = ["good", "reading", "casino", "win", "é", "archive"]
+    rows = [(k, f"http://s{rng.randrange(9)}.{'org' if k % 2 else 'com/de'}/{rng.choice(words)}-{rng.choice(words)}/{rng.randrange(10**6)}") for k in range(1200)]
+    rows += [(5000 + k, f"http://new.net/{rng.choice(words)}{rng.choice('~!@')}{rng.randrange(10**6)}") for k in range(200)] + [(6000, "http://new.net/good"), (6000, "http://new.net/good")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    ruled = {r.page_id: r.ruled for r in located(frame).collect()}
+    padded = [(k, "\x02" * 4 + u.split("://")[1].lower()) for k, u in rows]
+    counts, contexts = {"allow": Counter(), "block": Counter()}, {"allow": Counter(), "block": Counter()}
+    for k, u in padded:
+        if ruled[k] and zlib.crc32(str(k).encode()) % 5:
+            for i in range(4, len(u)):
+                for size in range(1, 6):
+                    counts[ruled[k]][u[i - size + 1 : i + 1]] += 1
+                    contexts[ruled[k]][u[i - size + 1 : i], size] += 1
+
+    def chance(c, g):
+        shorter = chance(c, g[1:]) if len(g) > 1 else 1 / 256
+        return (counts[c][g] + 4 * shorter) / (contexts[c][g[:-1], len(g)] + 4)
+
+    def score(u):
+        total = 0.0
+        for i in range(4, len(u)):
+            g = next((g for g in (u[i - size + 1 : i + 1] for size in range(5, 0, -1)) if counts["allow"][g] + counts["block"][g]), None)
+            total += math.log(chance("allow", g) / chance("block", g)) if g else 0.0
+        return total / (len(u) - 4)
+
+    want = sorted((k, score(u)) for k, u in padded)
+    for more in ({}, {"hot": 100}):
+        got = sorted((r.page_id, r.score) for r in url_verdicts(frame, Ratio(**more)).collect())
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 1e-6
