@@ -2,11 +2,12 @@
 
 Method: items are partitioned by the size of their shingle sets.  An item's signature names the shingles that are least under
 each of several hash functions; the share of them found in a document estimates how much of the item the document
-contains, whatever the document's length.  A partition's bound on matches is set from its signature size and a miss
-probability; candidates are verified on the full sets.
+contains, whatever the document's length.  Each partition has its own signature size and, from that and a miss
+probability, its own bound on matches; candidates are verified on the full sets.
 
-Scale: items are a stated query set; they go to tasks in blocks of bounded size, each block against all documents in one scan
-without a shuffle of texts.
+Scale: one scan of the texts, which leaves of each document only the shingles whose bits are set in two bitmaps of fixed
+size, one of all signatures and one of all items.  Those few meet signatures and items in joins, so neither side is ever
+on the driver or in one task whole, and any number of items gives the same result.
 """
 
 from __future__ import annotations
@@ -17,23 +18,26 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.text import WordHashes, kept, mixed, shingle_set, shingles, texts
-
-ROWS = "doc_id long, n_items long, n_hits long, item_ids array<long>, best_common long"
+from switchyard.llm.bitmap import bitmap, held
+from switchyard.llm.scratch import stored
+from switchyard.llm.text import WordHashes, kept, mixed, shingles, texts
 
 
 @dataclass(frozen=True)
 class Containment:
-    """An item is found where ``percent`` of its distinct shingles lie in the document.  ``hashes``: signature size; ``block``: item shingles in one broadcast."""
+    """An item is found where ``percent`` of its distinct shingles lie in the document.  Items of at most ``whole`` shingles are their own signature; others, of less than 2**k shingles, have ``grade * k`` hashes; ``bits``: size of the bitmaps; ``salts``: copies of a signature among which documents are dealt."""
 
     percent: int = 75
     width: int = 5
-    hashes: int = 32
+    whole: int = 16
+    grade: int = 4
     miss: float = 1e-7
-    block: int = 2_000_000
+    bits: int = 25
+    salts: int = 8
     seed: int = 3
 
     def least_matches(self, n: int) -> int:
@@ -44,121 +48,74 @@ class Containment:
             total += comb(n, m) * c**m * (1 - c) ** (n - m)
         return max(1, m)
 
+    def signature(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(shingles, how many hash functions chose each, least matches) of a set, as its size partition has it."""
+        if len(s) <= self.whole:
+            return s, np.ones(len(s), dtype=np.int64), -(-self.percent * len(s) // 100)
+        hashes = self.grade * len(s).bit_length()
+        salts = np.random.default_rng(self.seed).integers(0, 2**63, hashes, dtype=np.uint64)
+        return *np.unique([s[mixed(s ^ salt).argmin()] for salt in salts], return_counts=True), self.least_matches(hashes)
+
 
-class Block:
-    """Signatures and full sets of some items, by size partition."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], p: Containment):
-        self.p, self.items = p, items
-        salts = np.random.default_rng(p.seed).integers(0, 2**63, p.hashes, dtype=np.uint64)
-        values, owners, weights, least = [], [], [], []
-        by_size: dict[int, list[int]] = {}
-        for k, (_, s) in enumerate(items):
-            by_size.setdefault(len(s).bit_length(), []).append(k)
-        self.least = np.zeros(len(items), dtype=np.int64)
-        for members in by_size.values():
-            for k in members:
-                s = items[k][1]
-                if len(s) <= p.hashes:  # the signature is the whole set
-                    chosen, counts = s, np.ones(len(s), dtype=np.int64)
-                    self.least[k] = -(-p.percent * len(s) // 100)
-                else:
-                    chosen, counts = np.unique([s[mixed(s ^ salt).argmin()] for salt in salts], return_counts=True)
-                    self.least[k] = p.least_matches(p.hashes)
-                values.append(chosen), owners.append(np.full(len(chosen), k)), weights.append(counts)
-        value = np.concatenate(values) if values else np.zeros(0, np.uint64)
-        order = np.argsort(value, kind="stable")
-        self.owner = (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
-        self.weight = (np.concatenate(weights) if weights else np.zeros(0, np.int64))[order]
-        self.value, first, self.count = np.unique(value[order], return_index=True, return_counts=True)
-        self.first = first
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.value >> np.uint64(44)).astype(np.int64)] = True
-
-    def found(self, text_shingles: np.ndarray) -> list[tuple[int, int]]:
-        """(item, common shingles) of the items that the document contains."""
-        some = text_shingles[self.bits[(text_shingles >> np.uint64(44)).astype(np.int64)]]
-        if not len(some) or not len(self.value):
-            return []
-        some = np.unique(some)
-        at = np.minimum(np.searchsorted(self.value, some), len(self.value) - 1)
-        at = at[self.value[at] == some]
-        if not len(at):
-            return []
-        spots = np.concatenate([np.arange(f, f + c) for f, c in zip(self.first[at], self.count[at], strict=True)])
-        owners, inverse = np.unique(self.owner[spots], return_inverse=True)
-        matched = np.bincount(inverse, weights=self.weight[spots])
-        out = []
-        for k in owners[matched >= self.least[owners]]:
-            item, s = self.items[k]
-            common = int(np.isin(s, text_shingles).sum())
-            if 100 * common >= self.p.percent * len(s):
-                out.append((item, common))
-        return out
-
-
-def item_blocks(benchmark: DataFrame, p: Containment) -> Iterator[list[tuple[int, bytes]]]:
-    """Items with their sets, in blocks of at most ``block`` shingles (or one item)."""
+def _item_rows(benchmark: DataFrame, p: Containment) -> DataFrame:
+    """Distinct items (item_id, s) as rows (i, item_id, width, n, s, chosen, weight, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = kept("words", WordHashes)
+        cache, i = kept("words", WordHashes), TaskContext.get().partitionId() << 33
         for batch in batches:
-            sets = [shingle_set(t, cache, p.width).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["item_id", "s"])
-
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "item_id long, s binary").where("length(s) > 0").distinct().orderBy("item_id", "s")
-    block, size = [], 0
-    for item, s in rows.toLocalIterator():
-        if block and size + len(s) // 8 > p.block:
-            yield block
-            block, size = [], 0
-        block.append((item, bytes(s)))
-        size += len(s) // 8
-    if block:
-        yield block
+            words = [min(p.width, len(t.split())) for t in texts(batch.column(1))]
+            sets = [np.unique(shingles(t, cache, p.width)) for t in texts(batch.column(1))]
+            signed = [p.signature(s) for s in sets]
+            longs = lambda some: pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(i, i + len(sets))), batch.column(0), pa.array(words, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), longs(sets), longs([c for c, _, _ in signed]), pa.array([w for _, w, _ in signed], pa.list_(pa.int64())), pa.array([m for _, _, m in signed], pa.int64())],
+                names=["i", "item_id", "width", "n", "s", "chosen", "weight", "least"],
+            )
+            i += len(sets)
+
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return rows.mapInArrow(run, "i long, item_id long, width int, n long, s array<long>, chosen array<long>, weight array<long>, least long").where("n > 0")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, p: Containment = Containment()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_items, n_hits, item_ids, best_common, contaminated.
 
     ``item_ids``: the items of which the document holds ``percent`` or more of the distinct word shingles, ascending and
-    distinct; ``n_hits`` counts item rows (two texts may share an item_id); ``best_common`` is the largest number of
-    common shingles.  An item of fewer words than ``width`` is one shingle, found only in a document that is that sequence.
-    Items without words or id are skipped; null or empty texts contain nothing.  Repeated rows each give a row; with no
-    items nothing is contaminated.
+    distinct; ``n_hits`` counts item texts (two texts may share an item_id); ``best_common`` is the largest number of
+    common shingles.  An item of fewer words than ``width`` is one shingle, found wherever its words stand in that order.
+    Items without words or id are skipped; null or empty texts contain nothing.  Rows are searched by themselves, so rows
+    of one doc_id, or of none, each give their own result; with no items nothing is contaminated.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = stored(_item_rows(benchmark, p), "items")
+    widths = sorted({r.width for r in items.select("width").distinct().collect()})  # at most ``width`` of them
+    signs = items.select("i", "least", F.explode(F.arrays_zip("chosen", "weight")).alias("x")).select("i", "least", F.col("x.chosen").alias("value"), "x.weight")
+    by_sign = spark.sparkContext.broadcast(bitmap(signs, "value", p.bits))
+    by_item = spark.sparkContext.broadcast(bitmap(items.select(F.explode("s").alias("value")), "value", p.bits))
 
-    def search(shared) -> DataFrame:  # noqa: ANN001
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, block = kept("words", WordHashes), Block([(i, np.frombuffer(s, np.uint64)) for i, s in shared.value], p)
-            for batch in batches:
-                hits = [block.found(shingles(t, cache, p.width)) for t in texts(batch.column(1))]
-                ids = [sorted({i for i, _ in h}) for h in hits]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([max((c for _, c in h), default=0) for h in hits], pa.int64())],
-                    names=["doc_id", "n_items", "n_hits", "item_ids", "best_common"],
-                )
-
-        return rows.mapInArrow(run, ROWS)
-
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, p)]
-    if len(shared) < 2:
-        out = search(shared[0] if shared else spark.sparkContext.broadcast([]))
-    else:  # several scans; rows of one document and one block number meet again
-        place = ["doc_id", "copy"]
-        keyed = [search(b).withColumn("copy", F.row_number().over(_copies())) for b in shared]
-        out = keyed[0]
-        for more in keyed[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy(*place).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_hits").alias("n_hits"), F.max("best_common").alias("best_common"))
-        out = out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "n_hits", "item_ids", "best_common")
-    return out.withColumn("contaminated", F.col("n_items") > 0)
-
-
-def _copies():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("best_common", "n_hits")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, r = kept("words", WordHashes), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            signs_, own = [], []
+            for text in texts(batch.column(1)):
+                some = np.concatenate([shingles(text, cache, w) for w in widths]) if widths else np.zeros(0, np.uint64)
+                some = some[held(by_item.value, some)]
+                some = np.unique(some) if len(some) else some
+                first = some[held(by_sign.value, some)]
+                signs_.append(first.view(np.int64))
+                own.append((some if len(first) else first).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(r, r + len(own))), batch.column(0), pa.array(signs_, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], names=["r", "doc_id", "signs", "own"])
+            r += len(own)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scan = stored(rows.mapInArrow(run, "r long, doc_id long, signs array<long>, own array<long>"), "scan")
+    quiet, open_ = scan.where("size(signs) = 0"), scan.where("size(signs) > 0")
+    dealt = open_.select("r", F.explode("signs").alias("value")).withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(p.salts)))
+    copied = signs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).cast("long"))
+    able = dealt.join(copied, ["value", "salt"]).groupBy("r", "i").agg(F.sum("weight").alias("matched"), F.first("least").alias("least")).where("matched >= least").select("r", "i")
+    common = F.size(F.array_intersect("own", "s")).cast("long")
+    hits = able.join(open_.select("r", "own"), "r").join(items.select("i", "item_id", "n", "s"), "i").select("r", "item_id", "n", common.alias("common")).where(100 * F.col("common") >= p.percent * F.col("n"))
+    found = hits.groupBy("r").agg(F.count(F.lit(1)).alias("n_hits"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("common").alias("best_common"))
+    out = open_.select("r", "doc_id").join(found, "r", "left").drop("r").unionByName(quiet.select("doc_id"), allowMissingColumns=True)
+    ids, zero = F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")), F.lit(0).cast("long")
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_items"), F.coalesce("n_hits", zero).alias("n_hits"), ids.alias("item_ids"), F.coalesce("best_common", zero).alias("best_common"), F.col("n_hits").isNotNull().alias("contaminated"))

@@ -3,7 +3,8 @@
 Method: a document's token counts are hashed into a vector, projected to a few dimensions and given a Hilbert key; documents
 are range-sorted by that key and packed one after the other, so neighbours on the curve share sequences.
 
-Scale: texts are tokenized once and the ids written to the shared folder; Spark's range partitioning then samples only keys.
+Scale: texts are tokenized once and the ids written to the shared folder; Spark's range partitioning then samples only keys,
+and the number of ranges follows the bytes of ids.
 A partition packs its own stretch of the curve and holds at most one open sequence; its remainder is cut into powers of
 two, which need no padding.
 """
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.llm.scratch import stored
-from switchyard.llm.text import kept, texts
+from switchyard.llm.text import kept, sliced, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``vocabulary``: the tokenizer's file.  Documents end with ``end_id``; vectors have ``buckets`` hashed entries, keys ``dims`` dimensions of ``bits`` bits."""
+    """``vocabulary``: the tokenizer's file.  Documents end with ``end_id``; vectors have ``buckets`` hashed entries, keys ``dims`` dimensions of ``bits`` bits; ``part``: bytes of ids in one range partition."""
 
     vocabulary: str
     length: int = 2048
@@ -37,6 +38,7 @@ class Packing:
     buckets: int = 512
     dims: int = 4
     bits: int = 8
+    part: int = 64 << 20
     seed: int = 5
 
 
@@ -48,7 +50,7 @@ class Encoder:
     encoded whole.  The lookup tables are bounded.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 500_000):
+    def __init__(self, vocabulary: str, limit: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -86,16 +88,15 @@ class Encoder:
             self.whole[c] = self.letters[word] if len(c) == len(word) else self.letters[word] + self.marks[c[-1:]]
         self.whole.update(zip([c for c, _ in rest], self.direct([c.decode() for c, _ in rest]), strict=True))
 
-    def encode(self, some: list[bytes], step: int = 500) -> Iterator[bytes]:
-        for at in range(0, len(some), step):
-            for table in (self.whole, self.letters):
-                if len(table) > self.limit:
-                    table.clear()
-            parts = [None if b"<|" in x else x.lower().split() for x in some[at : at + step]]
-            known = self.whole
-            self.learn({c for c in set().union(*(x for x in parts if x)) if c not in known})
-            for text, chunks in zip(some[at : at + step], parts, strict=True):
-                yield self.direct([text.decode()])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
+    def encode(self, some: list[bytes]) -> list[bytes]:
+        for table in (self.whole, self.letters):
+            if len(table) > self.limit:
+                table.clear()
+        parts, known, out = [None if b"<|" in x else x.lower().split() for x in some], self.whole, []
+        self.learn({c for c in set().union(*(x for x in parts if x)) if c not in known})
+        for text, chunks in zip(some, parts, strict=True):
+            out.append(self.direct([text.decode()])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)))
+        return out
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -126,22 +127,24 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, p: Packing) -> DataFrame:
-    """doc_id, curve (Hilbert key), ids (16-bit, without the end id)."""
+    """doc_id, curve (Hilbert key), n (number of ids), ids (16-bit, without the end id), r (the row's number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rng = kept(("encoder", p.vocabulary), lambda: Encoder(p.vocabulary)), np.random.default_rng(p.seed)
         place, axes = rng.integers(0, p.buckets, 2**16), rng.standard_normal((p.buckets, p.dims)).astype(np.float32)
-        for batch in batches:
-            ids = list(encoder.encode(texts(batch.column(1))))
+        r = TaskContext.get().partitionId() << 33
+        for batch in sliced(batches, 1):
+            ids = encoder.encode(texts(batch.column(1)))
             vectors = np.zeros((len(ids), p.buckets), dtype=np.float32)
             for row, raw in zip(vectors, ids, strict=True):
                 row[:] = np.bincount(place[np.frombuffer(raw, dtype="<u2")], minlength=p.buckets)
             vectors = np.sqrt(vectors)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             cells = np.clip((vectors @ axes) / 4 + 0.5, 0, 1 - 1e-6) * (1 << p.bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(cells.astype(np.int64), p.bits)), pa.array(ids, pa.binary())], names=["doc_id", "curve", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(cells.astype(np.int64), p.bits)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(np.arange(r, r + len(ids)))], names=["doc_id", "curve", "n", "ids", "r"])
+            r += len(ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, curve long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, curve long, n long, ids binary, r long")
 
 
 def pack(docs: DataFrame, p: Packing) -> DataFrame:
@@ -164,7 +167,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             for doc, curve, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.append(np.frombuffer(raw, dtype="<u2"), np.uint16(p.end_id))
                 at = 0
@@ -193,4 +196,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
         yield flush()
 
     encoded = stored(tokens(docs, p), "tokens")
-    return encoded.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").mapInArrow(run, PIECES)
+    size = encoded.agg(F.coalesce(F.sum(F.col("n") * 2 + 32), F.lit(0))).first()[0]
+    parts = max(-(-size // p.part), docs.sparkSession.sparkContext.defaultParallelism)
+    order = ["curve", "doc_id", "r"]  # rows of one id are apart by their number
+    return encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "curve", "ids").mapInArrow(run, PIECES)

@@ -58,10 +58,11 @@ def _range_of(key: Column, splitters: list[int], p: Splitters) -> Column:
 
 
 def shard(docs: DataFrame, p: Splitters = Splitters()) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row.
+    """``docs`` (doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard, divided: one row per input row.
 
     The law is ``bytes``: shards are consecutive stretches of equal bytes along the key, up to the text at a border.
-    Equal texts lie together unless they are over ``whole`` of a shard.  Null texts are empty, of size 1; a null doc_id
+    Equal texts lie together unless they are over ``whole`` of a shard, as equal sizes then ask; ``divided`` marks their
+    rows.  Null texts are empty, of size 1; a null doc_id
     sorts first; repeated rows each take a slot; other columns are ignored; empty input gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -75,10 +76,10 @@ def shard(docs: DataFrame, p: Splitters = Splitters()) -> DataFrame:
     splitters = _splitters(groups, total, p)
     ranged = groups.withColumn("r", _range_of(F.col("h"), splitters, p))
     full = min(p.full, max(1, 2 * n_groups // p.ranges))
-    spans = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).select("r", "lo", "hi", F.ceil(F.col("n") / F.lit(full)).cast("int").alias("pieces"))
+    spans = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).select("r", "lo", "hi", F.ceil(F.col("n") / F.lit(full)).cast("int").alias("pieces"))  # one row for each range
     width = (F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0) / F.col("pieces")
     sub = F.least(F.floor((F.col("h").cast("double") - F.col("lo").cast("double")) / width), F.col("pieces") - 1).cast("int")
-    ranged = ranged.join(spans, "r").select(*key, "rows", "bytes", "r", F.when(F.col("pieces") > 1, sub).otherwise(0).alias("s"))
+    ranged = ranged.join(F.broadcast(spans), "r").select(*key, "rows", "bytes", "r", F.when(F.col("pieces") > 1, sub).otherwise(0).alias("s"))
     ranged = stored(ranged, "ranges")
     before = Window.orderBy("r", "s").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + groups / full rows, doubled
     sums = ranged.groupBy("r", "s").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("n"))
@@ -93,7 +94,7 @@ def shard(docs: DataFrame, p: Splitters = Splitters()) -> DataFrame:
     few = F.broadcast(placed.where("large").select(*key, "start", "first"))
     many = placed.where("not large").select(*key, "first", part(F.col("start") * 2 + F.col("bytes")).alias("shard"))
     copy = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")) - 1
-    small = base.join(few.select(*key), key, "left_anti").join(many, key).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + copy).alias("at"))
+    small = base.join(few.select(*key), key, "left_anti").join(many, key).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + copy).alias("at"), F.lit(False).alias("divided"))
 
     salted = base.join(few, key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(p.salts)))
     counts = salted.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -101,8 +102,8 @@ def shard(docs: DataFrame, p: Splitters = Splitters()) -> DataFrame:
     counts = counts.select(*key, "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
     within = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("doc_id")) - 1
     spread = salted.join(counts, [*key, "salt"]).withColumn("k", F.col("n0") + within)
-    spread = spread.select("doc_id", "size", "text_crc32", part((F.col("start") + F.col("k") * F.col("size")) * 2 + F.col("size")).alias("shard"), (F.col("first") + F.col("k")).alias("at"))
+    spread = spread.select("doc_id", "size", "text_crc32", part((F.col("start") + F.col("k") * F.col("size")) * 2 + F.col("size")).alias("shard"), (F.col("first") + F.col("k")).alias("at"), F.lit(True).alias("divided"))
 
     rows = stored(small.unionByName(spread), "rows")
-    firsts = rows.groupBy("shard").agg(F.min("at").alias("from"))  # one row for each shard
-    return rows.join(firsts, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    firsts = F.broadcast(rows.groupBy("shard").agg(F.min("at").alias("from")))  # one row for each shard
+    return rows.join(firsts, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "divided")

@@ -7,11 +7,12 @@ lower-cases A-Z alone.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +50,18 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds about ``size`` bytes of a string or binary column (or one row) and at most ``rows`` rows."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(lengths):
+            ends = np.cumsum(lengths[at : at + rows])
+            take = max(1, int(np.searchsorted(ends, size, side="right")))
+            yield batch.slice(at, take)
+            at += take
+
+
 def word_hashes(text: bytes, cache: WordHashes) -> np.ndarray:
     words = text.lower().split()
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm.doc_stats import statistics
 from switchyard.llm.labelled import area
-from switchyard.llm.maxent import MaxEnt, scored
+from switchyard.llm.maxent import Codes, MaxEnt, class_logs, features, fitted, scored
 from switchyard.llm.quality_qda import quality_report
 from switchyard.llm.quality_rules import judged
 from switchyard.llm.text import WordHashes
@@ -60,19 +60,75 @@ def test_base_score_and_counts_equal_brute_force(spark, odd, none):
     c = Counter(w for i, words in rows if not held(i) for w in words)
     n, v = sum(c.values()), len(c)
     want = sorted((i is None, i or 0, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5)) for i, w in rows)
-    for p in (MaxEnt(frequent=15), MaxEnt(flush=10)):
+    for p in (MaxEnt(hot=50), MaxEnt(flush=10, text=1000)):
         got = scored(docs, p).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert scored(none).count() == 0
 
 
-def test_model_learns_what_follows_what(spark):
-    pairs = ["alpha beta", "gamma delta", "omega sigma"]
+def by_hand(p, docs, shared):
+    """P(word | history) from counts alone, with the class weights as they were trained: (chance, words)."""
+    codes = Codes()
+    train = [[codes[w] for w in t.encode().lower().split() + [b""]] for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    n, slots, inside = Counter(c for t in train for c in t), Counter(), Counter()
+    for c in n:
+        slots[c % 65536] += n[c]
+        inside[c % 65536] += 1
+    seen = Counter((a, b % 65536) for t in train for a, b in zip([0, *t], t, strict=False))
+    several = {k: v for k, v in seen.items() if v > 1}
+    unseen = sum(v == 1 for v in seen.values()) / max(len(several), 1)
+    group = lambda s: s // 4096
+    classes = Counter()
+    for s, k in slots.items():
+        classes[group(s)] += k
+    base = lambda s: (slots[s] + 1) / (classes[group(s)] + 4096)
+    fits = {}
+    for a, g in {(a, group(s)) for a, s in several}:
+        some = sorted(s for x, s in several if x == a and group(s) == g)
+        q, k = np.array([base(s) for s in some]), np.array([several[a, s] for s in some], dtype=float)
+        total, w = k.sum() + unseen * len(some), np.zeros(len(some))
+        for _ in range(4000):  # plain ascent by small steps, to where slopes vanish
+            e = q * np.exp(w)
+            w += 0.2 / total * (k - total * e / (1 - q.sum() + e.sum()) - w / p.spread)
+        fits[a, g] = dict(zip(some, w, strict=True)), math.log(1 - q.sum() + (q * np.exp(w)).sum())
+
+    def chance(history, c):
+        back = [np.array([x], dtype=np.uint64) for x in (history[::-1] + [0, 0, 0])[:3]]
+        s = c % 65536
+        weights, norm = fits.get((history[-1] if history else 0, group(s)), ({}, 0.0))
+        of_class = float(class_logs(shared.weights, shared.bias, features(back, p.rows))[0, group(s)])
+        return math.exp(of_class + math.log(base(s)) + weights.get(s, 0.0) - norm) * (n[c] + 1) / (slots[s] + inside[s] + 1)
+
+    return chance, codes, n, slots, inside, base, fits
+
+
+def test_model_equals_brute_force_and_sums_to_one(spark):
+    pairs = ["alpha beta", "gamma delta", "omega sigma", "alpha nu", "mu", "mu pi rho"]
     rng = np.random.default_rng(3)
-    docs = spark.createDataFrame([(k, " ".join(str(x) for x in rng.choice(pairs, 30))) for k in range(300)], "doc_id long, text string")
-    got = scored(docs, MaxEnt(batch=64)).where("held_out").toPandas()
-    assert got.score.sum() > 0.85 * got.base_score.sum()
+    docs = [(k, " ".join(str(x) for x in rng.choice(pairs, 30, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1]))) for k in range(160)] + [(900, "Never seen words ALPHA beta"), (901, ""), (902, "alpha")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    p = MaxEnt(batch=64, steps=60)
+    shared = fitted(frame, p, 1)[2]
+    chance, codes, n, slots, inside, base, fits = by_hand(p, docs, shared)
+    want = {}
+    for i, t in docs:
+        row = [codes[w] for w in t.encode().lower().split() + [b""]]
+        want[i] = sum(math.log10(chance(row[:k], c)) for k, c in enumerate(row))
+    for more in ({}, {"hot": 3}, {"hot": 1, "text": 200, "flush": 100}):
+        got = scored(frame, MaxEnt(batch=64, steps=60, **more)).toPandas().set_index("doc_id")
+        assert max(abs(got.score[i] - s) for i, s in want.items()) < 1e-2
+    for history in ([], [codes[b"alpha"]], [codes[b"mu"], codes[b"pi"]], [codes[b"new"]]):
+        words = sum(chance(history, c) for c in n) + sum(chance(history, s) / (n[s] + 1) for s in slots)  # with one unknown word in each slot
+        back = [np.array([x], dtype=np.uint64) for x in (history[::-1] + [0, 0, 0])[:3]]
+        empty = 0.0  # slots without words, of each class
+        for g, log in enumerate(class_logs(shared.weights, shared.bias, features(back, p.rows))[0]):
+            held = [s for s in slots if s // 4096 == g]
+            norm = fits.get((history[-1] if history else 0, g), ({}, 0.0))[1]
+            empty += math.exp(float(log) - norm) * (1 - sum(map(base, held)))
+        assert abs(words + empty - 1) < 1e-4
+    held = got[got.held_out]
+    assert held.score.sum() > 0.6 * held.base_score.sum()
 
 
 def test_statistics_equal_brute_force():

@@ -72,15 +72,46 @@ def test_redaction_covers_spans_and_nothing_else(odd):
     assert secrets.redacted(odd).columns == odd.columns
 
 
+def contained(text, item):
+    def grams(words, n):
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    d, q = ((x or "").encode().lower().split() for x in (text, item))
+    want = grams(q, min(5, len(q))) if q else set()
+    common = len(want & grams(d, min(5, len(q)))) if q else 0
+    return common if q and 100 * common >= 75 * len(want) else None
+
+
 def test_containment_equals_brute_force(spark, odd):
-    words = [f"w{k}" for k in range(80)]
-    items = spark.createDataFrame([(1, " ".join(words[:40])), (2, " ".join(words[40:])), (2, "one two three four five six seven"), (3, "few words"), (4, None), (5, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(20, " ".join(["pre"] * 500 + words[:40] + ["post"] * 500)), (21, " ".join(words[:30])), (22, " ".join(words[:36])), (23, "Few  Words"), (24, "very few words here now")], "doc_id long, text string")
-    every = odd.select("doc_id", "text").unionByName(docs)
-    for p in (Containment(), Containment(block=1)):
-        got = {(r.doc_id, tuple(r.item_ids)) for r in contamination(every, items, p).where("contaminated").collect()}
-        assert got == {(20, (1,)), (22, (1,)), (23, (3,)), (1, (2,)), (2, (2,))}
-    assert contamination(every, items.where("false")).where("contaminated").count() == 0
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = [(1, " ".join(words[:40])), (2, " ".join(words[40:80])), (2, "one two three four five six seven"), (3, "few words"), (4, None), (5, ""), (6, " ".join(words[80:90])), (7, " ".join(words))]
+    texts += [(10 + k, " ".join(rng.choices(words, k=rng.randrange(5, 200)))) for k in range(20)]
+    docs = [(20, " ".join(["pre"] * 500 + words[:40] + ["post"] * 500)), (21, " ".join(words[:30])), (22, " ".join(words[:36])), (23, "Few  Words"), (24, "very few words here now"), (25, "few\nwords here")]
+    docs += [(30, texts[0][1]), (30, texts[1][1]), (30, "nothing"), (None, texts[0][1]), (None, texts[2][1]), (None, None)]  # rows of one id, or none, with other texts
+    for k in range(60):
+        item = rng.choice([t for _, t in texts if t]).split()
+        cut = item[: max(1, int(len(item) * rng.uniform(0.6, 1)))]
+        docs.append((100 + k, " ".join(rng.choices(words, k=rng.randrange(0, 300)) + cut + rng.choices(words, k=20))))
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    every = odd.select("doc_id", "text").unionByName(frame)
+    want = []
+    for r in every.collect():
+        hits = [(i, c) for i, t in texts if (c := contained(r.text, t)) is not None]
+        want.append((str(r.doc_id), len({i for i, _ in hits}), len(hits), sorted({i for i, _ in hits}), max((c for _, c in hits), default=0), bool(hits)))
+    for p in (Containment(), Containment(whole=0), Containment(bits=10, salts=3)):
+        got = contamination(every, items, p).collect()
+        assert sorted((str(r.doc_id), r.n_items, r.n_hits, r.item_ids, r.best_common, r.contaminated) for r in got) == sorted(want)
+    assert contamination(every, items.where("false")).where("contaminated").count() == 0 and contamination(every.where("false"), items).count() == 0
+    assert contamination(odd, items).count() == odd.count()
+
+
+def test_each_size_partition_has_its_own_signature_and_bound():
+    p, rng = Containment(), random.Random(1)
+    import numpy as np
+
+    found = [p.signature(np.array(sorted(rng.sample(range(2**40), n)), dtype=np.uint64)) for n in (5, 16, 17, 40, 900)]
+    assert [(int(w.sum()), least) for _, w, least in found] == [(5, 4), (16, 12), (20, p.least_matches(20)), (24, p.least_matches(24)), (40, p.least_matches(40))]
 
 
 def test_urls_are_cut_and_ruled(spark):
