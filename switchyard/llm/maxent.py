@@ -14,7 +14,7 @@ ending, its slot (one of 4096 a class) from its hash.
 Scale: keys are 64-bit hashes with counts, in sorted numpy blocks whose number follows the bytes of text, so a block is bounded.
 A pair's block is a hash of the pair, so a frequent previous word is spread over many.  Pairs, contexts and words that each
 hold one ``hot``-th of all tokens are broadcast, of which there can be but so many; all others meet their weights in a
-join of blocks, and only sums for each text come out.  Nothing else of the corpus reaches the driver but one count for
+join of blocks, whose results are added up for each text.  Nothing else of the corpus reaches the driver but one count for
 each of the 65,536 slots.
 """
 
@@ -221,7 +221,7 @@ def learnt(docs: DataFrame, p: MaxEnt, power: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, _SEEN)
 
 
-def counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, power: int = 0) -> DataFrame:
     """Blocks with their parts added up: words (``values``: tokens, ``more``: distinct words of each slot of the block), pairs seen twice or more (``once``: how many others there were), weights."""
 
     def add(group: pa.Table) -> pa.Table:
@@ -244,7 +244,8 @@ def counted(rows: DataFrame) -> DataFrame:
             n = n.astype("<i8")
         return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "values": pa.array([values], pa.binary()), "more": pa.array([more], pa.binary()), "once": pa.array([once])})
 
-    return rows.groupBy("kind", "block", "salt").applyInArrow(add, "kind int, block int, salt int, keys binary, counts binary, values binary, more binary, once long")
+    parts = rows.repartition(3 << power, "kind", "block", "salt") if power else rows
+    return parts.groupBy("kind", "block", "salt").applyInArrow(add, "kind int, block int, salt int, keys binary, counts binary, values binary, more binary, once long")
 
 
 def averaged(parts: DataFrame, p: MaxEnt) -> tuple[np.ndarray, np.ndarray]:
@@ -371,34 +372,44 @@ class Shared:
     total: float  # log10 of N + V + 1
 
 
-_SUMS = "row long, doc_id long, n_tokens long, known long, base double, score double"
+_ASKED = "kind int, block int, first long, keys binary, owners binary, stats binary"
+_FOUND = "first long, kind int, keys binary, owners binary, stats binary"
+_RESULT = "doc_id long, n_tokens long, known long, base double, score double"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _lookups(docs: DataFrame, shared, p: MaxEnt, power: int) -> DataFrame:  # noqa: ANN001
-    """One scan: a TEXT row for each text with what the shared tables give, and blocks of keys (``keys``, ``owners``: places of their texts after ``row``) for what they do not."""
+    """One scan.  For each group of texts (the first has the number ``first``) a TEXT row with what the shared tables give (``keys``: ids, ``owners``: which are not null, ``stats``: tokens, known, base, score of each), and blocks of keys for what they do not (``owners``: places of their texts in the group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, s, row = kept("codes", Codes), shared.value, TaskContext.get().partitionId() << 33
+        codes, s, part = kept("codes", Codes), shared.value, TaskContext.get().partitionId()
         log_c = np.append(np.log10(s.words[1] + 1.0), 0.0)  # the last is for words that are looked up later
         weight, norm = np.append(s.pairs[1], 0.0), np.append(s.contexts[1], 0.0)
-        waiting, first, held = 0, row, {WORDS: [], PAIRS: [], SPREAD: []}
-        names = ["kind", "block", "row", "keys", "owners", "doc_id", "n_tokens", "known", "base", "score"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        first, n_texts, waiting, ids, stats, held = part << 33, 0, 0, [], [], {WORDS: [], PAIRS: [], SPREAD: []}
 
         def flush() -> pa.RecordBatch:
             out = []
+            if ids:
+                known = np.concatenate([np.asarray(x.is_valid()) for x in ids])
+                out.append((TEXT, part, first, np.concatenate([np.asarray(x.fill_null(0)) for x in ids]).astype("<i8").tobytes(), known.tobytes(), np.concatenate(stats, axis=1).tobytes()))
             for kind, some in held.items():
                 if some:
                     keys, owners = (np.concatenate(x) for x in zip(*some, strict=True))
-                    some.clear()
-                    out += [(kind, block, first, keys[at].tobytes(), owners[at].tobytes(), *[None] * 5) for block, at in _dealt(block_of(kind, keys, power))]
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    out += [(kind, block, first, keys[at].tobytes(), owners[at].tobytes(), b"") for block, at in _dealt(block_of(kind, keys, power))]
+                some.clear()
+            ids.clear(), stats.clear()
+            return _table(out, _ASKED)
 
         for batch in sliced(batches, 1):
             flat, starts = tokens(texts(batch.column(1)), codes)
             n, sizes = len(starts), np.diff(np.append(starts, len(flat)))
-            owner = (np.repeat(np.arange(n, dtype=np.uint32), sizes) + np.uint32(row - first)).astype(np.uint32)
+            owner = np.repeat(np.arange(n_texts, n_texts + n, dtype=np.uint32), sizes)
             slot = (flat & _LOW).astype(np.int64)
             back = histories(flat, starts)
             at, group = features(back, p.rows), slot >> 12
@@ -412,52 +423,65 @@ def _lookups(docs: DataFrame, shared, p: MaxEnt, power: int) -> DataFrame:  # no
             for kind, keys, some in ((WORDS, flat, rare), (PAIRS, pair, cold), (SPREAD, pair, spread)):
                 held[kind].append((keys[some], owner[some]))
             counts = total(log_c[word])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, TEXT, dtype=np.int32)), pa.array((np.arange(row, row + n) % (1 << power)).astype(np.int32)), pa.array(np.arange(row, row + n)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(sizes), pa.array(total((~rare).astype(np.int64))), pa.array(counts - sizes * s.total), pa.array(total(natural / math.log(10) - s.of_slot[slot]) + counts)],
-                names=names,
-            )
-            row, waiting = row + n, waiting + len(flat)
+            ids.append(batch.column(0))
+            stats.append(np.stack([sizes, total((~rare).astype(float)), counts - sizes * s.total, total(natural / math.log(10) - s.of_slot[slot]) + counts]))
+            n_texts, waiting = n_texts + n, waiting + len(flat)
             if waiting >= p.flush:
                 yield flush()
-                waiting, first = 0, row
+                first, n_texts, waiting = first + n_texts, 0, 0
         yield flush()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "kind int, block int, row long, keys binary, owners binary, doc_id long, n_tokens long, known long, base double, score double")
+    return read.mapInArrow(run, _ASKED)
+
+
+def _flat(table: pa.Table, column: str, dtype) -> np.ndarray:  # noqa: ANN001
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for part in table[column].chunks for x in part] or [np.zeros(0, dtype)])
 
 
 def _resolved(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums for each text of one block: TEXT rows pass, keys meet their weights."""
-    names = [x.split()[0] for x in _SUMS.split(", ")]
+    """One block: TEXT rows pass, keys meet their weights and are added up for each text."""
     if not left.num_rows or left["kind"][0].as_py() == TEXT:
-        return left.select(names)
-    kind, flat = left["kind"][0].as_py(), lambda t, c, dtype: np.concatenate([np.frombuffer(x.as_buffer(), dtype) for part in t[c].chunks for x in part] or [np.zeros(0, dtype)])
-    owners = [np.frombuffer(x.as_buffer(), "<u4") for part in left["owners"].chunks for x in part]
-    row = np.concatenate([o.astype(np.int64) + r for o, r in zip(owners, left["row"].to_pylist(), strict=True)])
-    keys = flat(left, "keys", np.uint64)
+        return left.select([x.split()[0] for x in _FOUND.split(", ")])
+    kind, keys = left["kind"][0].as_py(), _flat(left, "keys", np.uint64)
+    sizes = [len(x.as_buffer()) // 4 for part in left["owners"].chunks for x in part]
+    text = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | _flat(left, "owners", "<u4").astype(np.uint64)
     if kind == WORDS:
-        table, n = _sorted(flat(right, "keys", np.uint64), flat(right, "counts", "<i8"))
+        table, n = _sorted(_flat(right, "keys", np.uint64), _flat(right, "counts", "<i8"))
         at = _found(table, keys)
-        known, value = (at >= 0).astype(float), np.append(np.log10(n + 1.0), 0.0)[at]
-        base = value
+        value = np.append(np.log10(n + 1.0), 0.0)[at]
+        values = [(at >= 0).astype(float), value, value]  # known, base, score
     else:
-        table, b = _sorted(flat(right, "keys", np.uint64), flat(right, "values", "<f4"))
+        table, b = _sorted(_flat(right, "keys", np.uint64), _flat(right, "values", "<f4"))
         value = np.append(b, 0.0)[_found(table, keys)]
         if kind == PAIRS:
-            context, norm = _sorted(flat(right, "counts", np.uint64), flat(right, "more", "<f4"))
+            context, norm = _sorted(_flat(right, "counts", np.uint64), _flat(right, "more", "<f4"))
             value = value - np.append(norm, 0.0)[_found(context, keys >> np.uint64(12))]
-        known = base = np.zeros(len(keys))
-        value = value / math.log(10)
-    rows, at = np.unique(row, return_inverse=True)
-    add = lambda x: np.bincount(at, weights=x, minlength=len(rows))
-    n = len(rows)
-    return pa.table([pa.array(rows), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, dtype=np.int64)), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(add(value))], names=names)
+        values = [value / math.log(10)]
+    some, at = np.unique(text, return_inverse=True)
+    stats = np.stack([np.bincount(at, weights=v, minlength=len(some)) for v in values])
+    cut = np.searchsorted(some, np.arange(len(sizes) + 1, dtype=np.uint64) << np.uint64(32))
+    firsts, owners = left["first"].to_pylist(), (some & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return pa.Table.from_batches([_table([(f, kind, b"", owners[i:j].tobytes(), stats[:, i:j].tobytes()) for f, i, j in zip(firsts, cut[:-1], cut[1:], strict=True)], _FOUND)])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """One row for each text of a group."""
+    rows = list(zip(*(group[c].to_pylist() for c in ("kind", "keys", "owners", "stats")), strict=True))
+    ids, valid, stats = next((np.frombuffer(k, "<i8"), np.frombuffer(o, bool), np.frombuffer(x, float).reshape(4, -1).copy()) for kind, k, o, x in rows if kind == TEXT)
+    for kind, _, owners, found in rows:
+        if kind != TEXT:
+            at = np.frombuffer(owners, "<u4")
+            for row, more in zip((1, 2, 3) if kind == WORDS else (3,), np.frombuffer(found, float).reshape(-1, len(at)), strict=True):
+                stats[row, at] += more  # a text occurs once in a block
+    whole = [pa.array(stats[k].round().astype(np.int64)) for k in (0, 1)]
+    return pa.table([pa.array(ids, mask=~valid), *whole, pa.array(stats[2]), pa.array(stats[3])], names=[x.split()[0] for x in _RESULT.split(", ")])
 
 
 def fitted(docs: DataFrame, p: MaxEnt, power: int) -> tuple[DataFrame, DataFrame, Shared, int]:
     """Word blocks, slot-weight blocks, the shared tables and the number of training tokens."""
     train = docs.where(remainder(F.col("doc_id"), p.folds) != p.held)
-    blocks = stored(counted(learnt(train, p, power)), "counts")
+    blocks = stored(counted(learnt(train, p, power), power), "counts")
     n_slot, v_slot = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
     for r in blocks.where(F.col("kind") == WORDS).select("values", "more").toLocalIterator():  # each slot is in one block
         slot, n = np.frombuffer(r["values"], np.int64).reshape(2, -1)
@@ -487,9 +511,9 @@ def scored(docs: DataFrame, p: MaxEnt = MaxEnt()) -> DataFrame:
     power = max(size // p.text, 1).bit_length()
     words, model, tables, n_all = fitted(docs, p, power)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-    keys = ["kind", "block"]
-    parts = _lookups(docs, shared, p, power).groupBy(*keys).cogroup(words.unionByName(model).groupBy(*keys)).applyInArrow(_resolved, _SUMS)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")])
+    by = lambda frame: frame.repartition(3 << power, "kind", "block").groupBy("kind", "block")
+    found = by(_lookups(docs, shared, p, power)).cogroup(by(words.unionByName(model))).applyInArrow(_resolved, _FOUND)
+    sums = found.groupBy("first").applyInArrow(_summed, _RESULT)
     return sums.select(
         "doc_id", (remainder(F.col("doc_id"), p.folds) == p.held).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
