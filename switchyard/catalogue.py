@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from switchyard.plans import forecasting, history, rates, relational, routing, rules  # noqa: F401
+from switchyard.plans import columns, effects, forecasting, history, rates, relational, routing, rules  # noqa: F401
 from switchyard.registry import QUERIES, SQL, Query
 from switchyard.streaming import monitor  # noqa: F401
 

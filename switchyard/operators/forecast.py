@@ -5,12 +5,13 @@ Month m runs 0 to ``MONTHS - 1``, age t 0 to ``AGES - 1``; history has period 0
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import AVERAGE_MONTH, finite, share_of
+from switchyard.operators.relational import with_fallback, without_covered
 
 MONTHS, AGES = 6, 10
 
@@ -53,18 +54,19 @@ def aligned(history: DataFrame) -> DataFrame:
 
 
 def decay_curve(history: DataFrame, keys: Sequence[str], sample: int = 6) -> DataFrame:
-    """(keys, t, pct): share of each age in the risk of the periods up to ``sample``, filled with 0 to all ages."""
+    """(keys, t, pct, seen, total): share of each age in the risk of the periods up to ``sample``, filled with 0 to all ages, and the counts it is made of."""
     used = history.where(F.col("period") <= sample).withColumn("t", F.coalesce("t", F.lit(0)))
     summed = used.groupBy(*keys, "t").agg(F.sum("risk_count").alias("r"))
     by_key = summed.groupBy(*keys).agg(F.sum("r").alias("total"), F.map_from_entries(F.collect_list(F.struct("t", "r"))).alias("by_age"))  # ten entries at most
     ages = by_key.select(*keys, "total", "by_age", F.explode(F.sequence(F.lit(0), F.lit(AGES - 1))).alias("t"))
-    return ages.select(*keys, "t", finite(F.try_divide(F.coalesce(F.try_element_at("by_age", "t"), F.lit(0)).cast("double"), F.col("total"))).alias("pct"))
+    seen = F.coalesce(F.try_element_at("by_age", "t"), F.lit(0))
+    return ages.select(*keys, "t", finite(F.try_divide(seen.cast("double"), F.col("total"))).alias("pct"), seen.alias("seen"), "total")
 
 
 def curves_with_base(history: DataFrame, fine: Sequence[str], base: Sequence[str], least: float = 50.0, sample: int = 6) -> DataFrame:
     """Fine curves; where a fine key has less than ``least`` risk and its base key has a curve, the base curve."""
     own = decay_curve(history, fine, sample)
-    coarse = decay_curve(history, base, sample).withColumnRenamed("pct", "base_pct")
+    coarse = decay_curve(history, base, sample).select(*base, "t", F.col("pct").alias("base_pct"))
     weight = history.where(F.col("period") <= sample).groupBy(*fine).agg(F.sum("risk_count").alias("weight"))
     both = own.join(weight, list(fine)).join(coarse, [*base, "t"], "left")
     return both.select(*fine, "t", F.when((F.col("weight") < least) & F.col("base_pct").isNotNull(), F.col("base_pct")).otherwise(F.col("pct")).alias("pct"))
@@ -82,13 +84,15 @@ def base_rate(history: DataFrame, volumes: DataFrame, keys: Sequence[str], decay
 def extrapolation(history: DataFrame, curves: DataFrame, keys: Sequence[str], sample: int = 6) -> DataFrame:
     """(keys, age, factor) for ages 1 to 9: risk already seen of cohorts that will be ``age`` old over what the curve expects of it.
 
-    The cohort of age T had age T-i in period i, for i up to min(T, sample).
+    The cohort of age T had age T-i in period i, for i up to min(T, sample).  Both sums are of counts, divided once, so the result
+    does not depend on the order of adding.  ``curves``: as of ``decay_curve``.
     """
     both = history.groupBy(*keys, "period", "t").agg(F.sum("risk_count").alias("r"))
-    pairs = curves.select(*keys, F.col("t").alias("u"), "pct").withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(sample))))
+    pairs = curves.select(*keys, F.col("t").alias("u"), F.col("seen").alias("of_age"), "total").withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(sample))))
     pairs = pairs.withColumn("age", F.col("u") + F.col("period")).where(F.col("age").between(1, AGES - 1))
     joined = pairs.join(both.withColumnRenamed("t", "u"), [*keys, "period", "u"], "left")
-    return joined.groupBy(*keys, "age").agg(F.sum(F.coalesce("r", F.lit(0))).alias("seen"), F.sum("pct").alias("expected")).select(*keys, "age", finite(F.try_divide(F.col("seen").cast("double"), F.col("expected"))).alias("factor"))
+    sums = joined.groupBy(*keys, "age").agg(F.sum(F.coalesce("r", F.lit(0))).alias("seen"), F.sum("of_age").alias("of_ages"), F.max("total").alias("total"))
+    return sums.select(*keys, "age", finite(F.try_divide((F.col("seen") * F.col("total")).cast("double"), F.col("of_ages"))).alias("factor"))
 
 
 def tails(volume: DataFrame, rates: DataFrame, curves: DataFrame, factors: DataFrame, keys: Sequence[str], days: DataFrame) -> DataFrame:
@@ -99,6 +103,7 @@ def tails(volume: DataFrame, rates: DataFrame, curves: DataFrame, factors: DataF
     the next month and age.  ``days``: m, days (six rows).
     """
     zero = curves.where("t = 0").select(*keys, F.col("pct").alias("c0"))
+    curves = curves.select(*keys, "t", "pct")
     c = curves.join(zero, list(keys))
     new = volume.join(rates, list(keys)).join(c, list(keys)).select(*keys, (F.col("m") + F.col("t")).cast("int").alias("m"), "t", F.when(F.col("c0") > 0, F.col("trx") * F.col("rate0") / F.col("c0") * F.col("pct")).when(F.col("t") == 0, F.col("trx") * F.col("rate0")).otherwise(0.0).alias("raw"))
     old = factors.join(curves, list(keys)).where("t >= age").select(*keys, (F.col("t") - F.col("age")).cast("int").alias("m"), "t", (F.col("factor") * F.col("pct")).alias("raw"))
@@ -131,3 +136,45 @@ def shifted(risk: DataFrame, last: DataFrame, keys: Sequence[str], month_days: i
     moved = risk.withColumn("m", F.col("m") + 1).where(F.col("m") < MONTHS)
     first = last.select(*keys, F.lit(0).alias("m"), "t", (F.col("risk_count") * month_days / AVERAGE_MONTH).alias("risk"))
     return moved.unionByName(first).groupBy(*keys, "m", "t").agg(F.sum("risk").alias("risk"))
+
+
+def rescued(profiles: DataFrame, known: DataFrame, sources: Sequence[tuple[DataFrame, Sequence[str]]], key: Sequence[str]) -> DataFrame:
+    """(key, gateway, share) of the profiles that ``known`` lacks: the gateway of the first of ``sources`` (gateway by keys) that has one, else ``unmapped``, with all of the share."""
+    lost = without_covered(profiles, known, key)
+    return with_fallback(lost, sources, "gateway", F.lit("unmapped"), "gateway").withColumn("share", F.lit(1.0))
+
+
+def joined_history(past: DataFrame, future: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """History and forecast one under the other, added up where both have a key."""
+    return past.unionByName(future).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def inherited(profiles: DataFrame, curves: DataFrame, swaps: Mapping[str, str], rest: Sequence[str]) -> DataFrame:
+    """(rpgt, rest, t, pct) for every profile and age: its own curve, else that of the type that ``swaps`` names for its type, else 0."""
+    other = F.lit(None).cast("string")
+    for kind, stand_in in swaps.items():
+        other = F.when(F.col("rpgt") == kind, F.lit(stand_in)).otherwise(other)
+    ages = profiles.withColumn("_other", other).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(AGES - 1))))
+    own = curves.select("rpgt", *rest, "t", F.col("pct").alias("_own"))
+    theirs = curves.select(F.col("rpgt").alias("_other"), *rest, "t", F.col("pct").alias("_theirs"))
+    both = ages.join(own, ["rpgt", *rest, "t"], "left").join(theirs, ["_other", *rest, "t"], "left")
+    return both.select("rpgt", *rest, "t", F.coalesce("_own", "_theirs", F.lit(0.0)).alias("pct"))
+
+
+def actual_rules(volume: DataFrame, deaths: DataFrame, profile: Sequence[str], days: int) -> DataFrame:
+    """Last month's volume (profile, gateway, n) as rules: gateways dead from the start go, one that died on a day of the month counts as if it had run all ``days``.
+
+    ``deaths``: gateway, end_day (NULL: dead from the start), a short list.
+    """
+    marked = volume.join(F.broadcast(deaths.withColumn("_dead", F.lit(True))), "gateway", "left").where("_dead is null or end_day is not null")
+    scaled = marked.withColumn("_x", F.col("n").cast("double") * F.when(F.col("end_day").isNull(), 1.0).otherwise(F.lit(float(days)) / F.col("end_day")))
+    return scaled.select(*profile, "gateway", share_of("_x", profile).alias("share"), F.lit("Actuals").alias("rule_source"))
+
+
+def period_shares(slots: DataFrame, past: DataFrame, deep: DataFrame, periods: int, key: str = "prof") -> DataFrame:
+    """(key, gateway, period, share) for every slot (key, gateway) and period: from the period's own volume where the profile has any, else from all its history, else even."""
+    every = slots.withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))))
+    both = every.join(past.select(key, "gateway", "period", F.col("n").alias("_p")), [key, "gateway", "period"], "left").join(deep.select(key, "gateway", F.col("n").alias("_d")), [key, "gateway"], "left").na.fill(0, ["_p", "_d"])
+    w = Window.partitionBy(key, "period")
+    raw = F.when(F.sum("_p").over(w) > 0, F.col("_p")).when(F.sum("_d").over(w) > 0, F.col("_d")).otherwise(F.lit(1)).cast("double")
+    return both.withColumn("_raw", raw).select(key, "gateway", "period", share_of("_raw", [key, "period"]).alias("share"))

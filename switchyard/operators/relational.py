@@ -77,3 +77,9 @@ def reconciled(left: DataFrame, right: DataFrame, keys: Sequence[str], value: st
     b = right.groupBy(*keys).agg(F.sum(value).alias("_b"))
     both = a.join(b, list(keys), "full_outer").select(F.concat_ws("|", *keys).alias("key"), (F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))).alias("d"))
     return both.agg(F.count(F.lit(1)).alias("keys"), F.sum((F.abs("d") > tolerance).cast("long")).alias("beyond"), F.max_by("key", F.struct(F.abs("d"), "key")).alias("worst"), F.max(F.abs("d")).alias("difference"))
+
+
+def with_pool(frame: DataFrame, rates: DataFrame, keys: Sequence[str], value: str, pool: Column) -> DataFrame:
+    """``value`` by keys, else ``pool``, with ``pooled`` true where the pool stood in."""
+    own = rates.select(*keys, F.col(value).alias("_own"))
+    return frame.join(own, list(keys), "left").withColumn(value, F.coalesce("_own", pool)).withColumn("pooled", F.col("_own").isNull()).drop("_own")

@@ -7,21 +7,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import AVERAGE_MONTH, month_diff, month_factor
 from switchyard.operators.relational import first_of
 from switchyard.registry import query
-from switchyard.sources.tables import ATTEMPTS_SQL, attempts
-
-MONTH0 = datetime.date(1998, 9, 1)
-
-
-def event(scheme: str) -> Column:
-    """The risk event of a scheme: any failure, or failures of one provider (chargebacks)."""
-    failed = ~F.col("success")
-    return failed if scheme == "a" else failed & (F.col("provider") == "O")
+from switchyard.sources.tables import ATTEMPTS_SQL, MONTH0, attempts, event
 
 
 def attempts_extract(rows: DataFrame, start: datetime.date, end: datetime.date, gateways: list[str] | None = None) -> DataFrame:

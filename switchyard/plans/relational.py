@@ -10,17 +10,46 @@ from switchyard.operators import relational as rl
 from switchyard.registry import query
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts, table
 
-KIND = "CASE WHEN l_returnflag = 'R' THEN 'refund' WHEN l_linestatus = 'O' THEN 'sale' ELSE 'renewal' END"
-PAY = "CASE WHEN l_shipdate IS NOT NULL AND l_linenumber % 4 = 0 THEN 'retry' ELSE 'card' END"
+# Attempts with every kind of field, from the lines' own numbers.
+FIELDS_LIST = [
+    "CASE WHEN l_returnflag = 'R' THEN 'refund' WHEN l_linenumber % 3 = 0 THEN 'auth' WHEN l_linenumber % 3 = 1 THEN 'capture' ELSE 'captureauth' END AS transaction",
+    "CASE WHEN l_linestatus = 'O' THEN 'order' ELSE 'invoice' END AS payment",
+    "CASE WHEN l_quantity = 48 THEN 80.0 WHEN l_quantity = 11 THEN NULL ELSE l_quantity END AS amount",
+    "CASE l_suppkey % 4 WHEN 0 THEN 'paypal' WHEN 1 THEN 'creditcard' WHEN 2 THEN 'google_pay' ELSE 'voucher' END AS method",
+    "CASE l_partkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE NULL END AS product_group",
+    "CASE WHEN l_partkey % 2 = 0 THEN 'paypal' ELSE 'chargehive' END AS processor",
+    "CASE WHEN l_orderkey % 2 = 0 THEN 'vindicia' ELSE 'other' END AS gateway_processor",
+    "l_returnflag = 'A' AS success",
+    "l_linenumber % 2 AS fcp",
+    "CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_suppkey % 2 END AS attempt",
+    "l_suppkey % 5 AS attempt_number",
+]
+FIELDS = ", ".join(FIELDS_LIST)
+
+
+def _arms() -> str:
+    """The table of attempt types as SQL."""
+    names, out = ("transaction", "payment", "amount", "method", "product_group", "processor", "gateway_processor"), []
+    for kind, *asked in co.ATTEMPTS:
+        parts = [f"({want.replace('a ', n + ' ')})" if want.startswith("a ") else f"{n} <> '{want[1:]}'" if want.startswith("!") else f"{n} IN ({', '.join(repr(x) for x in want.split(','))})" for n, want in zip(names, asked, strict=True) if want]
+        out.append(f"WHEN {' AND '.join(parts)} THEN '{kind}'")
+    return f"CASE {' '.join(out)} ELSE 'Error' END"
+
+
+@query(f"WITH x AS (SELECT {FIELDS} FROM lineitem) SELECT {_arms()} AS rpgt, count(*) AS n, round(sum(amount), 2) AS amount FROM x GROUP BY ALL")
+def classify_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = co.attempt_type(table(spark, sf_dir, "lineitem").selectExpr(*FIELDS_LIST))
+    return x.groupBy("rpgt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query(f"""WITH x AS (SELECT {KIND} AS tt, {PAY} AS pt, l_quantity AS a FROM lineitem)
-SELECT CASE WHEN tt = 'refund' THEN 'refund' WHEN tt = 'sale' AND a > 0 AND a < 12 THEN 'trial' WHEN tt = 'sale' AND a > 12 AND a <= 37 THEN 'monthly sale' WHEN tt = 'sale' AND a >= 39 THEN 'annual sale'
-  WHEN tt = 'renewal' AND pt = 'retry' AND a >= 0 THEN 'renewal retry' WHEN tt = 'renewal' AND a > 0 AND a < 12 THEN 'weekly renewal' WHEN tt = 'renewal' AND a > 12 AND a <= 37 THEN 'monthly renewal' WHEN tt = 'renewal' AND a >= 39 THEN 'annual renewal' ELSE 'Error' END AS rpgt,
-  count(*) AS n, round(sum(a), 2) AS amount FROM x GROUP BY ALL""")
-def classify_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem").select(F.expr(KIND).alias("tt"), F.expr(PAY).alias("pt"), F.col("l_quantity").alias("a"))
-    return x.groupBy(co.attempt_type(F.col("tt"), F.col("pt"), F.col("a")).alias("rpgt")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 2).alias("amount"))
+FIRST = "(method <> 'paypal' AND fcp = 1 AND attempt = 1) OR (method = 'paypal' AND fcp = 1 AND attempt_number < 3)"
+
+
+@query(f"WITH x AS (SELECT {FIELDS} FROM lineitem) SELECT method, count(*) FILTER ({FIRST}) AS attempts, count(*) FILTER (({FIRST}) AND success) AS successes, count(*) FILTER (({FIRST}) AND NOT success) AS failures FROM x GROUP BY ALL")
+def classify_attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = co.attempt_flags(table(spark, sf_dir, "lineitem").selectExpr(*FIELDS_LIST))
+    total = lambda c, name: F.sum(F.col(c).cast("long")).alias(name)
+    return x.groupBy("method").agg(total("initial_attempt", "attempts"), total("initial_success", "successes"), total("initial_failure", "failures"))
 
 
 @query("""WITH x AS (SELECT p_size % 4 AS rebill, CASE p_size % 3 WHEN 0 THEN 'P1M' WHEN 1 THEN 'P1Y' ELSE NULL END AS term, CASE WHEN p_size % 7 = 0 THEN 'upgrade' ELSE 'none' END AS action, CASE WHEN p_size % 11 = 0 THEN 'addon' ELSE 'base' END AS grp, CASE WHEN p_size % 13 = 0 THEN 'Refund' ELSE 'Sale' END AS record FROM part)
@@ -148,13 +177,14 @@ def report_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.with_total(a, "gateway", ["n", "s"])
 
 
-@query(f"""WITH {ATTEMPTS_SQL}, a AS (SELECT rpgt, currency, sum(amount) AS v FROM attempts GROUP BY ALL), b AS (SELECT rpgt, currency, sum(amount * CASE WHEN success THEN 1 ELSE 0.5 END) AS v FROM attempts WHERE bank <> 'CHINA' GROUP BY ALL),
+@query(f"""WITH {ATTEMPTS_SQL}, a AS (SELECT rpgt, currency, CAST(sum(CAST(amount AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts GROUP BY ALL), b AS (SELECT rpgt, currency, CAST(sum(CAST(amount * CASE WHEN success THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts WHERE bank <> 'CHINA' GROUP BY ALL),
 d AS (SELECT concat_ws('|', rpgt, currency) AS key, coalesce(a.v, 0) - coalesce(b.v, 0) AS d FROM a FULL JOIN b USING (rpgt, currency))
-SELECT count(*) AS keys, CAST(sum(CASE WHEN abs(d) > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS beyond, max_by(key, abs(d)) AS worst, round(max(abs(d)), 2) AS difference FROM d""")
+SELECT count(*) AS keys, CAST(sum(CASE WHEN abs(d) > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS beyond, max_by(key, abs(d)) AS worst, round(max(abs(d)), 3) AS difference FROM d""")
 def report_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = lambda c: c.cast("decimal(18,3)").alias("amount")  # noqa: E731  # sums that do not depend on the order of adding
     a = attempts(spark, sf_dir)
-    part = a.where("bank <> 'CHINA'").withColumn("amount", F.col("amount") * F.when(F.col("success"), 1.0).otherwise(0.5))
-    return rl.reconciled(a, part, ["rpgt", "currency"], "amount", 100000.0).withColumn("difference", F.round("difference", 2))
+    part = a.where("bank <> 'CHINA'").select("rpgt", "currency", exact(F.col("amount") * F.when(F.col("success"), 1.0).otherwise(0.5)))
+    return rl.reconciled(a.select("rpgt", "currency", exact(F.col("amount"))), part, ["rpgt", "currency"], "amount", 100000.0).withColumn("difference", F.round("difference", 3))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value > 10) AS s FROM events GROUP BY ALL)
