@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Containment = Contai
     scan = stored(rows.mapInArrow(run, "r long, doc_id long, signs array<long>, own array<long>"), "scan")
     quiet, open_ = scan.where("size(signs) = 0"), scan.where("size(signs) > 0")
     dealt = open_.select("r", F.explode("signs").alias("value")).withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(p.salts)))
-    copied = signs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).cast("long"))
+    copied = signs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long"))))
     able = dealt.join(copied, ["value", "salt"]).groupBy("r", "i").agg(F.sum("weight").alias("matched"), F.first("least").alias("least")).where("matched >= least").select("r", "i")
     common = F.size(F.array_intersect("own", "s")).cast("long")
     hits = able.join(open_.select("r", "own"), "r").join(items.select("i", "item_id", "n", "s"), "i").select("r", "item_id", "n", common.alias("common")).where(100 * F.col("common") >= p.percent * F.col("n"))
