@@ -38,7 +38,7 @@ class Packing:
     buckets: int = 512
     dims: int = 4
     bits: int = 8
-    part: int = 64 << 20
+    part: int = 32 << 20
     seed: int = 5
 
 
@@ -50,7 +50,7 @@ class Encoder:
     encoded whole.  The lookup tables are bounded.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 100_000):
+    def __init__(self, vocabulary: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
