@@ -21,7 +21,7 @@ def tallied(attempts: DataFrame, keys: Sequence[str], weight: Column | None = No
     return attempts.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(F.when(F.col("success"), w).otherwise(0.0)).alias("s"))
 
 
-def moment_kappa(cells: DataFrame, group: Sequence[str], fallback: float, edge: float | None = None, low: float = 1.0, high: float = 5000.0) -> DataFrame:
+def moment_kappa(cells: DataFrame, group: Sequence[str], fallback: float, edge: float | None = None, low: float = 1.0, high: float = 5000.0, least: float = 1e-9) -> DataFrame:
     """Method-of-moments strength of the prior for each ``group`` of rows (n, s).
 
     The variance between rows beyond binomial noise gives mu(1-mu)/variance - 1, kept within [low, high].  Fewer than two
@@ -32,7 +32,7 @@ def moment_kappa(cells: DataFrame, group: Sequence[str], fallback: float, edge:
     mu = F.col("s") / F.col("n")
     noise = mu * (1 - mu) * F.col("k") / F.col("n")
     excess = F.greatest(F.col("q") / F.col("n") - mu * mu, F.lit(0.0)) - noise
-    kappa = F.when(F.col("k") < 2, F.lit(fallback)).when((mu <= 0) | (mu >= 1), F.lit(fallback if edge is None else edge)).when(excess <= 1e-9, F.lit(high)).otherwise(F.least(F.greatest(mu * (1 - mu) / excess - 1, F.lit(low)), F.lit(high)))
+    kappa = F.when(F.col("k") < 2, F.lit(fallback)).when((mu <= 0) | (mu >= 1), F.lit(fallback if edge is None else edge)).when(excess <= least, F.lit(high)).otherwise(F.least(F.greatest(mu * (1 - mu) / excess - 1, F.lit(low)), F.lit(high)))
     return sums.select(*group, mu.alias("mu"), kappa.alias("kappa"))
 
 
@@ -61,6 +61,21 @@ def backed_off(cells: DataFrame, levels: Sequence[Sequence[str]], kappa: float)
     return above
 
 
+def refitted(cells: DataFrame, levels: Sequence[Sequence[str]], fallback: float = 50.0, high: float = 5000.0) -> DataFrame:
+    """``cells`` (keys, n, s) with ``rate``: from the rate of all rows through ``levels``, each drawing its groups' pooled rate towards the cell's estimate so far.
+
+    A level's strength is fitted to the spread of its own groups' rates beyond binomial noise; levels need not be nested.
+    """
+    whole = cells.agg((F.sum("s") / F.sum("n")).alias("rate"))  # one row
+    out = cells.join(F.broadcast(whole))
+    for keys in levels:
+        sums = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        kappa = F.broadcast(moment_kappa(sums, [], fallback, edge=high, high=high, least=1e-12).select("kappa"))  # one row
+        level = sums.select(*keys, F.col("n").alias("_n"), F.col("s").alias("_s"))
+        out = out.join(level, list(keys)).join(kappa).withColumn("rate", (F.col("_s") + F.col("kappa") * F.col("rate")) / (F.col("_n") + F.col("kappa"))).drop("_n", "_s", "kappa")
+    return out
+
+
 def blocked_pairs(daily: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """Pairs whose attempts since the last success number ``least`` or more: attempts in that run and the last day with a success."""
     newest = Window.partitionBy(*keys).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)

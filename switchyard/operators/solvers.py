@@ -1,12 +1,12 @@
 """Split engines: gateway shares of each cell under bounds and a risk limit.
 
 Softmax and greedy references are window expressions.  The others solve one small cell at a time (tens of gateways) with NumPy
-inside ``applyInPandas``; Spark spreads the cells.
+over batches of cells; Spark spreads them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,66 +68,129 @@ def project_capped(x: np.ndarray, lower: np.ndarray, upper: np.ndarray, risk: np
     return project_box(x - hi * risk, lower, upper)
 
 
-def _probability_best(g: pd.DataFrame, nodes: int = 400) -> np.ndarray:
-    """P(gateway has the best success) under independent beta posteriors, by quadrature on a grid of rates."""
-    a, b = g["success"].to_numpy(float) + 1, g["attempts"].to_numpy(float) - g["success"].to_numpy(float) + 1
-    x = (np.arange(nodes) + 0.5) / nodes
+def _grid(a: np.ndarray, b: np.ndarray, nodes: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """A grid that is fine where some beta law has its weight, and each law's weights on it."""
     mean, sd = a / (a + b), np.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-    x = np.unique(np.concatenate([x, *(np.clip(m + s * np.linspace(-6, 6, 121), 1e-6, 1 - 1e-6) for m, s in zip(mean, sd, strict=True))]))
-    width = np.gradient(x)
+    ends = np.geomspace(1e-10, 0.1, 400)  # a law may have its weight at an end
+    x = np.unique(np.concatenate([(np.arange(nodes) + 0.5) / nodes, ends, 1 - ends, *(np.clip(m + s * np.linspace(-8, 8, 241), 1e-7, 1 - 1e-7) for m, s in zip(mean, sd, strict=True))]))
     log_density = (a - 1)[:, None] * np.log(x) + (b - 1)[:, None] * np.log1p(-x)
-    density = np.exp(log_density - log_density.max(axis=1, keepdims=True)) * width
-    density /= density.sum(axis=1, keepdims=True)
+    density = np.exp(log_density - log_density.max(axis=1, keepdims=True)) * np.gradient(x)
+    return x, density / density.sum(axis=1, keepdims=True)
+
+
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quantiles of beta laws, read off a fine grid."""
+    x, weight = _grid(a, b)
+    upto = np.cumsum(weight, axis=1) - weight / 2
+    return np.array([np.interp(q, row, x) for row in upto])
+
+
+def probability_best(g: dict[str, np.ndarray], pooled: float = 8.0, gamma: float = 0.0, temperature: float = 0.05) -> np.ndarray:
+    """P(gateway has the best success) under independent beta posteriors; a gateway without attempts has a weak posterior at its pooled rate.  ``gamma`` tilts towards low risk."""
+    won, n, seen = g["success"], g["attempts"], g["attempts"] > 0
+    a, b = np.where(seen, won, g["prior_rate"] * pooled) + 1, np.where(seen, n - won, (1 - g["prior_rate"]) * pooled) + 1
+    _, density = _grid(a, b)
     below = np.maximum(np.cumsum(density, axis=1) - density / 2, 1e-300)
     win = (density * np.exp(np.log(below).sum(axis=0) - np.log(below))).sum(axis=1)
+    win = win / win.sum() * np.exp(-gamma * 100 * temperature * g["risk_rate"])
     return win / win.sum()
 
 
-def _mean_variance(g: pd.DataFrame, aversion: float = 5.0, steps: int = 120) -> np.ndarray:
-    """Accelerated projected gradient on success less aversion times the variance of the estimated rates."""
-    p, n = g["success_rate"].to_numpy(float), np.maximum(g["attempts"].to_numpy(float), 1)
-    var, lower, upper = p * (1 - p) / n, g["lower"].to_numpy(float), g["upper"].to_numpy(float)
-    x = y = project_box(np.full(len(p), 1 / len(p)), lower, upper)
-    rate, t = 1 / max(2 * aversion * var.max(), 1e-3), 1.0
+def mean_downside(g: dict[str, np.ndarray], aversion: float = 0.4, tail: float = 0.95, steps: int = 400) -> np.ndarray:
+    """Success less the downside of risk: minimises ``-x success + gamma sqrt(sum x^2 d^2)`` within the bounds.
+
+    ``d`` is how far the upper 95 % quantile of a gateway's risk rate lies above the rate; ``gamma`` makes an average downside cost
+    ``aversion`` of the cell's average success.  Projected gradient with a step that halves until the value falls.
+    """
+    open_ = g["upper"] > 0
+    risk, n = np.clip(g["risk_rate"], 0, 1), np.maximum(g["attempts"], 1)
+    gap = beta_quantile(tail, risk * n + 0.5, (1 - risk) * n + 0.5) - risk
+    d, gain = np.where(open_, np.maximum(gap, 0), 0.0), np.where(open_, g["success_rate"], 0.0)
+    mean = gain[open_].mean() if open_.any() else 0.0
+    gamma = min(aversion * mean / max(d[open_].mean(), 1e-4 * mean), 5000.0) if mean > 0 else 0.0
+    spread = lambda x: np.sqrt((x * x * d * d).sum() + 1e-12)
+    value = lambda x: -x @ gain + gamma * spread(x)
+    x, step = project_box(np.maximum(gain, 1e-9) / max(gain.sum(), 1e-9), g["lower"], g["upper"]), 1.0
     for _ in range(steps):
-        new = project_box(y + rate * (p - 2 * aversion * var * y), lower, upper)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        x, y, t = new, new + (t - 1) / t2 * (new - x), t2
+        slope = -gain + gamma * d * d * x / spread(x)
+        while step > 1e-12:
+            new = project_box(x - step * slope, g["lower"], g["upper"])
+            if value(new) <= value(x) - 1e-4 / step * ((new - x) ** 2).sum():
+                break
+            step /= 2
+        if np.abs(new - x).max() < 1e-10:
+            break
+        x, step = new, step * 1.5
     return x
 
 
-def _entropy(g: pd.DataFrame, weight: float = 0.05) -> np.ndarray:
-    """Maximum of success plus weight times entropy: a softmax of success over weight."""
-    z = g["success_rate"].to_numpy(float) / weight
-    e = np.exp(z - z.max())
-    return e / e.sum()
-
+def most_even(g: dict[str, np.ndarray], weight: float = 0.02, cap: float = np.inf) -> np.ndarray:
+    """Maximum of success plus ``weight`` times entropy within the bounds and under risk @ x <= cap.
 
-ENGINES: dict[str, Callable[[pd.DataFrame], np.ndarray]] = {"thompson": _probability_best, "portfolio": _mean_variance, "entropy": _entropy}
+    At the maximum x = exp((success - price risk) / weight - level), clipped to its bounds; the level makes the sum 1, the price is 0
+    or the one that meets the cap.  Where no split meets the cap, the least risky one.
+    """
+    lower, upper, risk = np.maximum(g["lower"], 1e-12), np.maximum(g["upper"], 1e-12), g["risk_rate"]
+
+    def at(price: float) -> np.ndarray:
+        z = (g["success_rate"] - price * risk) / weight
+        z = z - z.max()
+        lo, hi = z.min() - 40.0, np.log(len(z)) + 40.0
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.clip(np.exp(z - mid), lower, upper).sum() > 1 else (lo, mid)
+        return np.clip(np.exp(z - hi), lower, upper)
+
+    x = at(0.0)
+    if x @ risk > cap:
+        lo, hi = 0.0, 1.0
+        while hi < 1e7 and at(hi) @ risk > cap:
+            hi *= 4
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if at(mid) @ risk <= cap else (mid, hi)
+        x = at(hi)
+    return x / x.sum()
+
+
+ENGINES: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]] = {"thompson": probability_best, "portfolio": mean_downside, "entropy": most_even}
+FIELDS = ("attempts", "success", "success_rate", "risk_rate", "prior_rate", "lower", "upper")
+
+
+def solve_cell(g: dict[str, np.ndarray], engine: str, risk_cap: float, slider: float) -> np.ndarray:
+    """Shares of one cell.  At ``slider`` 1 the cap is not imposed; below, the imposed cap lies between the hard cap and the unrestricted risk."""
+    x = project_box(ENGINES[engine](g), g["lower"], g["upper"])
+    free = x @ g["risk_rate"]
+    if slider >= 1 or free <= risk_cap:
+        return x
+    cap = risk_cap + slider * (free - risk_cap)
+    return most_even(g, cap=cap) if engine == "entropy" else project_capped(x, g["lower"], g["upper"], g["risk_rate"], cap)
 
 
 def solved(problems: DataFrame, cell: Sequence[str], engine: str, risk_cap: float, slider: float = 0.5) -> DataFrame:
     """(cell, gateway, share, expected_success, expected_risk, feasible).
 
-    ``problems``: cell, gateway, attempts, success, success_rate, risk_rate, lower, upper.  At ``slider`` 1 the risk cap is not
-    imposed; below, the imposed cap lies between the hard cap and the unrestricted risk.  ``feasible`` is against the hard cap.
+    ``problems``: cell, gateway and the columns ``FIELDS``.  ``feasible`` is against the hard cap.  A cell, tens of gateways, is one row of
+    arrays; a task takes its cells batch by batch.
     """
-    fn = ENGINES[engine]
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("gateway")
-        lower, upper, risk = (g[c].to_numpy(float) for c in ("lower", "upper", "risk_rate"))
-        x = project_box(fn(g), lower, upper)
-        if slider < 1 and x @ risk > risk_cap:
-            x = project_capped(x, lower, upper, risk, risk_cap + slider * (x @ risk - risk_cap))
-        out = g[[*cell, "gateway"]].copy()
-        out["share"], out["expected_success"], out["expected_risk"] = x, float(x @ g["success_rate"].to_numpy(float)), float(x @ risk)
-        out["feasible"] = bool(x @ risk <= risk_cap + 1e-9)
-        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, list] = {"share": [], "expected_success": [], "expected_risk": [], "feasible": []}
+            for row in batch["g"]:
+                g = {f: np.array([r[f] for r in row], dtype=float) for f in FIELDS}
+                x = solve_cell(g, engine, risk_cap, slider)
+                out["share"].append(x)
+                out["expected_success"].append(float(x @ g["success_rate"]))
+                out["expected_risk"].append(float(x @ g["risk_rate"]))
+                out["feasible"].append(bool(x @ g["risk_rate"] <= risk_cap + 1e-9))
+            yield batch[list(cell)].assign(gateway=[[r["gateway"] for r in row] for row in batch["g"]], **out)
 
     types = dict(problems.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [*cell, "gateway"]), "share double, expected_success double, expected_risk double, feasible boolean"])
-    return problems.select(*cell, "gateway", "attempts", "success", "success_rate", "risk_rate", "lower", "upper").groupBy(*cell).applyInPandas(one, schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cell), "gateway array<string>, share array<double>, expected_success double, expected_risk double, feasible boolean"])
+    rows = problems.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("gateway", *[F.col(f).cast("double").alias(f) for f in FIELDS]))).alias("g"))
+    each = rows.mapInPandas(run, schema).select(*cell, F.explode(F.arrays_zip("gateway", "share")).alias("x"), "expected_success", "expected_risk", "feasible")
+    return each.select(*cell, "x.gateway", "x.share", "expected_success", "expected_risk", "feasible")
 
 
 def lexicographic_best(candidates: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -110,19 +110,21 @@ def reroutable(rows: DataFrame, rules: DataFrame, profile: Sequence[str], restri
     return rows.join(have, list(profile), "left").withColumn("movable", ok).drop("_rule")
 
 
-def reallocated(volume: DataFrame, weights: DataFrame, profile: Sequence[str], before: bool = False) -> DataFrame:
+def reallocated(volume: DataFrame, weights: DataFrame, profile: Sequence[str], before: bool = False, cohort: bool = False, gate: int | None = None, gated: float = 1.0) -> DataFrame:
     """Volume (profile, gateway, m, t, v) replayed over rule weights: destinations' moved volume and what stays at the source.
 
     Transactions move at age 0; risk moves only where t <= m.  ``before``: every month uses the weights of the month before
-    month 0 (m = -1).  Nothing is lost: moved plus staying equals the input.
+    month 0 (m = -1).  ``cohort``: risk uses the weights of the month its cohort was sold in, m - t.  Of risk older than
+    ``gate`` months only the part ``gated`` moves.  Nothing is lost: moved plus staying equals the input.
     """
-    keyed = volume.withColumn("_m", F.lit(-1) if before else F.col("m"))
+    keyed = volume.withColumn("_m", F.lit(-1) if before else F.col("m") - F.col("t") if cohort else F.col("m"))
+    keyed = keyed.withColumn("_g", F.when(F.col("t") > gate, gated).otherwise(1.0) if gate is not None else F.lit(1.0))
     shares = weights.groupBy(*profile, F.col("m").alias("_m"), F.col("gateway").alias("_to")).agg(F.sum(F.col("w") * F.col("share")).alias("_part"))
     part = shares.groupBy(*profile, "_m").agg(F.sum("_part").alias("_total"))
     can = keyed.where(F.col("t") <= F.col("m"))
-    moved = can.join(shares, [*profile, "_m"]).groupBy(*profile, F.col("_to").alias("gateway"), "m", "t").agg(F.sum(F.col("v") * F.col("_part")).alias("v"))
+    moved = can.join(shares, [*profile, "_m"]).groupBy(*profile, F.col("_to").alias("gateway"), "m", "t").agg(F.sum(F.col("v") * F.col("_g") * F.col("_part")).alias("v"))
     stays = keyed.join(part, [*profile, "_m"], "left")
-    left = stays.withColumn("v", F.when(F.col("t") <= F.col("m"), F.greatest(F.col("v") * (1 - F.coalesce("_total", F.lit(0.0))), F.lit(0.0))).otherwise(F.col("v")))
+    left = stays.withColumn("v", F.when(F.col("t") <= F.col("m"), F.greatest(F.col("v") * (1 - F.col("_g") * F.coalesce("_total", F.lit(0.0))), F.lit(0.0))).otherwise(F.col("v")))
     return left.select(*profile, "gateway", "m", "t", "v").unionByName(moved).groupBy(*profile, "gateway", "m", "t").agg(F.sum("v").alias("v"))
 
 
@@ -136,3 +138,8 @@ def orphans_spread(volume: DataFrame, alive: Column, group: Sequence[str], value
     given = F.when(F.col("_living") > 0, F.col("_orphan") * F.col(value) / F.col("_living")).otherwise(F.col("_orphan") / F.col("_count"))
     new = F.when(F.col("_count") == 0, F.col(value)).when(F.col("_alive"), F.col(value) + given).otherwise(0.0)
     return measured.withColumn("stranded", F.col("_count") == 0).withColumn(value, new).drop("_alive", "_living", "_count", "_orphan")
+
+
+def with_month_zero(after: DataFrame, volume: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``after`` (keys, m, t, v) with month 0 as it was in ``volume``: what has begun is not routed anew."""
+    return after.where("m <> 0").select(*keys, "m", "t", "v").unionByName(volume.where("m = 0").groupBy(*keys, "m", "t").agg(F.sum("v").alias("v")))

@@ -57,7 +57,7 @@ def macro_units(rows: DataFrame, plan: DataFrame, month: datetime.date) -> DataF
 @query(f"""WITH {ATTEMPTS_SQL} SELECT day, rpgt, currency, gateway, upper(regexp_replace(trim(coalesce(string_split(bank, ' ')[2], bank)), '[^\\w\\s]', '', 'g')) AS bank, CAST(success AS INTEGER) AS success, CAST(NOT success AS INTEGER) AS failure, 1 AS attempt, round(amount, 2) AS amount, order_id, line_no
 FROM attempts WHERE day >= DATE '1998-03-01' AND day < DATE '1998-04-01' AND gateway IN ('gw_1', 'gw_2', 'gw_3')""")
 def extract_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attempts_extract(attempts(spark, sf_dir), datetime.date(1998, 3, 1), datetime.date(1998, 4, 1), ["gw_1", "gw_2", "gw_3"])
+    return attempts_extract(attempts(spark, sf_dir, datetime.date(1998, 3, 1), datetime.date(1998, 4, 1)), datetime.date(1998, 3, 1), datetime.date(1998, 4, 1), ["gw_1", "gw_2", "gw_3"])
 
 
 def _risk_sql(keys: str, condition: str) -> str:
@@ -67,29 +67,29 @@ round(count(DISTINCT CASE WHEN {condition} THEN CAST(order_id AS VARCHAR) || '_'
 
 @query(_risk_sql("rpgt, currency, provider, country", "NOT success"))
 def extract_risk_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_counts(attempts(spark, sf_dir), "a", ["rpgt", "currency", "provider", "country"]).withColumn("risk_count", F.round("risk_count", 4))
+    return risk_counts(attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0), "a", ["rpgt", "currency", "provider", "country"]).withColumn("risk_count", F.round("risk_count", 4))
 
 
 @query(_risk_sql("rpgt, currency, provider, country", "NOT success AND provider = 'O'"))
 def extract_risk_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_counts(attempts(spark, sf_dir), "b", ["rpgt", "currency", "provider", "country"]).withColumn("risk_count", F.round("risk_count", 4))
+    return risk_counts(attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0), "b", ["rpgt", "currency", "provider", "country"]).withColumn("risk_count", F.round("risk_count", 4))
 
 
 @query(_risk_sql("rpgt, currency, gateway", "NOT success"))
 def extract_risk_by_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_counts(attempts(spark, sf_dir), "a", ["rpgt", "currency", "gateway"]).withColumn("risk_count", F.round("risk_count", 4))
+    return risk_counts(attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0), "a", ["rpgt", "currency", "gateway"]).withColumn("risk_count", F.round("risk_count", 4))
 
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, CAST((1998 - year(day)) * 12 + 9 - month(day) AS INTEGER) AS period, round(count(DISTINCT order_id) * 30.4167 / day(last_day(max(day))), 4) AS txn_count
 FROM attempts WHERE day >= DATE '1997-12-01' AND day < DATE '1998-09-01' GROUP BY ALL""")
 def extract_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transaction_counts(attempts(spark, sf_dir), ["rpgt", "currency", "gateway"]).withColumn("txn_count", F.round("txn_count", 4))
+    return transaction_counts(attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0), ["rpgt", "currency", "gateway"]).withColumn("txn_count", F.round("txn_count", 4))
 
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, CASE WHEN bank LIKE '%A' THEN 'group_a' WHEN bank LIKE 'U%' THEN 'group_u' ELSE 'rest' END AS company, count(DISTINCT order_id) AS trx_count FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-07-01' GROUP BY ALL""")
 def extract_longterm_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     company = F.when(F.col("bank").like("%A"), "group_a").when(F.col("bank").like("U%"), "group_u").otherwise("rest")
-    a = attempts(spark, sf_dir).where("day >= date'1998-01-01' and day < date'1998-07-01'")
+    a = attempts(spark, sf_dir, datetime.date(1998, 1, 1), datetime.date(1998, 7, 1))
     return a.groupBy("rpgt", "currency", "gateway", company.alias("company")).agg(F.count_distinct("order_id").alias("trx_count"))
 
 
@@ -113,7 +113,7 @@ def extract_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT gateway, currency, count(*) AS attempts, count(*) FILTER (success) AS successes, round(sum(CASE WHEN success THEN amount ELSE 0 END), 2) AS revenue FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-04-01' GROUP BY ALL""")
 def extract_processor_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = attempts(spark, sf_dir).where("day >= date'1998-01-01' and day < date'1998-04-01'")
+    a = attempts(spark, sf_dir, datetime.date(1998, 1, 1), datetime.date(1998, 4, 1))
     return a.groupBy("gateway", "currency").agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.col("success").cast("long")).alias("successes"), F.round(F.sum(F.when(F.col("success"), F.col("amount")).otherwise(0.0)), 2).alias("revenue"))
 
 
@@ -128,7 +128,7 @@ def extract_first_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.mid, a.origin, a.risk, coalesce(b.txn, 0) AS txn FROM (SELECT mid, period + t AS origin, CAST(sum(risk) AS BIGINT) AS risk FROM r WHERE period + t BETWEEN 0 AND 5 GROUP BY ALL) a LEFT JOIN (SELECT mid, period AS origin, CAST(sum(txn) AS BIGINT) AS txn FROM r WHERE t = 0 GROUP BY ALL) b USING (mid, origin)""")
 def report_cohort_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     period, age = month_diff(F.lit(MONTH0), F.col("day")), F.least(F.greatest(month_diff(F.col("day"), F.col("origin")), F.lit(0)), F.lit(9))
-    a = attempts(spark, sf_dir).select(F.concat(F.lit("mid_"), F.right("gateway", F.lit(1))).alias("mid"), period.alias("period"), age.alias("t"), (~F.col("success")).cast("long").alias("risk")).where("period between 0 and 8")
+    a = attempts(spark, sf_dir, datetime.date(1998, 1, 1), datetime.date(1998, 10, 1)).select(F.concat(F.lit("mid_"), F.right("gateway", F.lit(1))).alias("mid"), period.alias("period"), age.alias("t"), (~F.col("success")).cast("long").alias("risk")).where("period between 0 and 8")
     life = a.groupBy("mid", (F.col("period") + F.col("t")).alias("origin")).agg(F.sum("risk").alias("risk")).where("origin between 0 and 5")
     sold = a.where("t = 0").groupBy("mid", F.col("period").alias("origin")).agg(F.count(F.lit(1)).alias("txn"))
     return life.join(sold, ["mid", "origin"], "left").na.fill(0, ["txn"])
@@ -137,7 +137,7 @@ def report_cohort_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS_SQL}, p AS (SELECT gateway, CAST((1998 - year(day)) * 12 + 9 - month(day) AS INTEGER) AS period, success, amount FROM attempts)
 SELECT gateway, {", ".join(f"count(*) FILTER (period = {k} AND NOT success) AS risk_{k}, count(*) FILTER (period = {k}) AS txn_{k}" for k in range(3))}, round(100.0 * count(*) FILTER (period = 0 AND NOT success) / nullif(count(*) FILTER (period = 0), 0), 4) AS rate_0 FROM p WHERE period BETWEEN 0 AND 2 GROUP BY gateway""")
 def report_by_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = attempts(spark, sf_dir).withColumn("period", month_diff(F.lit(MONTH0), F.col("day"))).where("period between 0 and 2")
+    p = attempts(spark, sf_dir, datetime.date(1998, 7, 1), datetime.date(1998, 10, 1)).withColumn("period", month_diff(F.lit(MONTH0), F.col("day")))
     wide = p.groupBy("gateway").pivot("period", [0, 1, 2]).agg(F.sum((~F.col("success")).cast("long")).alias("risk"), F.count(F.lit(1)).alias("txn"))
     out = wide.select("gateway", *[F.coalesce(F.col(f"{k}_{v}"), F.lit(0)).cast("long").alias(f"{v}_{k}") for k in range(3) for v in ("risk", "txn")])
     return out.withColumn("rate_0", F.round(F.try_divide(100.0 * F.col("risk_0"), F.col("txn_0")), 4))
@@ -149,7 +149,7 @@ def report_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     from switchyard.functions.columns import share_of
 
     w = F.when(F.year("day") == 1997, "before").otherwise("after")
-    b = attempts(spark, sf_dir).where("year(day) in (1997, 1998)").groupBy("gateway", "currency", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", share_of("n", ["currency", "w"]))
+    b = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1999, 1, 1)).groupBy("gateway", "currency", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", share_of("n", ["currency", "w"]))
     wide = lambda k: F.count_distinct(F.when((F.col("w") == k) & (F.col("share") > 0.1), F.col("currency"))).alias(k)
     return b.groupBy("gateway").agg(wide("before"), wide("after"))
 
@@ -157,5 +157,5 @@ def report_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS_SQL} SELECT gateway, CAST((1998 - year(day)) * 12 + 9 - month(day) AS INTEGER) AS period, round(count(*) FILTER (NOT success) * CAST(day(last_day(max(origin))) AS DOUBLE) / 30.4167, 4) AS raw FROM attempts WHERE (1998 - year(day)) * 12 + 9 - month(day) BETWEEN 0 AND 5 GROUP BY ALL""")
 def report_raw_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = month_diff(F.lit(MONTH0), F.col("day"))
-    a = attempts(spark, sf_dir).withColumn("period", period).where("period between 0 and 5")
+    a = attempts(spark, sf_dir, datetime.date(1998, 4, 1), datetime.date(1998, 10, 1)).withColumn("period", period)
     return a.groupBy("gateway", "period").agg(F.round(F.sum((~F.col("success")).cast("long")) * F.dayofmonth(F.last_day(F.max("origin"))).cast("double") / AVERAGE_MONTH, 4).alias("raw"))

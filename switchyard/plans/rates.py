@@ -244,3 +244,25 @@ def impact_bank_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_rate_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = softmax_split(spark, sf_dir).withColumn("mid", F.concat(F.lit("mid_"), F.right("gateway", F.lit(1)))).select(*CELL, "gateway", "mid", "volume", "share", "risk_rate")
     return so.shaved(s, CELL, 0.03).select(*CELL, "gateway", F.round("share", 6).alias("share"))
+
+
+CHAIN = [["gateway"], ["rpgt"], ["bank"], ["bank", "rpgt"], ["bank", "rpgt", "currency"], ["bank", "rpgt", "currency", "gateway"]]
+
+
+def _chain_sql() -> str:
+    out = ["c0 AS (SELECT *, n - s AS f, (SELECT CAST(sum(n - s) AS DOUBLE) / sum(n) FROM cells) AS est FROM cells)"]
+    for k, keys in enumerate(CHAIN, 1):
+        by = ", ".join(keys)
+        out.append(f"g{k} AS (SELECT {by}, CAST(sum(n) AS DOUBLE) AS gn, CAST(sum(n - s) AS DOUBLE) AS gf FROM cells GROUP BY ALL)")
+        out.append(f"m{k} AS (SELECT count(*) AS k, sum(gf) / sum(gn) AS mu, sum(gn * pow(gf / gn, 2)) / sum(gn) AS q, sum(gn) AS n FROM g{k})")
+        out.append(f"x{k} AS (SELECT k, mu, greatest(q - mu * mu, 0) - mu * (1 - mu) * k / n AS ex FROM m{k})")
+        out.append(f"k{k} AS (SELECT CASE WHEN k < 2 THEN 50.0 WHEN mu <= 0 OR mu >= 1 THEN 5000.0 WHEN ex <= 1e-12 THEN 5000.0 ELSE least(greatest(mu * (1 - mu) / ex - 1, 1.0), 5000.0) END AS kappa FROM x{k})")
+        out.append(f"c{k} AS (SELECT c.* EXCLUDE (est), (gf + kappa * est) / (gn + kappa) AS est FROM c{k - 1} c JOIN g{k} USING ({by}), k{k})")
+    return ", ".join(out)
+
+
+@query(f"WITH {RATES_SQL}, {_chain_sql()} SELECT rpgt, currency, bank, gateway, round(est, 6) AS rate FROM c{len(CHAIN)}")
+def rates_refitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk rate of every cell and gateway, the bank's rate being the main support of thin cells."""
+    a = attempts(spark, sf_dir).select(*CELL, "gateway", (~F.col("success")).alias("success"))
+    return rounded(ra.refitted(ra.tallied(a, [*CELL, "gateway"]), CHAIN).select(*CELL, "gateway", "rate"), 6, "rate")

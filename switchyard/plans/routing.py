@@ -11,6 +11,7 @@ from switchyard.operators import projection as pr
 from switchyard.operators import timeline as tl
 from switchyard.plans.relational import daily_weights
 from switchyard.registry import query
+from switchyard.sources.shared import written
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts
 
 PROFILE = ["rpgt", "currency"]
@@ -32,7 +33,7 @@ WEIGHT_SQL = """weights AS (SELECT rpgt, currency, go_live, until, gateway, shar
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.right("gateway", F.lit(1)).cast("int")
-    keys = attempts(spark, sf_dir).select("rpgt", "currency", "gateway").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    keys = written(attempts(spark, sf_dir).select("rpgt", "currency", "gateway").distinct(), "rule-keys").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     keys = keys.where((g + F.col("k") + F.length("currency")) % 3 != 0)
     return keys.select("rpgt", "currency", F.date_add(F.lit(datetime.date(1998, 8, 10)), F.col("k") * 40 + F.length("rpgt")).alias("go_live"), "gateway", ((g + F.col("k")) % 4 + 1).cast("double").alias("share"))
 
@@ -81,7 +82,7 @@ VOL_SQL = """vol AS (SELECT rpgt, currency, gateway, m, CAST(0 AS INTEGER) AS t,
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each month repeats the volume of 1997: sales at age 0, failures at age 3."""
-    a = attempts(spark, sf_dir).where("year(day) = 1997")
+    a = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1998, 1, 1))
     sales = a.groupBy("rpgt", "currency", "gateway").agg(F.count(F.lit(1)).cast("double").alias("v"), F.sum((~F.col("success")).cast("double")).alias("r"))
     each = sales.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return each.select("rpgt", "currency", "gateway", "m", F.lit(0).alias("t"), "v").unionByName(each.where("r > 0").select("rpgt", "currency", "gateway", "m", F.lit(3).alias("t"), F.col("r").alias("v")))
@@ -95,6 +96,17 @@ def allocation_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.reallocated(volume(spark, sf_dir), weights(spark, sf_dir), PROFILE).withColumn("v", F.round("v", 6))
 
 
+@query(f"""WITH {RULES_SQL}, {SNAP_SQL}, {TIME_SQL}, {WEIGHT_SQL}, {VOL_SQL}, part AS (SELECT rpgt, currency, m, gateway, sum(w * share) AS p FROM weights GROUP BY ALL), tot AS (SELECT rpgt, currency, m, sum(p) AS p FROM part GROUP BY ALL), g AS (SELECT *, CASE WHEN t > 2 THEN 0.4 ELSE 1.0 END AS g FROM vol),
+b AS (SELECT rpgt, currency, gateway, m, t, sum(v) AS v FROM (SELECT g.rpgt, g.currency, g.gateway, g.m, t, CASE WHEN t <= g.m THEN greatest(v * (1 - g * coalesce(p, 0)), 0) ELSE v END AS v FROM g LEFT JOIN tot ON tot.rpgt = g.rpgt AND tot.currency = g.currency AND tot.m = g.m - t
+  UNION ALL SELECT g.rpgt, g.currency, part.gateway, g.m, t, v * g * p FROM g JOIN part ON g.rpgt = part.rpgt AND g.currency = part.currency AND g.m - t = part.m WHERE t <= g.m) GROUP BY ALL)
+SELECT rpgt, currency, gateway, m, t, round(v, 6) AS v FROM (SELECT * FROM b WHERE m <> 0 UNION ALL SELECT rpgt, currency, gateway, m, t, sum(v) FROM vol WHERE m = 0 GROUP BY ALL)""")
+def allocation_after_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scheme: risk follows the rules of its cohort's month, old risk moves in part, month 0 stays."""
+    v = volume(spark, sf_dir)
+    after = tl.reallocated(v, weights(spark, sf_dir), PROFILE, cohort=True, gate=2, gated=0.4)
+    return tl.with_month_zero(after, v, [*PROFILE, "gateway"]).withColumn("v", F.round("v", 6))
+
+
 @query(f"""WITH {RULES_SQL}, {SNAP_SQL}, {TIME_SQL}, {WEIGHT_SQL}, {VOL_SQL}, part AS (SELECT rpgt, currency, gateway, sum(w * share) AS p FROM weights WHERE m = -1 GROUP BY ALL), tot AS (SELECT rpgt, currency, sum(p) AS p FROM part GROUP BY ALL)
 SELECT m, t, round(sum(v), 3) AS v, count(DISTINCT gateway) AS gateways FROM (
   SELECT rpgt, currency, vol.gateway, m, t, CASE WHEN t <= m THEN greatest(v * (1 - coalesce(p, 0)), 0) ELSE v END AS v FROM vol LEFT JOIN tot USING (rpgt, currency)
@@ -124,7 +136,7 @@ def allocation_reroutable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS_SQL}, r AS (SELECT DISTINCT rpgt, currency, bank, gateway, CASE WHEN length(bank) % 2 = 0 THEN 'Specific' WHEN success THEN 'Expanded' ELSE 'Actuals' END AS rule_source FROM attempts WHERE year(day) = 1996)
 SELECT * FROM r WHERE rule_source <> 'Expanded' OR NOT EXISTS (SELECT 1 FROM r s WHERE s.rule_source = 'Specific' AND s.rpgt = r.rpgt AND s.currency = r.currency)""")
 def rules_catch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = attempts(spark, sf_dir).where("year(day) = 1996")
+    a = attempts(spark, sf_dir, datetime.date(1996, 1, 1), datetime.date(1997, 1, 1))
     kind = F.when(F.length("bank") % 2 == 0, "Specific").when(F.col("success"), "Expanded").otherwise("Actuals")
     return tl.cell_level_catch_all(a.select("rpgt", "currency", "bank", "gateway", kind.alias("rule_source")).distinct(), ["rpgt", "currency"])
 
@@ -134,9 +146,10 @@ c AS (SELECT rpgt, currency, bank, CAST(count(*) AS DOUBLE) AS volume FROM attem
 SELECT rpgt, currency, bank, coalesce(provider, '_all_') AS provider, coalesce(country, '_all_') AS country, round(volume * coalesce(frac, 1), 5) AS volume FROM c LEFT JOIN f USING (rpgt, currency, bank)""")
 def subcell_apportioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = ["rpgt", "currency", "bank"]
-    a = attempts(spark, sf_dir)
-    export = a.groupBy(*cell, "provider", "country").agg(F.sum((~F.col("success")).cast("long")).alias("txn_count")).withColumn("t", F.lit(0)).where("txn_count > 0")
-    cells = a.groupBy(*cell).agg(F.count(F.lit(1)).cast("double").alias("volume"))
+    fine = attempts(spark, sf_dir).groupBy(*cell, "provider", "country").agg(F.sum((~F.col("success")).cast("long")).alias("txn_count"), F.count(F.lit(1)).alias("n"))
+    fine = written(fine, "fine")  # used four times; its size follows the keys
+    export = fine.withColumn("t", F.lit(0)).where("txn_count > 0")
+    cells = fine.groupBy(*cell).agg(F.sum("n").cast("double").alias("volume"))
     return pr.apportioned(cells, pr.subcell_fractions(export, cell), cell, "volume").select(*cell, "provider", "country", F.round("volume", 5).alias("volume"))
 
 
@@ -151,7 +164,7 @@ def projection_two_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     mid = F.concat(F.lit("mid_"), F.right("gateway", F.lit(1)))
-    x = attempts(spark, sf_dir).where("year(day) = 1997").groupBy("rpgt", "currency", mid.alias("mid")).agg(F.count(F.lit(1)).cast("double").alias("txn"))
+    x = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1998, 1, 1)).groupBy("rpgt", "currency", mid.alias("mid")).agg(F.count(F.lit(1)).cast("double").alias("txn"))
     x = x.withColumn("pro_rata", 0.5 + F.length("currency") / 40.0).withColumn("fcp1_frac", F.lit(0.8))
     n = F.right("mid", F.lit(1)).cast("int") % 3
     p = x.where("currency <> 'MACHINERY'").select("rpgt", "currency", "mid", (n / F.sum(n).over(Window.partitionBy("rpgt", "currency"))).alias("prop"))
@@ -167,7 +180,7 @@ def projection_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     period = month_diff(F.lit(MONTH0), F.col("day"))
     age = F.least(F.greatest(month_diff(F.col("day"), F.col("origin")), F.lit(0)), F.lit(9))
-    a = attempts(spark, sf_dir).where("not success and year(day) in (1997, 1998)").withColumn("p", period).where("p >= 0")
+    a = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1998, 10, 1)).where("not success").withColumn("p", period).where("p >= 0")
     r = a.groupBy("currency", F.concat(F.lit("mid_"), F.right("gateway", F.lit(1))).alias("mid"), (F.col("p") % 6).alias("period"), age.alias("t")).agg(F.count(F.lit(1)).cast("double").alias("risk"))
     r = r.withColumn("pro_rata", F.lit(0.6)).withColumn("fcp1_frac", F.lit(0.8))
     keys = r.select("currency", "mid", (F.col("period") - F.col("t")).alias("origin")).distinct().where("origin >= 0")

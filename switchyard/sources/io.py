@@ -106,6 +106,50 @@ def write_report(frame: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def mid_list(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """(gateway, mid) of a CSV list, keys cleaned, the first of double gateways kept.  The first encoding in which no unreadable character appears is used."""
+    from switchyard.functions.columns import clean_key, first_present
+
+    for encoding in encodings:
+        rows = spark.read.option("header", True).option("encoding", encoding).csv(path)
+        broken = F.lit(False)
+        for c in rows.columns:
+            broken = broken | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+        if encoding == encodings[-1] or rows.where(broken).isEmpty():
+            break
+    names = {c.lower().strip(): c for c in rows.columns}
+    lower = rows.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+    gateway, mid = first_present(lower, ["gatewayfid", "gateway"]), first_present(lower, ["vampmid", "mastercardmid", "mid"])
+    listed = lower.select(clean_key(F.col(gateway)).alias("gateway"), F.trim(mid).alias("mid")).where("gateway is not null and mid is not null")
+    return listed.groupBy("gateway").agg(F.min("mid").alias("mid"))
+
+
+def rule_split(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Rule sheets of a folder as a split: shares of each cell and date that sum to 1."""
+    from switchyard.operators.timeline import snapshot_shares
+
+    return snapshot_shares(rule_sheets(spark, folder, keys), keys)
+
+
+def save_run(frames: Mapping[str, DataFrame], settings_: Mapping[str, object], folder: str) -> None:
+    """Tables and settings of a forecast, so that it can be allocated again without being made again."""
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        spark = frame.sparkSession
+    spark.createDataFrame([(json.dumps(dict(settings_), sort_keys=True, default=str),)], "settings string").coalesce(1).write.mode("overwrite").json(f"{folder}/settings.json")
+
+
+def load_run(spark: SparkSession, names: Sequence[str], folder: str) -> tuple[dict[str, DataFrame], dict]:
+    """What ``save_run`` saved.  Raises if a table is missing."""
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}, json.loads(spark.read.json(f"{folder}/settings.json").first().settings)
+
+
+def write_rule_files(rules: DataFrame, path: str, kind: str = "rpgt") -> None:
+    """Rules (json, and their ``kind``) in a folder for each kind, and a manifest of how many each holds."""
+    rules.select(kind, "json").write.mode("overwrite").partitionBy(kind).text(f"{path}/rules")
+    rules.groupBy(kind).agg(F.count(F.lit(1)).alias("rules")).coalesce(1).orderBy(kind).write.mode("overwrite").json(f"{path}/manifest")
+
+
 def write_rules(rules: DataFrame, path: str) -> None:
     """Rules (json, ...) as lines of JSON."""
     rules.select("json").write.mode("overwrite").text(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.registry import query
+from switchyard.sources.shared import folder
 from switchyard.sources.tables import table
 
 
@@ -23,7 +24,7 @@ def run_once(spark: SparkSession, source: str, name: str = "monitor") -> DataFra
     """Everything that the folder of Parquet files holds, through the stream, to a table of the session."""
     schema = spark.read.parquet(source).schema
     stream = windowed(spark.readStream.schema(schema).parquet(source), late="2 days")
-    job = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="switchyard-")).start()
+    job = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{folder(spark)}/switchyard-{uuid.uuid4().hex}-stream").start()
     job.awaitTermination()
     return spark.table(name)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from switchyard.operators import compression as cm
+from switchyard.operators import effects as ef
 from switchyard.operators import forecast as fc
 from switchyard.operators import projection as pr
 from switchyard.operators import relational as rl
@@ -99,8 +100,8 @@ def test_box_projection_is_feasible_and_nearest():
 
 @pytest.mark.parametrize("engine", sorted(so.ENGINES))
 def test_engines_keep_the_hard_cap_at_slider_zero(spark, engine):
-    rows = [("c", f"g{k}", 500, s, s / 500, r, 0.0, 0.97) for k, (s, r) in enumerate([(460, 0.010), (440, 0.006), (425, 0.004)])]
-    p = spark.createDataFrame(rows, "cell string, gateway string, attempts int, success int, success_rate double, risk_rate double, lower double, upper double")
+    rows = [("c", f"g{k}", 500, s, s / 500, s / 500, r, 0.0, 0.97) for k, (s, r) in enumerate([(460, 0.010), (440, 0.006), (425, 0.004)])]
+    p = spark.createDataFrame(rows, "cell string, gateway string, attempts int, success int, success_rate double, prior_rate double, risk_rate double, lower double, upper double")
     out = so.solved(p, ["cell"], engine, 0.006, 0.0).toPandas()
     assert out["share"].sum() == pytest.approx(1) and out["feasible"].all() and (out["share"].to_numpy() @ np.array([0.010, 0.006, 0.004])) <= 0.006 + 1e-6
 
@@ -126,3 +127,109 @@ def test_whole_weights_and_rule_round_trip(spark):
     assert rules.count() == 2
     found = cm.matched_rules(rules, {"rpgt": "t", "bank": "b3"}).collect()
     assert {r.gateway: r.weight for r in found} == {"x": 334, "y": 333, "z": 333} and len({r.priority for r in found}) == 1
+
+
+def cell_of(risks=(0.010, 0.006, 0.004), success=(0.92, 0.88, 0.85), attempts=(500, 60, 500)):
+    n = np.array(attempts, dtype=float)
+    return {"success_rate": np.array(success), "risk_rate": np.array(risks), "attempts": n, "success": n * np.array(success), "prior_rate": np.array(success), "lower": np.zeros(3), "upper": np.full(3, 0.97)}
+
+
+def simplex(step=0.01):
+    k = np.arange(0, 1 + step / 2, step)
+    a, b = np.meshgrid(k, k)
+    x = np.stack([a.ravel(), b.ravel(), 1 - a.ravel() - b.ravel()], axis=1)
+    return x[(x[:, 2] >= -1e-9) & (x <= 0.97 + 1e-9).all(axis=1)]
+
+
+def test_even_split_is_the_best_of_a_grid():
+    g, x = cell_of(), simplex()
+    value = lambda s: s @ g["success_rate"] - 0.02 * (s * np.log(np.maximum(s, 1e-12))).sum(axis=-1)
+    for cap in (np.inf, 0.008, 0.0055):
+        best = so.most_even(g, cap=cap)
+        inside = x[x @ g["risk_rate"] <= cap]
+        assert best @ g["risk_rate"] <= cap + 1e-9 and abs(best.sum() - 1) < 1e-9 and value(best) >= value(inside).max() - 1e-6
+
+
+def test_downside_split_is_the_best_of_a_grid():
+    g, x = cell_of(), simplex()
+    d = np.array([np.quantile(np.random.default_rng(1).beta(r * n + 0.5, (1 - r) * n + 0.5, 400_000), 0.95) - r for r, n in zip(g["risk_rate"], g["attempts"], strict=True)])
+    assert np.allclose(so.beta_quantile(0.95, g["risk_rate"] * g["attempts"] + 0.5, (1 - g["risk_rate"]) * g["attempts"] + 0.5) - g["risk_rate"], d, atol=2e-4)
+    gamma = 0.4 * g["success_rate"].mean() / d.mean()
+    value = lambda s: -s @ g["success_rate"] + gamma * np.sqrt((s * s * d * d).sum(axis=-1))
+    assert value(so.mean_downside(g)) <= value(x).min() + 2e-4
+
+
+def test_probability_of_being_best_equals_draws():
+    g = cell_of()
+    g["attempts"][1] = g["success"][1] = 0  # no data: a weak law at the pooled rate
+    rng = np.random.default_rng(2)
+    draws = np.stack([rng.beta(461, 41, 400_000), rng.beta(0.88 * 8 + 1, 0.12 * 8 + 1, 400_000), rng.beta(426, 76, 400_000)])
+    assert np.allclose(so.probability_best(g), np.bincount(draws.argmax(axis=0), minlength=3) / 400_000, atol=5e-3)
+    assert so.probability_best(g, gamma=5.0)[2] > so.probability_best(g)[2]
+
+
+def test_water_fill_and_spill_keep_the_sum(spark):
+    rows = [("a", "g1", 0.98), ("a", "g2", 0.015), ("a", "g3", 0.005), ("b", "g1", 1.0), ("b", "g2", 0.0), ("c", "g1", 0.6), ("c", "g2", 0.4)]
+    split = spark.createDataFrame(rows, "cell string, gateway string, share double")
+    got = {(r.cell, r.gateway): r.share for r in ef.water_filled(split, ["cell"], 0.97).collect()}
+    room = 0.97 - np.array([0.015, 0.005])
+    want = np.array([0.015, 0.005]) + room / room.sum() * 0.01
+    assert got["a", "g1"] == 0.97 and np.allclose([got["a", "g2"], got["a", "g3"]], want) and got["b", "g1"] == 1.0 and got["c", "g1"] == 0.6
+    spilt = {(r.cell, r.gateway): r.share for r in ef.respilled(split, ["cell"], 0.5).collect()}
+    assert all(abs(sum(v for (c, _), v in spilt.items() if c == k) - 1) < 1e-9 for k in "abc") and max(spilt.values()) <= 0.5 + 1e-9
+
+
+def export(spark, shares=None, mids=("Mid_A", "Mid_B", "Mid_C"), flat=False):
+    """The pro-rata fixture: six months, ages up to the month, risk vc0 * 0.9^t."""
+    risk, sales, ramp = (100.0, 40.0, 20.0), (1000.0, 800.0, 600.0), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+    rows = [("monthly renewal", "400001", m, p, t, risk[k] * 0.9**t, sales[k] if t == 0 else 0.0, 0.7 if flat else ramp[p - t], 0.8) for p in range(6) for t in range(p + 1) for k, m in enumerate(mids)]
+    return spark.createDataFrame(rows, "rpgt string, bin string, mid string, period int, t int, risk double, txn double, pro_rata double, fcp1_frac double")
+
+
+@pytest.mark.parametrize(("props", "cap", "flat"), [((0.2, 0.5, 0.3), 1.0, False), ((0.98, 0.015, 0.005), 0.97, False), ((0.2, 0.5, 0.3), 1.0, True)])
+def test_granular_projection_equals_row_by_row(spark, props, cap, flat):
+    mids, cell = ("Mid_A", "Mid_B", "Mid_C"), ["rpgt", "bin"]
+    shares = spark.createDataFrame([("monthly renewal", "400001", m, p) for m, p in zip(mids, props, strict=True)], "rpgt string, bin string, mid string, prop double")
+    got = {(r.mid, r.period, r.t): r for r in ef.granular_projection(export(spark, flat=flat), shares, cell, cap).collect()}
+    risk, sales, ramp = np.array([100.0, 40.0, 20.0]), np.array([1000.0, 800.0, 600.0]), [0.7] * 6 if flat else [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+    p = np.array(props)
+    q = p.copy()
+    if cap < 1:
+        q[0], room = cap, cap - p[1:]
+        q[1:] += room / room.sum() * (p[0] - cap)
+    for period in range(6):
+        mv = ramp[period] * 0.8
+        assert np.allclose([got[m, period, 0].txn_post for m in mids], sales * (1 - mv) + sales.sum() * mv * q)
+        for t in range(period + 1):  # a cohort's fraction and shares, the timing of the month in which it appears
+            pre = risk * 0.9**t
+            assert np.allclose([got[m, period, t].risk_post for m in mids], pre * (1 - mv) + pre.sum() * mv * p)
+    gaps = ef.conserved(spark.createDataFrame(list(got.values()))).collect()
+    assert len(gaps) == 6 and all(r.risk_gap < 1e-9 and r.txn_gap < 1e-9 for r in gaps)
+
+
+def test_missing_mids_are_filled_in(spark):
+    rows = export(spark).where("mid <> 'Mid_C' or t > 0")  # Mid_C has aged rows only
+    shares = spark.createDataFrame([("monthly renewal", "400001", m, p) for m, p in (("Mid_A", 0.5), ("Mid_C", 0.5))] + [("other", "400001", "Mid_A", 1.0)], "rpgt string, bin string, mid string, prop double")
+    out = ef.granular_projection(rows, shares, ["rpgt", "bin"])
+    c = {r.period: r for r in out.where("mid = 'Mid_C' and t = 0").collect()}
+    assert len(c) == 6 and all(r.txn_pre == 0 and r.txn_post > 0 and r.risk_pre == 0 for r in c.values())
+    assert out.where("rpgt = 'other'").count() == 0 and all(r.txn_gap < 1e-9 and r.risk_gap < 1e-9 for r in ef.conserved(out).collect())
+
+
+def test_catch_all_is_for_cells_without_shares(spark):
+    s = "cell string, gateway string, share double"
+    own = spark.createDataFrame([("a", "g1", 0.6), ("a", "g2", 0.2), ("b", "g1", 0.0)], s)
+    general = spark.createDataFrame([("a", "g3", 10.0), ("b", "g1", 12.0), ("b", "g2", 1.0), ("b", "g3", 0.0)], s)
+    got = {(r.cell, r.gateway): r.share for r in ef.catch_all_blended(own, general, ["cell"]).collect()}
+    assert got == {("a", "g1"): pytest.approx(0.75), ("a", "g2"): pytest.approx(0.25), ("b", "g1"): pytest.approx(12 / 13), ("b", "g2"): pytest.approx(1 / 13)}
+
+
+def test_forecasts_scan_the_lines_once(spark, tmp_path):
+    from switchyard import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not __import__("os").path.exists(folder):
+        pytest.skip("no tables")
+    for name in ("forecast_origin_lock", "forecast_tails"):
+        plan = catalogue.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_shipdate" not in plan  # all of it comes from the written history
