@@ -68,13 +68,13 @@ def effect_catch_all_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ef.catch_all_blended(own, general, CELL), 6, "share")
 
 
-@query(f"""WITH {SPLIT_SQL}, frac AS (SELECT bank, CASE WHEN bank = 'FRANCE' THEN NULL ELSE length(bank) / 10.0 END AS fraction FROM split GROUP BY bank),
+@query(f"""WITH {SPLIT_SQL}, frac AS (SELECT bank, CASE WHEN bank = 'NATION_6' THEN NULL ELSE length(bank) / 10.0 END AS fraction FROM split GROUP BY bank),
 x AS (SELECT s.*, least(greatest(coalesce(fraction, 0), 0), 1) AS part, seg.segment FROM split s LEFT JOIN frac USING (bank) CROSS JOIN (VALUES ('non_wallet'), ('wallet')) seg(segment)),
 a AS (SELECT *, CASE WHEN segment = 'wallet' AND gateway IN ('gw_2', 'gw_5') THEN 0 ELSE share END AS able FROM x)
 SELECT {CELLS}, gateway, segment, round(CASE WHEN segment = 'wallet' AND sum(able) OVER w > 0 THEN able / sum(able) OVER w ELSE share END, 6) AS share, round(volume * CASE WHEN segment = 'wallet' THEN part ELSE 1 - part END, 6) AS volume FROM a WINDOW w AS (PARTITION BY {CELLS}, segment)""")
 def effect_wallet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _split(spark, sf_dir).select(*CELL, "gateway", "share", "volume")
-    f = s.select("bank").distinct().withColumn("fraction", F.when(F.col("bank") == "FRANCE", None).otherwise(F.length("bank") / 10.0))
+    f = s.select("bank").distinct().withColumn("fraction", F.when(F.col("bank") == "NATION_6", None).otherwise(F.length("bank") / 10.0))
     return rounded(ef.wallet_segmented(s, ["gw_2", "GW_5"], f, ["bank"], CELL).select(*CELL, "gateway", "segment", "share", "volume"), 6, "share", "volume")
 
 
@@ -153,7 +153,7 @@ def projection_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("mid", "period").agg(F.round(F.sum("txn_pre"), 4).alias("txn_pre"), F.round(F.sum("txn_post"), 4).alias("txn_post"), money("pre"), money("post"))
 
 
-@query(f"""WITH {SPLIT_SQL}, c AS (SELECT {CELLS}, count(*) AS attempts, CAST(count(*) FILTER (success) AS DOUBLE) / count(*) AS cell, CASE WHEN bank = 'CHINA' THEN NULL ELSE CAST(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (success) AS DOUBLE) / count(*) FILTER (success) END AS ticket FROM attempts GROUP BY rpgt, currency, bank),
+@query(f"""WITH {SPLIT_SQL}, c AS (SELECT {CELLS}, count(*) AS attempts, CAST(count(*) FILTER (success) AS DOUBLE) / count(*) AS cell, CASE WHEN bank = 'NATION_18' THEN NULL ELSE CAST(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (success) AS DOUBLE) / count(*) FILTER (success) END AS ticket FROM attempts GROUP BY rpgt, currency, bank),
 g AS (SELECT {CELLS}, gateway, success_rate AS own FROM rates WHERE gateway <> 'gw_6'),
 x AS (SELECT s.{CELLS.replace(', ', ', s.')}, s.gateway, s.volume, s.share, s.baseline_share, coalesce(own, cell, 0) AS rate, CAST(coalesce(c.attempts, 0) AS DOUBLE) AS attempts, coalesce(ticket, 25.0) AS ticket FROM split s LEFT JOIN c USING ({CELLS}) LEFT JOIN g USING ({CELLS}, gateway)),
 y AS (SELECT *, volume * baseline_share AS pre_vol, volume * share AS post_vol, attempts * baseline_share * rate AS pre_succ, attempts * share * rate AS post_succ FROM x)
@@ -161,7 +161,7 @@ SELECT {CELLS}, gateway, round(pre_vol, 4) AS pre_vol, round(post_vol, 4) AS pos
 def impact_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = F.when(F.col("success"), F.col("amount").cast("decimal(18,2)"))  # exact sums, whatever their order
     a = attempts(spark, sf_dir).groupBy(*CELL).agg(F.count(F.lit(1)).alias("attempts"), F.avg(F.col("success").cast("double")).alias("success_rate"), (F.sum(won).cast("double") / F.count(won)).alias("ticket"))
-    cells = a.withColumn("ticket", F.when(F.col("bank") != "CHINA", F.col("ticket")))
+    cells = a.withColumn("ticket", F.when(F.col("bank") != "NATION_18", F.col("ticket")))
     out = ef.evaluated(_split(spark, sf_dir), cells, cell_rates(spark, sf_dir).where("gateway <> 'gw_6'"), CELL)
     return rounded(rounded(rounded(out, 4, "pre_vol", "post_vol", "pre_succ", "post_succ", "vol_delta", "share_delta_pp"), 5, "pre_rev", "post_rev"), 5, "rev_delta")
 

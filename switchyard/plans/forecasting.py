@@ -207,14 +207,14 @@ def forecast_shifted_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS_SQL}, profs AS (SELECT DISTINCT rpgt, currency, bank FROM attempts), known AS (SELECT DISTINCT rpgt, currency, bank FROM attempts WHERE day >= DATE '1998-06-01' AND day < DATE '1998-06-04'),
 lost AS (SELECT * FROM profs EXCEPT SELECT * FROM known), a AS (SELECT rpgt, currency, bank, gateway, count(*) AS n FROM attempts WHERE success AND day >= DATE '1998-01-01' GROUP BY ALL),
 a1 AS (SELECT rpgt, currency, bank, gateway FROM a QUALIFY row_number() OVER (PARTITION BY rpgt, currency, bank ORDER BY n DESC, gateway) = 1),
-b AS (SELECT bank, gateway, count(*) AS n FROM attempts WHERE day >= DATE '1995-01-01' GROUP BY ALL), b1 AS (SELECT bank, gateway FROM b WHERE bank <> 'FRANCE' QUALIFY row_number() OVER (PARTITION BY bank ORDER BY n DESC, gateway) = 1)
+b AS (SELECT bank, gateway, count(*) AS n FROM attempts WHERE day >= DATE '1995-01-01' GROUP BY ALL), b1 AS (SELECT bank, gateway FROM b WHERE bank <> 'NATION_6' QUALIFY row_number() OVER (PARTITION BY bank ORDER BY n DESC, gateway) = 1)
 SELECT rpgt, currency, bank, coalesce(a1.gateway, b1.gateway, 'unmapped') AS gateway, 1.0::DOUBLE AS share FROM lost LEFT JOIN a1 USING (rpgt, currency, bank) LEFT JOIN b1 USING (bank)""")
 def forecast_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles without a mapping get the gateway of their attempts, else the commonest of their bank, else ``unmapped``."""
     a, key = attempts(spark, sf_dir), ["rpgt", "currency", "bank"]
     known = a.where("day >= date'1998-06-01' and day < date'1998-06-04'").select(*key).distinct()
     own = commonest(a.where("success and day >= date'1998-01-01'"), key, "gateway")
-    by_bank = commonest(a.where("day >= date'1995-01-01' and bank <> 'FRANCE'"), ["bank"], "gateway")
+    by_bank = commonest(a.where("day >= date'1995-01-01' and bank <> 'NATION_6'"), ["bank"], "gateway")
     return fc.rescued(a.select(*key).distinct(), known, [(own, key), (by_bank, ["bank"])], key)
 
 

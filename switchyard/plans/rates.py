@@ -172,11 +172,11 @@ def split_blocked_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ra.blocked_capped(s, CELL, 0.02).select(*CELL, "gateway", "share"), 6, "share")
 
 
-@query(f"""WITH {SPLIT_SQL}, x AS (SELECT *, CASE WHEN lower(trim(gateway)) = 'gw_2' AND lower(trim(bank)) = 'france' OR lower(trim(gateway)) = 'gw_5' THEN 0.0 ELSE share END AS s FROM split)
+@query(f"""WITH {SPLIT_SQL}, x AS (SELECT *, CASE WHEN lower(trim(gateway)) = 'gw_2' AND lower(trim(bank)) = 'nation_6' OR lower(trim(gateway)) = 'gw_5' THEN 0.0 ELSE share END AS s FROM split)
 SELECT rpgt, currency, bank, gateway, round(CASE WHEN sum(s) OVER w > 0 THEN s / sum(s) OVER w ELSE s END, 6) AS share FROM x WINDOW w AS (PARTITION BY rpgt, currency, bank)""")
 def split_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = softmax_split(spark, sf_dir).select(*CELL, "gateway", "share")
-    ban = pr.ban_predicate([{"gateway": "gw_2", "bin": "FRANCE"}, {"gateway": "gw_5"}, {"gateway": "gw_6", "season": "x"}], s.columns)
+    ban = pr.ban_predicate([{"gateway": "gw_2", "bin": "NATION_6"}, {"gateway": "gw_5"}, {"gateway": "gw_6", "season": "x"}], s.columns)
     return rounded(pr.banned_out(s, ban, CELL), 6, "share")
 
 

@@ -80,10 +80,10 @@ def classify_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT lower(trim(rpgt)) || '|' || lower(currency) || '|' || regexp_replace(CAST(order_id AS VARCHAR) || '.0', '\\.0$', '') AS key, regexp_replace(gateway || '-x', '-x$', '') AS gateway, count(*) AS n
-FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-04-01' AND NOT (rpgt = '1-URGENT' AND provider = 'O' AND success) AND currency NOT IN ('MACHINERY') AND bank NOT LIKE 'UNITED%' GROUP BY ALL""")
+FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-04-01' AND NOT (rpgt = '1-URGENT' AND provider = 'O' AND success) AND currency NOT IN ('MACHINERY') AND bank NOT LIKE 'NATION_24%' GROUP BY ALL""")
 def filter_and_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = attempts(spark, sf_dir).where("day >= date'1998-01-01' and day < date'1998-04-01'")
-    a = a.where(~((F.col("rpgt") == "1-URGENT") & (F.col("provider") == "O") & F.col("success")) & ~F.col("currency").isin("MACHINERY") & ~F.col("bank").like("UNITED%"))
+    a = a.where(~((F.col("rpgt") == "1-URGENT") & (F.col("provider") == "O") & F.col("success")) & ~F.col("currency").isin("MACHINERY") & ~F.col("bank").like("NATION_24%"))
     key = co.composite_key([F.col("rpgt"), F.col("currency"), F.concat(F.col("order_id").cast("string"), F.lit(".0"))])
     return a.groupBy(key.alias("key"), co.canonical_gateway(F.concat("gateway", F.lit("-x"))).alias("gateway")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -177,13 +177,13 @@ def report_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.with_total(a, "gateway", ["n", "s"])
 
 
-@query(f"""WITH {ATTEMPTS_SQL}, a AS (SELECT rpgt, currency, CAST(sum(CAST(amount AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts GROUP BY ALL), b AS (SELECT rpgt, currency, CAST(sum(CAST(amount * CASE WHEN success THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts WHERE bank <> 'CHINA' GROUP BY ALL),
+@query(f"""WITH {ATTEMPTS_SQL}, a AS (SELECT rpgt, currency, CAST(sum(CAST(amount AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts GROUP BY ALL), b AS (SELECT rpgt, currency, CAST(sum(CAST(amount * CASE WHEN success THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS DECIMAL(18, 3))) AS DOUBLE) AS v FROM attempts WHERE bank <> 'NATION_18' GROUP BY ALL),
 d AS (SELECT concat_ws('|', rpgt, currency) AS key, coalesce(a.v, 0) - coalesce(b.v, 0) AS d FROM a FULL JOIN b USING (rpgt, currency))
 SELECT count(*) AS keys, CAST(sum(CASE WHEN abs(d) > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS beyond, max_by(key, abs(d)) AS worst, round(max(abs(d)), 3) AS difference FROM d""")
 def report_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = lambda c: c.cast("decimal(18,3)").alias("amount")  # noqa: E731  # sums that do not depend on the order of adding
     a = attempts(spark, sf_dir)
-    part = a.where("bank <> 'CHINA'").select("rpgt", "currency", exact(F.col("amount") * F.when(F.col("success"), 1.0).otherwise(0.5)))
+    part = a.where("bank <> 'NATION_18'").select("rpgt", "currency", exact(F.col("amount") * F.when(F.col("success"), 1.0).otherwise(0.5)))
     return rl.reconciled(a.select("rpgt", "currency", exact(F.col("amount"))), part, ["rpgt", "currency"], "amount", 100000.0).withColumn("difference", F.round("difference", 3))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from switchyard.operators import compression as cm
 from switchyard.plans.rates import CELL, SPLIT_SQL, softmax_split
 from switchyard.registry import query
+from switchyard.sources.shared import written
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def rules_gateway_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("rpgt", "currency", "signature").agg(F.count(F.lit(1)).alias("banks"))
 
 
-@query()
+@query(f"""WITH {SPLIT_SQL} SELECT rpgt, currency, bank, string_agg(gateway || '=' || format('{{:.3f}}', round(share, 3)), ',' ORDER BY gateway) AS signature FROM split WHERE share > 0 GROUP BY ALL""")
 def rules_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cm.signatures(_split(spark, sf_dir), CELL)
+    return cm.signatures(_split(spark, sf_dir), CELL, 3)
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +47,15 @@ def rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cm.matched_rules(rules_json(spark, sf_dir), {"rpgt": "1-URGENT", "currency": "BUILDING", "bank": "FRANCE"})
+    return cm.matched_rules(rules_json(spark, sf_dir), {"rpgt": "1-URGENT", "currency": "BUILDING", "bank": "NATION_6"})
 
 
 @query()
 def rules_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cm.clustered(_split(spark, sf_dir), CELL, [f"gw_{k}" for k in range(10)], 12)
+    return cm.clustered(_split(spark, sf_dir), CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], 0.8)
 
 
 @query()
 def rules_cluster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = _split(spark, sf_dir)
-    return cm.accuracy(before, cm.clustered(before, CELL, [f"gw_{k}" for k in range(10)], 12), CELL)
+    before = written(_split(spark, sf_dir), "split")  # its size follows the keys
+    return cm.accuracy(before, cm.clustered(before, CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], 0.8), CELL)

@@ -233,3 +233,13 @@ def test_forecasts_scan_the_lines_once(spark, tmp_path):
     for name in ("forecast_origin_lock", "forecast_tails"):
         plan = catalogue.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert "l_shipdate" not in plan  # all of it comes from the written history
+
+
+def test_clusters_keep_the_target(spark):
+    kinds = [np.array(x) for x in ((0.9, 0.1, 0.0), (0.1, 0.8, 0.1), (0.0, 0.2, 0.8))]
+    rows = [("t", f"b{k:02d}", f"g{i}", float(v), float(10 + k)) for k in range(24) for i, v in enumerate(kinds[k % 3])] + [("u", "b00", "g0", 1.0, 5.0)]
+    split = spark.createDataFrame(rows, "rpgt string, bank string, gateway string, share double, volume double")
+    out = cm.clustered(split, ["rpgt", "bank"], ["rpgt"], ["g0", "g1", "g2"], 0.99, 1.0)
+    got = out.toPandas()
+    assert got[got.rpgt == "t"].cluster.nunique() == 3 and got[got.rpgt == "u"].share.tolist() == [1.0] and cm.accuracy(split, out, ["rpgt", "bank"]).first()[0] > 99
+    assert cm.clustered(split, ["rpgt", "bank"], ["rpgt"], ["g0", "g1", "g2"], 0.1, 0.5).agg(F.max("share")).first()[0] <= 1.0
