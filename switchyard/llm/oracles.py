@@ -21,7 +21,8 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 FROM d LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
 OP8 = f"""WITH {_sets("documents", "doc_id", "d")}, {_sets("benchmark", "item_id", "q")},
-one AS (SELECT r, doc_id, unnest(s) AS x FROM d), item AS (SELECT r AS i, item_id, len(s) AS n, unnest(s) AS x FROM q),
+widths AS (SELECT DISTINCT len(w) AS k FROM q_words WHERE len(w) BETWEEN 1 AND 4), short AS (SELECT r, doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS x FROM d_words, widths WHERE len(w) >= k),
+one AS (SELECT r, doc_id, unnest(s) AS x FROM d UNION SELECT r, doc_id, x FROM short), item AS (SELECT r AS i, item_id, len(s) AS n, unnest(s) AS x FROM q),
 hits AS (SELECT one.r, item.i, item_id, n, count(*) AS c FROM one JOIN item USING (x) GROUP BY ALL HAVING 100 * count(*) >= 75 * n),
 found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items, max(c) AS best FROM hits GROUP BY r)
 SELECT doc_id, coalesce(n_items, 0) > 0 AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS item_ids, coalesce(best, 0) AS best_common FROM d LEFT JOIN found USING (r)"""
