@@ -40,4 +40,51 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) /
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
 
-SQL = {"op6_minhash_dedup": OP6, "op8_decontamination": OP8, "op12_source_divergence": OP12}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text, by the table of its reflected polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    steps = f"list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, CAST({table} AS BIGINT[])[(xor(c, b) & 255) + 1]))"
+    return f"xor({steps}, 4294967295)"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs over ``name``0 (tree, i, h, n): a table for each level above, runs of 16 as ``name``k_runs (tree, run, kids), and ``name``_top (tree, h)."""
+    each = [f"{name}{k}_runs AS (SELECT tree, i // 16 AS run, n, list(h ORDER BY i) AS kids FROM {name}{k} WHERE n > 1 GROUP BY ALL), {name}{k + 1} AS (SELECT tree, run AS i, sha256(array_to_string(kids, '')) AS h, (n + 15) // 16 AS n FROM {name}{k}_runs)" for k in range(levels)]
+    return ",\n".join(each) + f",\n{name}_top AS (" + " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")"
+
+
+def _folded(before: str, name: str, levels: int, out: str, tree: str, at: str) -> str:
+    """CTEs that add to ``before`` (proof, node, ...) the siblings of each level and fold the node with them."""
+    found = []
+    for k in range(levels):
+        kids, j = f"x{k}.kids", f"({at} // {16**k}) % 16"
+        left, right = f"array_to_string({kids}[1:{j}], '')", f"array_to_string({kids}[{j} + 2:], '')"
+        found.append(f"{out}{k} AS (SELECT b.* REPLACE (CASE WHEN x{k}.tree IS NULL THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN x{k}.tree IS NULL THEN node ELSE sha256({left} || node || {right}) END AS node) FROM {before} b LEFT JOIN {name}{k}_runs x{k} ON x{k}.tree = {tree} AND x{k}.run = {at} // {16 ** (k + 1)})")
+        before = f"{out}{k}"
+    return ",\n".join(found)
+
+
+_FIELDS = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+OP13 = f"""WITH rows AS (SELECT doc_id, coalesce('s' || source, '') AS tree, sha256({_FIELDS} || {_TEXT.format("text")}) AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN sha256({_FIELDS} || {_TEXT.format(_LOWER.format("text"))}) END AS changed FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM rows),
+t0 AS (SELECT tree, i, leaf AS h, n FROM d), {_tree("t", 8)},
+places AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS s, count(*) OVER () AS n FROM t_top),
+u0 AS (SELECT '' AS tree, s AS i, subroot AS h, n FROM places), {_tree("u", 6)},
+f AS (SELECT d.doc_id, d.tree, d.i, d.leaf, subroot, s, '' AS proof, coalesce(changed, leaf) AS node FROM d JOIN places USING (tree)),
+{_folded("f", "t", 8, "g", "b.tree", "b.i")},
+{_folded("g7", "u", 6, "k", "''", "b.s")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = h AS verified FROM k5, u_top"""
+
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
+OP11 = f"""WITH p AS (SELECT row_number() OVER () AS r, page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY page_id, r) AS k, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to, true AS intact FROM ranked"""
+
+SQL = {"op6_minhash_dedup": OP6, "op8_decontamination": OP8, "op11_arc_conversion": OP11, "op12_source_divergence": OP12, "op13_merkle_manifest": OP13}

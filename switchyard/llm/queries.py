@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchyard.llm.archives import archived
 from switchyard.llm.decontam import contamination
 from switchyard.llm.dedup import near_duplicates
 from switchyard.llm.divergence import divergence
 from switchyard.llm.maxent import scored
+from switchyard.llm.merkle import manifest
 from switchyard.llm.oracles import SQL
 from switchyard.llm.packing import Packing, pack
 from switchyard.llm.quality_qda import quality_report
@@ -69,12 +71,20 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_arc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op3_maxent_scoring, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op7_weak_supervision, op8_decontamination, op9_splitter_sharding, op10_quadratic_quality, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity_distance, op2_secret_battery, op3_maxent_scoring, op4_curve_packing, op5_url_ratio, op6_minhash_dedup, op7_weak_supervision, op8_decontamination, op9_splitter_sharding, op10_quadratic_quality, op11_arc_conversion, op12_source_divergence, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

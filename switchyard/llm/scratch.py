@@ -60,10 +60,15 @@ def tables(made: Tables) -> Iterator[Tables]:
         _RUN.reset(token)
 
 
+def tracked(path: str) -> str:
+    """``path``, to be deleted with the tables of the run."""
+    _RUN.get().paths.append(path)
+    return path
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to a new table in the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{root(spark)}/switchyard-{fresh()}-{name}"
-    _RUN.get().paths.append(path)
+    path = tracked(f"{root(spark)}/switchyard-{fresh()}-{name}")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
