@@ -26,18 +26,18 @@ ATTEMPTS = [
     ("Upgrades", "auth", "order", "a = 39", "!paypal", "", "", ""),
     ("Addon Sale", "capture", "order", "", "!paypal", "2", "", ""),
     ("Monthly Initial", "captureauth", "order", "a < 12", "paypal", "", "paypal", ""),
-    ("Monthly Initial", "auth", "order", "a < 12", "paypal", "", "chargehive", ""),
+    ("Monthly Initial", "auth", "order", "a < 12", "paypal", "", "processor_a", ""),
     ("Monthly Initial", "capture", "order", "a < 12", "paypal", "1", "", ""),
     ("Annual Sub Sale", "captureauth", "order", "a > 12 and a < 37", "paypal", "!2", "paypal", ""),
-    ("Annual Sub Sale", "auth", "order", "a > 12 and a < 37", "paypal", "!2", "chargehive", ""),
+    ("Annual Sub Sale", "auth", "order", "a > 12 and a < 37", "paypal", "!2", "processor_a", ""),
     ("Annual Sub Sale", "capture", "order", "a > 11", "paypal", "1", "", ""),
     ("Upgrades", "captureauth", "order", "a = 39", "paypal", "", "paypal", ""),
-    ("Upgrades", "auth", "order", "a = 39", "paypal", "", "chargehive", ""),
+    ("Upgrades", "auth", "order", "a = 39", "paypal", "", "processor_a", ""),
     ("Addon Sale", "captureauth", "order", "", "paypal", "2", "", ""),
     ("Monthly Renewal", "capture", "invoice", "a < 19", "", "!2", "", ""),
     ("Annual Sub Renewal", "capture", "invoice", "a > 18 and a <> 49", "", "!2", "", ""),
-    ("Annual Sub Renewal", "capture", "invoice", "a = 49", "", "!2", "", "vindicia"),
-    ("P6M Renewals", "capture", "invoice", "a = 49 or a = 80", "", "!2", "", "!vindicia"),
+    ("Annual Sub Renewal", "capture", "invoice", "a = 49", "", "!2", "", "processor_b"),
+    ("P6M Renewals", "capture", "invoice", "a = 49 or a = 80", "", "!2", "", "!processor_b"),
     ("Addon Renewal", "capture", "invoice", "", "", "2", "", ""),
     ("Refund", "refund", "", "", "", "", "", ""),
     ("Monthly Renewal", "auth", "invoice", "a < 19", "", "!2", "", ""),

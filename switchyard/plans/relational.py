@@ -17,8 +17,8 @@ FIELDS_LIST = [
     "CASE WHEN l_quantity = 48 THEN 80.0 WHEN l_quantity = 11 THEN NULL ELSE l_quantity END AS amount",
     "CASE l_suppkey % 4 WHEN 0 THEN 'paypal' WHEN 1 THEN 'creditcard' WHEN 2 THEN 'google_pay' ELSE 'voucher' END AS method",
     "CASE l_partkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE NULL END AS product_group",
-    "CASE WHEN l_partkey % 2 = 0 THEN 'paypal' ELSE 'chargehive' END AS processor",
-    "CASE WHEN l_orderkey % 2 = 0 THEN 'vindicia' ELSE 'other' END AS gateway_processor",
+    "CASE WHEN l_partkey % 2 = 0 THEN 'paypal' ELSE 'processor_a' END AS processor",
+    "CASE WHEN l_orderkey % 2 = 0 THEN 'processor_b' ELSE 'other' END AS gateway_processor",
     "l_returnflag = 'A' AS success",
     "l_linenumber % 2 AS fcp",
     "CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_suppkey % 2 END AS attempt",

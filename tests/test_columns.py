@@ -22,9 +22,10 @@ def test_null_rules_of_provider_buckets_and_flags(spark):
 
 
 def test_amounts_between_bands_are_errors(spark):
-    f = spark.createDataFrame([(11.0,), (12.0,), (37.0,), (38.0,), (39.0,)], "a double")
-    got = [r[0] for r in rows(f.select(co.attempt_type(F.lit("sale"), F.lit("card"), F.col("a"))))]
-    assert got == ["trial", "Error", "monthly sale", "Error", "annual sale"]
+    schema = "amount double, transaction string, payment string, method string, product_group string, processor string, gateway_processor string"
+    f = spark.createDataFrame([(a, "auth", "order", "creditcard", None, None, None) for a in (11.0, 12.0, 13.0, 37.0, 39.0, None)], schema)
+    got = [r[0] for r in rows(co.attempt_type(f).select("rpgt"))]
+    assert got == ["Monthly Initial", "Error", "Annual Sub Sale", "Error", "Upgrades", "Error"]
 
 
 def test_like_underscore_is_a_wildcard(spark):
