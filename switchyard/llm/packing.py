@@ -12,6 +12,7 @@ two, which need no padding.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,10 +47,13 @@ class Encoder:
     """Token ids of whole texts, as little-endian 16-bit values.
 
     The tokenizer splits at white space and at the border of letters and other signs before it merges, so pieces of text
-    between ASCII white space can be looked up one by one.  A text that holds the start of a special token's name is
-    encoded whole.  The lookup tables are bounded.
+    between ASCII white space can be looked up one by one, and a closing mark apart from a word that is all letters once
+    composed and lower-cased.  A text that holds the start of a special token's name is encoded whole; so is every text where a
+    vocabulary splits ``PROBES`` otherwise.  The lookup tables are bounded.
     """
 
+    PROBES = ("The end. of, \u0130! SAH\u0130B\u0130. b\u00dd\u00e9\u0130| e\u0301. don't 12.5%?", "x\u0130y ab;cd a. .a \u00df! \ufb01? \u03a3\u03a3; a\u0345| \u65e5\u672c. \u01c5!")
+
     def __init__(self, vocabulary: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -64,15 +68,23 @@ class Encoder:
         self.whole: dict[bytes, bytes] = {}
         self.letters: dict[bytes, bytes] = {}
         self.marks = {c.encode(): self.direct([c])[0] for c in ".,|!?;:"}
+        self.split = True
+        probes = [x.encode() for x in self.PROBES]
+        self.split = self.encode(probes) == self.direct(list(self.PROBES))
 
     def direct(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
+    @staticmethod
+    def lettered(word: bytes) -> bool:
+        """Whether the word is nothing but letters after the tokenizer's normalisation, which may add marks."""
+        return word.isalpha() or (word != b"" and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
+
     def learn(self, chunks: set[bytes]) -> None:
         compound, rest = [], []
         for c in chunks:
             word = c[:-1] if c[-1:] in self.marks else c
-            (compound if word.isalpha() or (word and word.decode().isalpha()) else rest).append((c, word))
+            (compound if self.lettered(word) else rest).append((c, word))
         new = list({word for _, word in compound if word not in self.letters})
         if new:
             ids = np.frombuffer(self.direct([b" ".join(new).decode()])[0], dtype="<u2")
@@ -92,7 +104,7 @@ class Encoder:
         for table in (self.whole, self.letters):
             if len(table) > self.limit:
                 table.clear()
-        parts, known, out = [None if b"<|" in x else x.lower().split() for x in some], self.whole, []
+        parts, known, out = [None if b"<|" in x or not self.split else x.lower().split() for x in some], self.whole, []
         self.learn({c for c in set().union(*(x for x in parts if x)) if c not in known})
         for text, chunks in zip(some, parts, strict=True):
             out.append(self.direct([text.decode()])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)))

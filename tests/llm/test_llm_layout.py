@@ -1,9 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from switchyard.llm.packing import Packing, hilbert, pack
+from switchyard.llm.packing import Encoder, Packing, hilbert, pack
 from switchyard.llm.sharding import Splitters, shard
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -25,7 +26,10 @@ def test_every_id_lies_in_one_piece(spark, odd, none):
     rows = odd.select("doc_id", "text").unionByName(extra)
     texts = {r.doc_id: r.text or "" for r in rows.collect()}
     got = pack(rows, Packing(path)).toPandas()
-    for doc, part in got.where(got.doc_id != 2).dropna().groupby("doc_id"):
+    bare, twice = (got[got.doc_id.isna()], got[got.doc_id == 2])
+    ids_of = lambda doc: len(tokenizer.encode(texts[doc], add_special_tokens=False).ids) + 1
+    assert bare.length.sum() == ids_of(None) and twice.length.sum() == 2 * ids_of(2) and set(twice.doc_tokens) == {ids_of(2)}
+    for doc, part in got[(got.doc_id != 2) & got.doc_id.notna()].groupby("doc_id"):
         ids = np.array(tokenizer.encode(texts[int(doc)], add_special_tokens=False).ids + [1], dtype="<u4")
         at = 0
         for r in part.sort_values("start").itertuples():
@@ -38,6 +42,18 @@ def test_every_id_lies_in_one_piece(spark, odd, none):
     assert pack(none, Packing(path)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_on_any_letters():
+    """Letters that lower-casing or composing turns into several signs, marks after them, and signs of all planes."""
+    encoder, rng = Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    odd_signs = list("abXYéÉİßﬁΣςıſKǅ日ا्ก1²Ⅷ.,|!?;:'-%") + ["\u0301", "\u0307", "\u0345", "\u200d", "\x1c", "\x85", "\U0001d400", " ", "  "]
+    planes = [(32, 0x24F), (0x250, 0x2FFF), (0xA640, 0xABFF), (0xF900, 0xFFEF), (0x10400, 0x1FFFF)]
+    assert encoder.split
+    for k in range(40):
+        sign = (lambda: rng.choice(odd_signs)) if k % 2 else (lambda: chr(rng.randint(*rng.choice(planes))) if rng.random() < 0.6 else rng.choice("ab.!|, "))
+        some = ["".join(sign() for _ in range(rng.randint(1, 14))) for _ in range(500)] + ["SAHİBİ. İ! bYéİ|"]
+        assert encoder.encode([x.encode() for x in some]) == encoder.direct(some)
+
+
 def test_shards_are_even_whole_and_gapless(spark, odd, none):
     rng = np.random.default_rng(1)
     rows = [(k, "hot text of a third of all rows" if k % 3 == 0 else f"{k} " + "x" * int(rng.integers(10, 60))) for k in range(6000)]
