@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -388,7 +388,7 @@ def _lookups(docs: DataFrame, shared, p: MaxEnt, power: int) -> DataFrame:  # no
     """One scan.  For each group of texts (the first has the number ``first``) a TEXT row with what the shared tables give (``keys``: ids, ``owners``: which are not null, ``stats``: tokens, known, base, score of each), and blocks of keys for what they do not (``owners``: places of their texts in the group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, s, part = kept("codes", Codes), shared.value, TaskContext.get().partitionId()
+        codes, s, part = kept("codes", Codes), Shared(*shared.value), TaskContext.get().partitionId()
         log_c = np.append(np.log10(s.words[1] + 1.0), 0.0)  # the last is for words that are looked up later
         weight, norm = np.append(s.pairs[1], 0.0), np.append(s.contexts[1], 0.0)
         first, n_texts, waiting, ids, stats, held = part << 33, 0, 0, [], [], {WORDS: [], PAIRS: [], SPREAD: []}
@@ -506,11 +506,13 @@ def scored(docs: DataFrame, p: MaxEnt = MaxEnt()) -> DataFrame:
     A null doc_id counts as the empty text for its fold; repeated rows each count and each give a row; other columns are
     ignored; with no training rows every count is 0; empty input gives an empty result.  Class weights are an average over
     tasks, so scores move a little with how the table is cut into partitions; counts and base scores do not.
+    A text that the model learnt from counts among its own statistics and so scores higher than one held out: compare texts of
+    one fold only.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()[0]
     power = max(size // p.text, 1).bit_length()
     words, model, tables, n_all = fitted(docs, p, power)
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(tables, f.name) for f in fields(tables)))  # plain arrays: broadcasts are pickled by reference
     by = lambda frame: frame.repartition(3 << power, "kind", "block").groupBy("kind", "block")
     found = by(_lookups(docs, shared, p, power)).cogroup(by(words.unionByName(model))).applyInArrow(_resolved, _FOUND)
     sums = found.groupBy("first").applyInArrow(_summed, _RESULT)
