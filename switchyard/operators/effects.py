@@ -15,11 +15,12 @@ DUST = 1e-12
 
 def _by_cell(split: DataFrame, cell: Sequence[str], sweep, sweeps: int) -> DataFrame:  # noqa: ANN001
     """Shares of each cell, as one short array, put through ``sweep`` up to ``sweeps`` times; other columns stay."""
-    rows = F.array_sort(F.collect_list(F.struct("gateway", "share")))  # a cell's gateways: tens
+    others = [c for c in split.columns if c not in cell and c != "gateway"]
+    rows = F.array_sort(F.collect_list(F.struct("gateway", *others)))  # a cell's gateways: tens
     x = split.groupBy(*cell).agg(rows.alias("_g")).withColumn("_w", F.transform("_g", lambda g: g["share"]))
     x = x.withColumn("_w", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.col("_w"), lambda w, _: sweep(w)))
-    new = x.select(*cell, F.explode(F.arrays_zip(F.col("_g.gateway").alias("gateway"), F.col("_w").alias("_new"))).alias("_z")).select(*cell, "_z.gateway", "_z._new")
-    return split.join(new, [*cell, "gateway"]).withColumn("share", F.col("_new")).drop("_new")
+    each = x.select(*cell, F.explode(F.arrays_zip("_g", "_w")).alias("_z")).withColumn("share", F.col("_z._w"))
+    return each.select(*[c if c in cell or c == "share" else F.col(f"_z._g.{c}").alias(c) for c in split.columns])
 
 
 def _total(values: Column) -> Column:

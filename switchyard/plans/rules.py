@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.operators import compression as cm
+from switchyard.operators import template as te
 from switchyard.plans.rates import CELL, SPLIT_SQL, softmax_split
 from switchyard.registry import query
 from switchyard.sources.shared import written
+from switchyard.sources.tables import attempts
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,3 +61,46 @@ def rules_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_cluster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = written(_split(spark, sf_dir), "split")  # its size follows the keys
     return cm.accuracy(before, cm.clustered(before, CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], 0.8), CELL)
+
+
+USA_ONLY, INCAPABLE = ["gw_1", "gw_2", "gw_3", "gw_7"], ["gw_4", "gw_5", "gw_6"]
+SUB = [*CELL, "country", "provider"]
+_SUB = ", ".join(SUB)
+TEMPLATE_SQL = f"""{SPLIT_SQL}, sums AS (SELECT rpgt, currency, bank, gateway, pow(share, 3) AS s FROM split), base AS (SELECT rpgt, currency, bank, gateway, s / sum(s) OVER (PARTITION BY rpgt, currency, bank) AS share FROM sums),
+presence AS (SELECT currency, bank, count(*) FILTER (country = 'USA') AS usa, count(*) FILTER (country <> 'USA') AS other FROM attempts WHERE length(bank) % 3 <> 0 GROUP BY ALL),
+sub AS (SELECT base.*, country, provider FROM base LEFT JOIN presence USING (currency, bank), (VALUES ('USA'), ('Non-USA')) c(country), (VALUES ('GOOGLEPAY'), ('APPLEPAY'), ('non_gp_ap')) p(provider)
+  WHERE usa IS NULL OR (country = 'USA' AND usa > 0) OR (country = 'Non-USA' AND (other > 0 OR usa = 0))),
+able AS (SELECT * REPLACE (CASE WHEN (country <> 'USA' AND gateway IN ('gw_1', 'gw_2', 'gw_3', 'gw_7')) OR (provider <> 'non_gp_ap' AND gateway IN ('gw_4', 'gw_5', 'gw_6')) THEN 0 ELSE share END AS share) FROM sub),
+n AS (SELECT * REPLACE (CASE WHEN sum(share) OVER w > 0 THEN share / sum(share) OVER w ELSE 0 END AS share) FROM able WINDOW w AS (PARTITION BY {_SUB})),
+m AS (SELECT *, sum(greatest(share - 0.4, 0)) OVER w AS excess, sum(CASE WHEN share > 1e-12 AND share < 0.4 - 1e-12 THEN 0.4 - share ELSE 0 END) OVER w AS space, sum(CASE WHEN share > 1e-12 THEN 1 ELSE 0 END) OVER w AS used FROM n WINDOW w AS (PARTITION BY {_SUB})),
+filled AS (SELECT {_SUB}, gateway, used, CASE WHEN used >= 2 AND excess > 1e-12 THEN CASE WHEN share > 0.4 THEN 0.4 WHEN share > 1e-12 AND share < 0.4 - 1e-12 AND space > 1e-12 THEN share + (0.4 - share) / space * least(excess, space) ELSE share END ELSE share END AS share FROM m),
+u AS (SELECT *, CAST(round(share * 10000) AS BIGINT) AS u, CASE WHEN used >= 2 THEN 4000 ELSE 10000 END AS lim FROM filled),
+r AS (SELECT *, CASE WHEN sum(u) OVER w > 0 THEN 10000 - sum(u) OVER w ELSE 0 END AS r FROM u WINDOW w AS (PARTITION BY {_SUB})),
+room AS (SELECT *, CASE WHEN u = 0 THEN 0 WHEN r > 0 THEN greatest(lim - u, 0) ELSE u END AS room FROM r),
+pushed AS (SELECT *, coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(room) OVER (PARTITION BY {_SUB}) AS space, row_number() OVER o AS k FROM room WINDOW o AS (PARTITION BY {_SUB} ORDER BY u = 0, u >= lim, u DESC, gateway)),
+sheet AS (SELECT {_SUB}, gateway, CAST(u + sign(r) * (greatest(least(room, abs(r) - before), 0) + CASE WHEN k = 1 THEN greatest(abs(r) - space, 0) ELSE 0 END) AS BIGINT) AS units FROM pushed)"""
+
+
+def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts at home and abroad, for most banks: the others are taken to have both."""
+    a = attempts(spark, sf_dir).where("length(bank) % 3 <> 0")
+    return a.groupBy("currency", "bank").agg(F.count_if(F.col("country") == "USA").alias("usa"), F.count_if(F.col("country") != "USA").alias("other"))
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steep = _split(spark, sf_dir).withColumn("share", F.pow("share", F.lit(3.0)))
+    return te.template(steep, CELL, _presence(spark, sf_dir), USA_ONLY, INCAPABLE, 0.4)
+
+
+@query(f"WITH {TEMPLATE_SQL} SELECT {_SUB}, gateway, units FROM sheet")
+def rules_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet(spark, sf_dir).select(*SUB, "gateway", "units")
+
+
+@query(f"""WITH {TEMPLATE_SQL}, sig AS (SELECT {_SUB}, sum(units) AS "check", string_agg(gateway || ':' || units, ',' ORDER BY gateway) FILTER (units > 0) AS signature FROM sheet GROUP BY ALL),
+fst AS (SELECT *, min((currency, bank, country <> 'USA', CASE provider WHEN 'GOOGLEPAY' THEN 1 WHEN 'APPLEPAY' THEN 2 ELSE 3 END)) OVER (PARTITION BY rpgt, coalesce(signature, '')) AS first FROM sig)
+SELECT {_SUB}, CAST("check" AS BIGINT) AS "check", dense_rank() OVER (PARTITION BY rpgt ORDER BY first) AS condition FROM fst""")
+def rules_template_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's sum and condition code: rows of one type with the same shares have the same."""
+    rows = written(_sheet(spark, sf_dir).select(*SUB, "gateway", "units"), "template")
+    return te.conditions(rows, ["rpgt"], SUB)
