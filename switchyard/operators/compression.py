@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
+from switchyard.operators.ordered import running
 
 
 def signatures(split: DataFrame, cell: Sequence[str], digits: int = 4) -> DataFrame:
@@ -44,8 +45,8 @@ def rule_json(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[F.struct(F.lit(k).alias("key"), F.lit("IN").alias("operator"), F.array(F.col(k).cast("string")).alias("values")) for k in keys],
         F.struct(F.lit("bank").alias("key"), F.lit("IN").alias("operator"), F.col("banks").alias("values")),
     )
-    order = Window.orderBy(F.size("banks"), *keys, "chunk", F.to_json("connectors"))  # rules, not traffic
-    ranked = rules.withColumn("priority", F.row_number().over(order))
+    sized = rules.withColumn("_size", F.size("banks")).withColumn("_text", F.to_json("connectors"))
+    ranked = running(sized, ["_size", *keys, "chunk", "_text"]).withColumn("priority", F.col("row").cast("int"))
     body = F.struct(F.lit("ConnectorPool").alias("kind"), F.struct("priority", expressions.alias("expressions")).alias("selector"), F.struct("connectors").alias("spec"))
     return ranked.select("priority", F.to_json(body).alias("json"))
 

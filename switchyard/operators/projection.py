@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import finite, share_of
+from switchyard.operators.ordered import running
+from switchyard.sources.shared import written
 
 WHOLE = "_all_"
 
@@ -124,6 +126,32 @@ def headline(cells: DataFrame) -> DataFrame:
     return cells.agg(*[mean(c) for c in ("base_success", "new_success", "base_risk", "new_risk", "moved")])
 
 
+def moved_by_dial(variations: DataFrame) -> DataFrame:
+    """(dial, moved_pct): per cent of the reference's volume that other gateways carry at each dial; the reference is the highest.
+
+    ``variations``: dial, gateway, volume (of the cell), share; any further key columns.
+    """
+    sums = variations.groupBy("dial", "gateway").agg(F.sum(F.coalesce("share", F.lit(0.0)) * F.coalesce("volume", F.lit(0.0))).alias("_v"))
+    sums = written(sums, "by-dial")  # a row for each dial and gateway
+    top = sums.join(sums.agg(F.max("dial").alias("dial")), "dial").select("gateway", F.col("_v").alias("_ref"))
+    whole = F.broadcast(top.agg(F.greatest(F.sum("_ref"), F.lit(1e-9)).alias("_all")))  # one row
+    grid = sums.select("dial").distinct().join(F.broadcast(top.select("gateway").union(sums.select("gateway")).distinct()))  # dials by gateways, some hundred rows
+    both = grid.join(sums, ["dial", "gateway"], "left").join(top, "gateway", "left").join(whole)
+    gap = F.abs(F.coalesce("_v", F.lit(0.0)) - F.coalesce("_ref", F.lit(0.0)))
+    return both.groupBy("dial").agg((50 * F.sum(gap) / F.max("_all")).alias("moved_pct"))
+
+
+def moved_curve(cells: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Cells by volume moved, the most first, with running totals: (cell, row, moved_volume, moved_so_far, volume_so_far).
+
+    ``cells``: cell, volume, moved (share).  Volumes are decimals of six places, so totals are exact.  Ties go by the cell.
+    """
+    exact = lambda c: F.round(c, 6).cast("decimal(28,6)")
+    rows = cells.select(*cell, exact(F.col("volume")).alias("_volume"), exact(F.col("volume") * F.col("moved")).alias("moved_volume"))
+    found = running(rows, ["-moved_volume", *cell], {"moved_so_far": "moved_volume", "volume_so_far": "_volume"})
+    return found.select(*cell, "row", *[F.col(c).cast("double").alias(c) for c in ("moved_volume", "moved_so_far", "volume_so_far")])
+
+
 def standardised(frame: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """z-score within ``group``, population deviation; about no spread gives 0."""
     w = Window.partitionBy(*group)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from switchyard.operators.ordered import running
+from switchyard.sources.shared import written
+
 CELL = ("rpgt", "currency", "bank")
 
 
@@ -113,3 +116,23 @@ def gap_z(rates: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     two = rates.withColumn("_r", rank).where("_r <= 2").withColumn("_v", var).groupBy(*cell).agg(
         F.max(F.when(F.col("_r") == 1, F.col("success_rate"))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col("success_rate"))).alias("second"), F.sum("_v").alias("v"))
     return two.where("second is not null").select(*cell, (F.col("best") - F.col("second")).alias("gap"), F.try_divide(F.col("best") - F.col("second"), F.sqrt("v")).alias("z"))
+
+
+def temperatures(rates: DataFrame, cell: Sequence[str], anchor: float = 0.17, ceiling: float = 0.30, most: float = 500.0) -> DataFrame:
+    """(cell, z, temperature): how sharply a cell may prefer its best gateway, by how sure the gap of its two best is.
+
+    ``rates``: cell, gateway, success_rate, attempts.  z is the gap over its standard error on at most ``most`` attempts, at least 0, and
+    null where fewer than two gateways have attempts.  Temperatures are in proportion to z, so that the median cell's is ``anchor``,
+    up to ``ceiling``; cells without z, and all where the median is about 0, have ``anchor``.
+    """
+    p = F.least(F.greatest(F.coalesce("success_rate", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    used = rates.withColumn("_p", F.when(F.col("attempts") > 0, p)).withColumn("_v", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9)) / F.least("attempts", F.lit(most)))
+    two = used.withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("_p").desc_nulls_last(), "gateway"))).where("_k <= 2")
+    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    each = two.groupBy(*cell).agg((pick(1, "_p") - pick(2, "_p")).alias("_gap"), (pick(1, "_v") + pick(2, "_v")).alias("_var"))
+    each = written(each.select(*cell, F.greatest(F.col("_gap") / F.sqrt("_var"), F.lit(0.0)).alias("z")), "gaps")
+    ranked = running(each.where("z is not null").select("z"), ["z"])
+    n = each.where("z is not null").count()
+    median = (ranked.where(F.col("row").isin((n + 1) // 2, n // 2 + 1)).agg(F.avg("z")).first()[0] or 0.0) if n else 0.0
+    scaled = F.least(F.col("z") * (anchor / median), F.lit(ceiling)) if median > 1e-9 else F.lit(anchor)
+    return each.withColumn("temperature", F.coalesce(F.when(F.col("z").isNotNull(), scaled), F.lit(anchor)))

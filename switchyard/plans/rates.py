@@ -266,3 +266,31 @@ def rates_refitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk rate of every cell and gateway, the bank's rate being the main support of thin cells."""
     a = attempts(spark, sf_dir).select(*CELL, "gateway", (~F.col("success")).alias("success"))
     return rounded(ra.refitted(ra.tallied(a, [*CELL, "gateway"]), CHAIN).select(*CELL, "gateway", "rate"), 6, "rate")
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, r AS (SELECT currency, bank, gateway, count(*) AS n, CAST(count(*) FILTER (success) AS DOUBLE) / count(*) AS p FROM attempts GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY currency, bank ORDER BY p DESC, gateway) AS k, greatest(p * (1 - p), 1e-9) / least(n, 20.0) AS v FROM r),
+z AS (SELECT currency, bank, CASE WHEN count(*) = 2 THEN greatest((max(p) - min(p)) / sqrt(sum(v)), 0) END AS z FROM o WHERE k <= 2 GROUP BY ALL), m AS (SELECT median(z) AS m FROM z)
+SELECT currency, bank, round(z, 6) AS z, round(CASE WHEN z IS NULL OR m <= 1e-9 THEN 0.17 ELSE least(z * (0.17 / m), 0.3) END, 6) AS temperature FROM z, m""")
+def rates_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax temperature of every bank and currency, anchored at the median cell."""
+    each = attempts(spark, sf_dir).groupBy("currency", "bank", "gateway").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("s"))
+    found = ra.temperatures(each.withColumn("success_rate", F.col("s") / F.col("attempts")), ["currency", "bank"], most=20.0)
+    return rounded(found, 6, "z", "temperature")
+
+
+@query(f"""WITH {SPLIT_SQL}, c AS (SELECT rpgt, currency, bank, CAST(round(max(volume), 6) AS DECIMAL(28, 6)) AS v, CAST(round(max(volume) * sum(abs(share - baseline_share)) / 2, 6) AS DECIMAL(28, 6)) AS m FROM split GROUP BY ALL)
+SELECT rpgt, currency, bank, row_number() OVER w AS row, CAST(m AS DOUBLE) AS moved_volume, CAST(sum(m) OVER w AS DOUBLE) AS moved_so_far, CAST(sum(v) OVER w AS DOUBLE) AS volume_so_far FROM c WINDOW w AS (ORDER BY m DESC, rpgt, currency, bank ROWS UNBOUNDED PRECEDING)""")
+def impact_moved_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which few cells move most of the volume: running totals over all cells."""
+    return pr.moved_curve(pr.impact(softmax_split(spark, sf_dir), CELL), CELL)
+
+
+@query(f"""WITH {SPLIT_SQL}, d(dial) AS (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)), s AS (SELECT dial, gateway, sum(volume * (dial * share + (1 - dial) * baseline_share)) AS v FROM split, d GROUP BY ALL),
+t AS (SELECT gateway, v AS r FROM s WHERE dial = 1.0) SELECT CAST(dial AS DOUBLE) AS dial, round(50 * sum(abs(v - r)) / sum(r), 6) AS moved_pct FROM s JOIN t USING (gateway) GROUP BY ALL""")
+def impact_moved_by_dial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cent of the volume that has to move as the dial leaves the proposed split for the baseline."""
+    dials = F.explode(F.array(*[F.lit(k / 4) for k in range(5)]))
+    s = softmax_split(spark, sf_dir).withColumn("dial", dials)
+    mixed = s.withColumn("share", F.col("dial") * F.col("share") + (1 - F.col("dial")) * F.col("baseline_share"))
+    return rounded(pr.moved_by_dial(mixed.select("dial", *CELL, "gateway", "volume", "share")), 6, "moved_pct")
