@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
+from switchyard.operators.budget import compressed
 from switchyard.operators.ordered import running
 
 
@@ -61,75 +60,12 @@ def matched_rules(rules: DataFrame, profile: dict[str, str]) -> DataFrame:
     return parsed.where(F.forall("r.selector.expressions", lambda e: F.array_contains(e["values"], F.element_at(facts, e["key"])))).select("r.selector.priority", F.explode("r.spec.connectors").alias("c")).select("priority", "c.gateway", "c.weight").orderBy("priority", "gateway")
 
 
-def _lloyd(x: np.ndarray, w: np.ndarray, k: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted k-means: (cluster of each row, centroids).  It starts from the heaviest row and those that are heavy and far from all before, so it is the same every time."""
-    chosen = [int(w.argmax())]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        chosen.append(int((w * far).argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    centres, at = x[chosen].copy(), None
-    for _ in range(rounds):
-        new = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if at is not None and (new == at).all():
-            break
-        at = new
-        for c in range(k):
-            if (at == c).any():
-                centres[c] = np.average(x[at == c], axis=0, weights=w[at == c])
-    return at, centres
-
-
-def _spilt(x: np.ndarray, cap: float) -> np.ndarray:
-    """Shares capped, the excess going to the others in proportion, until none is over."""
-    for _ in range(50):
-        over = x > cap + 1e-12
-        open_ = ~over & (x > 0)
-        if not over.any() or not open_.any():
-            break
-        excess = (x[over] - cap).sum()
-        x = np.where(over, cap, x)
-        x = np.where(open_, x + excess * x / x[open_].sum(), x)
-    return x
-
-
-def clustered(split: DataFrame, cell: Sequence[str], group: Sequence[str], gateways: Sequence[str], target: float = 0.95, most: float = 0.97) -> DataFrame:
+def clustered(split: DataFrame, cell: Sequence[str], group: Sequence[str], gateways: Sequence[str], target: float = 0.95, most: float = 0.97, fine: int = 256) -> DataFrame:
     """(cell, cluster, gateway, share): in each ``group`` the cells share few splits, as few as keep ``target`` of the volume routed as before.
 
-    A group's cells, one for each bank, are clustered in one task, by weighted k-means on their share vectors; k doubles until the target is met, then the least k between
-    is searched.  Centroids are capped at ``most``.  Columns share and volume.
+    Up to ``fine`` splits a group (``budget.compressed``).  Centroids are capped at ``most``.  Columns share and volume.
     """
-    names = list(gateways)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(cell)).reset_index(drop=True)
-        x, w = np.array(g["x"].tolist(), dtype=float), np.maximum(g["w"].to_numpy(float), 1e-9)
-
-        def fit(k: int) -> tuple[float, np.ndarray, np.ndarray]:
-            at, centres = _lloyd(x, w, k)
-            centres = np.stack([_spilt(c / max(c.sum(), 1e-12), most) for c in centres])
-            return 1 - (w * np.abs(x - centres[at]).sum(axis=1)).sum() / (2 * w.sum()), at, centres
-
-        high = 1
-        best = fit(high)
-        while best[0] < target and high < len(x):
-            high = min(2 * high, len(x))
-            best = fit(high)
-        low = high // 2 + 1
-        while low < high:
-            mid = (low + high) // 2
-            found = fit(mid)
-            low, high, best = (low, mid, found) if found[0] >= target else (mid + 1, high, best)
-        _, at, centres = best
-        return g[list(cell)].assign(cluster=at.astype("int32"), share=list(centres[at]))
-
-    vector = F.map_from_entries(F.collect_list(F.struct("gateway", "share")))  # a cell's gateways
-    wide = split.groupBy(*cell).agg(vector.alias("m"), F.max("volume").cast("double").alias("w"))
-    wide = wide.select(*cell, "w", F.array(*[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names]).alias("x"))
-    types = dict(split.dtypes)
-    found = wide.groupBy(*group).applyInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in cell), "cluster int, share array<double>"]))
-    each = found.select(*cell, "cluster", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("gateway"), F.col("share"))).alias("z"))
-    return each.select(*cell, "cluster", F.col("z.gateway").alias("gateway"), F.col("z.share").alias("share")).where("share > 1e-9")
+    return compressed(split, cell, group, gateways, target=target, fine=fine, most=most)[0]
 
 
 def accuracy(before: DataFrame, after: DataFrame, cell: Sequence[str]) -> DataFrame:

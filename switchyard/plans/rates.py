@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchyard.operators import prices as pc
 from switchyard.operators import projection as pr
 from switchyard.operators import rates as ra
 from switchyard.operators import solvers as so
@@ -294,3 +295,20 @@ def impact_moved_by_dial(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = softmax_split(spark, sf_dir).withColumn("dial", dials)
     mixed = s.withColumn("share", F.col("dial") * F.col("share") + (1 - F.col("dial")) * F.col("baseline_share"))
     return rounded(pr.moved_by_dial(mixed.select("dial", *CELL, "gateway", "volume", "share")), 6, "moved_pct")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = softmax_split(spark, sf_dir).withColumn("mid", F.concat(F.lit("mid_"), F.right("gateway", F.lit(1))))
+    return pc.price_capped(s.select(*CELL, "gateway", "mid", "volume", "share", "risk_rate"), CELL, 0.0281, most=0.97)
+
+
+@query()
+def split_price_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split nearest to the softmax split in which no MID is over its risk rate."""
+    return _priced(spark, sf_dir)[0].select(*CELL, "gateway", "mid", "reference", "share")
+
+
+@query()
+def split_price_capped_mids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MIDs' rates in that split, their prices, and whether each holds its cap."""
+    return _priced(spark, sf_dir)[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchyard.operators import budget as bu
 from switchyard.operators import compression as cm
 from switchyard.operators import template as te
 from switchyard.plans.rates import CELL, SPLIT_SQL, softmax_split
@@ -104,3 +105,15 @@ def rules_template_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's sum and condition code: rows of one type with the same shares have the same."""
     rows = written(_sheet(spark, sf_dir).select(*SUB, "gateway", "units"), "template")
     return te.conditions(rows, ["rpgt"], SUB)
+
+
+@query()
+def rules_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split with 100 rules over all types and currencies."""
+    return bu.compressed(_split(spark, sf_dir), CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], budget=100, fine=25)[0]
+
+
+@query()
+def rules_budget_allotment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 100 rules each type and currency gets, and the volume that they still route elsewhere."""
+    return bu.compressed(_split(spark, sf_dir), CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], budget=100, fine=25)[1].select(F.col("_g").alias("of"), "k", "loss", F.col("w").alias("volume"))
