@@ -2,7 +2,7 @@
 
 The problem is a linear one: the sum of |share - reference| is least, each cell's shares sum to 1 within their bounds, and each MID's
 volume-weighted risk is at most ``cap`` times its volume.  Its dual has one price for each MID.  Given the prices every cell is
-solved alone; Spark adds up the MIDs' excess and how it answers to prices, and the driver takes Newton steps on these few numbers.
+solved alone; Spark adds up the MIDs' excess and how it answers to prices, and the driver takes damped Newton steps on these few numbers.
 A small square term, reduced in stages, makes the answer of a cell unique.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from switchyard.sources.shared import written
 
-STAGES = (1.0, 0.1, 0.01, 0.001)
-STEPS = (30.0, 8.0, 3.0, 1.0, 0.5, 0.2, 0.05, 0.01)
+STAGES = (1.0, 0.1, 0.01, 0.002)
+DAMPING = (0.0, 1e-6, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 1e2, 1e4)
 _FIELDS = ("mid", "pull", "ref", "lower", "upper")
 
 
@@ -156,7 +156,7 @@ def _ascent(cells: DataFrame, n_mids: int, passes: int) -> np.ndarray:
     """Prices at which no MID is over its cap, or the last ones where there are none."""
     prices, n_cells = np.zeros(n_mids), cells.count()
     for square in STAGES:
-        (value, excess, fall), reach = _measured(cells, [prices], square)[0], 1.0
+        (value, excess, fall), damped = _measured(cells, [prices], square)[0], 1.0
         for _ in range(passes if square > STAGES[-1] else 4 * passes):
             slack = np.abs(excess[prices > 0]).max(initial=0.0)
             if excess.max() <= 1e-9 and slack <= 1e-7 * max(1.0, n_cells):
@@ -164,19 +164,21 @@ def _ascent(cells: DataFrame, n_mids: int, passes: int) -> np.ndarray:
             if value > 2 * n_cells * (1 + square):  # over what any split can cost: there is none
                 return prices
             live = (prices > 0) | (excess > 0)
-            move = np.zeros(n_mids)
-            part = fall[np.ix_(live, live)]
-            move[live] = np.linalg.lstsq(part + 1e-12 * np.trace(part) * np.eye(live.sum()), excess[live], rcond=None)[0]
-            still = live & (np.diag(fall) <= 0)
-            move[still] = np.sign(excess[still]) * np.maximum(prices[still], 1.0) / 4
-            tried = [np.maximum(prices + t * reach * move, 0.0) for t in STEPS]
+            part, pull = fall[np.ix_(live, live)], excess[live]
+            size, reach = max(np.diag(part).max(initial=0.0), 1e-9), np.maximum(prices[live], 1.0)
+            tried = []
+            for much in DAMPING:
+                move = np.linalg.lstsq(part + max(much * damped, 1e-12) * size * np.eye(len(part)), pull, rcond=None)[0]
+                move *= min(1.0, 1 / np.max(np.abs(move) / reach, initial=1e-12))  # where nothing answers, prices at most double
+                tried.append(prices.copy())
+                tried[-1][live] = np.maximum(prices[live] + move, 0.0)
             results = _measured(cells, tried, square)
             best = max(range(len(tried)), key=lambda k: results[k][0])
             if results[best][0] > value:
                 prices, (value, excess, fall) = tried[best], results[best]
-                reach = min(1.0, 10 * reach)
-            elif reach < 1e-7:
+                damped = max(damped / 1e3, 1.0)
+            elif damped > 1e9:
                 break
             else:
-                reach /= 100  # the best price is nearer than the least step
+                damped *= 1e4  # the best price is nearer than the least step
     return prices
