@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import month_diff
+from switchyard.operators import candidates as ca
 from switchyard.operators import effects as ef
 from switchyard.operators.timeline import orphans_spread
 from switchyard.plans.rates import CELL, RATES_SQL, SPLIT_SQL, cell_rates, rounded, softmax_split
@@ -136,6 +137,27 @@ def projection_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ef.conserved(projection(spark, sf_dir)), 6, "risk_gap", "txn_gap")
 
 
+# Four candidates: the proposed shares, ever more drawn to even ones.  The twin has them as part of a cell's key.
+CANDIDATE_SQL = PROJECTED_SQL.replace(SUBS, f"candidate, {SUBS}").replace("prows", "crows").replace("pshares", "cshares")
+for _alias in ("o", "tm", "s"):
+    CANDIDATE_SQL = CANDIDATE_SQL.replace(f"{_alias}.rpgt = f.rpgt", f"{_alias}.candidate = f.candidate AND {_alias}.rpgt = f.rpgt")
+
+
+def candidate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(projection_rows(spark, sf_dir), "projection-rows")  # used several times; its size follows the keys
+    number = F.right("mid", F.lit(1)).cast("int")
+    shares = rows.where("currency <> 'MACHINERY'").select(*SUB).distinct().join(F.broadcast(rows.select("mid").distinct()))  # a list of MIDs
+    shares = shares.where(number % 5 != F.length("currency") % 5).withColumn("props", F.array(*[(1 + number % 4) * (3 - c) + F.lit(2.0 * c) for c in range(4)]))
+    return ca.projected(rows, shares, SUB, 4)
+
+
+@query(f"""WITH {GRAIN_SQL}, four(candidate) AS (VALUES (0), (1), (2), (3)), crows AS (SELECT candidate, prows.* FROM prows, four), cshares AS (SELECT candidate, {SUBS}, mid, prop * (3 - candidate) + 2.0 * candidate AS prop FROM pshares, four), {CANDIDATE_SQL}
+SELECT mid, period, candidate, round(sum(risk_pre), 5) AS risk_pre, round(sum(risk_post), 5) AS risk_post, round(sum(txn_pre), 5) AS txn_pre, round(sum(txn_post), 5) AS txn_post FROM projected GROUP BY ALL""")
+def projection_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk and transactions of each MID and month under four candidate splits."""
+    return rounded(ca.totals(candidate_projection(spark, sf_dir), 4), 5, *VALUES)
+
+
 TICKETS_SQL = """tickets AS (SELECT rpgt, currency, CAST(sum(amount) FILTER (success) AS DOUBLE) / count(*) FILTER (success) AS ticket FROM attempts WHERE day >= DATE '1997-12-01' AND day < DATE '1998-01-01' AND NOT (currency = 'BUILDING' AND rpgt = '2-HIGH') AND currency <> 'FURNITURE' GROUP BY ALL HAVING count(*) FILTER (success) > 0),
 by_type AS (SELECT rpgt, avg(ticket) AS ticket FROM tickets WHERE rpgt <> '5-LOW' GROUP BY rpgt)"""
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from switchyard.operators import compression as cm
+from switchyard.operators import candidates as ca
 from switchyard.operators import effects as ef
 from switchyard.operators import forecast as fc
 from switchyard.operators import projection as pr
@@ -207,6 +208,26 @@ def test_granular_projection_equals_row_by_row(spark, props, cap, flat):
     assert len(gaps) == 6 and all(r.risk_gap < 1e-9 and r.txn_gap < 1e-9 for r in gaps)
 
 
+@pytest.mark.parametrize(("cap", "floor"), [(1.0, 0.0), (0.6, 0.0), (0.9, 0.05)])
+def test_candidates_equal_their_own_projections(spark, cap, floor):
+    """Candidates as arrays, with missing MIDs, cells without shares and null shares, each against the projection of its shares alone."""
+    cell, rng = ["rpgt", "bin"], np.random.default_rng(4)
+    rows = export(spark).where("mid <> 'Mid_C' or t > 0").unionByName(export(spark).withColumn("bin", F.lit("other")).where("period > 1")).unionByName(export(spark).withColumn("bin", F.lit(None).cast("string")))
+    props = [("monthly renewal", b, m, [None if b == "400001" and m == "Mid_A" and c == 2 else float(x) for c, x in enumerate(rng.random(4) ** 3)]) for b in ("400001", "other") for m in ("Mid_A", "Mid_B", "Mid_C", "Mid_D")]
+    shares = spark.createDataFrame([*props, ("gone", "1", "Mid_A", [1.0] * 4)], "rpgt string, bin string, mid string, props array<double>")
+    got = {(r.bin, r.mid, r.period, r.t): r for r in ca.projected(rows, shares, cell, 4, cap, floor).collect()}
+    for c in range(4):
+        own = ef.granular_projection(rows.where("bin is not null"), shares.select(*cell, "mid", F.coalesce(F.col("props")[c], F.lit(0.0)).alias("prop")), cell, cap, floor).collect()
+        assert len(own) == sum(k[0] is not None for k in got)
+        for r in own:
+            x = got[r.bin, r.mid, r.period, r.t]
+            assert np.allclose([x.risk_post[c], x.txn_post[c], x.risk_pre, x.txn_pre], [r.risk_post, r.txn_post, r.risk_pre, r.txn_pre]), (c, r)
+    bare = [x for k, x in got.items() if k[0] is None]
+    assert bare and all(np.allclose(x.risk_post, x.risk_pre) and np.allclose(x.txn_post, x.txn_pre) for x in bare)
+    sums = {(r.mid, r.period, r.candidate): r.risk_post for r in ca.totals(ca.projected(rows, shares, cell, 4, cap, floor), 4).collect()}
+    assert sums["Mid_A", 2, 3] == pytest.approx(sum(x.risk_post[3] for k, x in got.items() if k[1:3] == ("Mid_A", 2)))
+
+
 def test_missing_mids_are_filled_in(spark):
     rows = export(spark).where("mid <> 'Mid_C' or t > 0")  # Mid_C has aged rows only
     shares = spark.createDataFrame([("monthly renewal", "400001", m, p) for m, p in (("Mid_A", 0.5), ("Mid_C", 0.5))] + [("other", "400001", "Mid_A", 1.0)], "rpgt string, bin string, mid string, prop double")
