@@ -9,6 +9,7 @@ from switchyard.operators import prices as pc
 from switchyard.operators import projection as pr
 from switchyard.operators import rates as ra
 from switchyard.operators import solvers as so
+from switchyard.operators import violations as vi
 from switchyard.registry import query
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -312,3 +313,32 @@ def split_price_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_price_capped_mids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The MIDs' rates in that split, their prices, and whether each holds its cap."""
     return _priced(spark, sf_dir)[1]
+
+
+CAPS = [("mid_1", 5900.0), ("mid_4", 7000.0), ("mid_7", 5000.0), ("mid_8", None)]
+BANDS = [("mid_0", 100.0, None, 90.0, 1), ("mid_2", 100.0, 120.0, None, 1), ("mid_5", 50.0, 10.0, 45.0, 2), ("mid_6", 80.0, 79.0, 79.5, 2), ("mid_9", 10.0, 12.0, 20.0, None)]
+_values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+BREACH_SQL = f"""{SPLIT_SQL}, s AS (SELECT *, 'mid_' || right(gateway, 1) AS mid, CASE WHEN CAST(right(gateway, 1) AS INTEGER) % 2 = 0 THEN 'a' ELSE 'b' END AS scheme, count(*) OVER (PARTITION BY rpgt, currency, bank) AS n FROM split),
+caps(mid, cap) AS (VALUES {_values(CAPS)}), bands(mid, value, floor, ceiling, priority) AS (VALUES {_values(BANDS)}),
+m0 AS (SELECT mid, scheme, sum(volume * share) AS volume, sum(volume * share * risk_rate) AS risk, sum(volume * baseline_share) AS base FROM s GROUP BY ALL), m AS (SELECT *, CASE WHEN base > 0 THEN base / (avg(base) FILTER (base > 0) OVER ()) ELSE 1 END AS weight FROM m0),
+b AS (SELECT m.*, volume / base * value AS v, floor, ceiling, priority, weight * pow(5000.0, 1 - coalesce(priority, 1)) AS w FROM m JOIN bands USING (mid)),
+found AS (SELECT 'rate_cap' AS kind, mid, scheme, NULL AS priority, risk / volume / 0.028 - 1 AS over, weight FROM m UNION ALL SELECT 'volume_cap', mid, scheme, NULL, volume / cap - 1, weight FROM m JOIN caps USING (mid)
+  UNION ALL SELECT 'band_ceiling', mid, scheme, priority, v / ceiling - 1, w FROM b UNION ALL SELECT 'band_floor', mid, scheme, priority, 1 - v / floor, w FROM b
+  UNION ALL SELECT 'max_share', mid, scheme, NULL, (share - 0.15) / 0.15, 1 FROM s UNION ALL SELECT 'floor', mid, scheme, NULL, (least(0.06, 1.0 / n) - share) / 0.06, 1 FROM s WHERE n >= 2),
+breaches AS (SELECT *, (1 + 10 * over * over) * weight AS penalty FROM found WHERE over > 1e-9)"""
+
+
+def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.right("gateway", F.lit(1))
+    s = softmax_split(spark, sf_dir).withColumn("mid", F.concat(F.lit("mid_"), number)).withColumn("scheme", F.when(number.cast("int") % 2 == 0, "a").otherwise("b"))
+    caps = spark.createDataFrame(CAPS, "mid string, cap double")
+    bands = spark.createDataFrame(BANDS, "mid string, value double, floor double, ceiling double, priority int")
+    return vi.breaches(s, CELL, 0.028, caps, bands, 0.15, 0.06)
+
+
+@query(f"""WITH {BREACH_SQL}, r AS (SELECT kind, mid, scheme, coalesce(priority, 0) AS priority, over, penalty FROM breaches),
+g AS (SELECT kind, mid, scheme, priority, GROUPING(kind, mid, scheme, priority) AS id, count(*) AS breaches, sum(penalty) AS penalty, max(over) AS worst, max(over) FILTER (kind NOT IN ('band_floor', 'floor')) AS shed, max((over, mid))[2] AS worst_mid FROM r GROUP BY GROUPING SETS ((), (kind), (mid), (kind, scheme), (kind, mid), (kind, priority)))
+SELECT CASE id WHEN 15 THEN 'all' WHEN 7 THEN 'kind' WHEN 11 THEN 'mid' WHEN 5 THEN 'kind and scheme' WHEN 3 THEN 'kind and mid' ELSE 'kind and priority' END AS level, kind, mid, scheme, priority, breaches, round(penalty, 3) AS penalty, round(worst, 6) AS worst, round(shed, 6) AS worst_to_shed, worst_mid FROM g""")
+def impact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All breaches of the softmax split, added up by kind, MID, scheme and priority in one pass."""
+    return rounded(rounded(vi.report(_breaches(spark, sf_dir)), 3, "penalty"), 6, "worst", "worst_to_shed")
