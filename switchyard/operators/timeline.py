@@ -20,15 +20,31 @@ def cell_level_catch_all(rules: DataFrame, cell: Sequence[str]) -> DataFrame:
     return rules.where(kind != "Expanded").unionByName(without_covered(rules.where(kind == "Expanded"), specific, cell))
 
 
-def widened(rules: DataFrame, history: DataFrame, providers: Sequence[str], countries: Sequence[str]) -> DataFrame:
-    """Collective providers and countries to rows; rules for BIN ``other`` or ``all`` to every BIN in the history of their type and currency, marked Expanded."""
+def widened(rules: DataFrame, history: DataFrame, providers: Sequence[str], countries: Sequence[str], keys: Sequence[str] = ("rpgt", "currency", "provider", "country")) -> DataFrame:
+    """Collective providers and countries to rows; rules for BIN ``other`` or ``all`` to every BIN in the history of their ``keys``, marked Expanded."""
     rows = expanded(expanded(rules, "provider", {"both": providers, "all": providers}), "country", {"both": countries, "all": countries})
-    open_ = F.lower("bin").isin("other", "all")
-    known = history.select("rpgt", "currency", F.col("bin").alias("_bin")).distinct()
-    wide = rows.where(open_).join(known, ["rpgt", "currency"]).withColumn("bin", F.col("_bin")).drop("_bin").withColumn("rule_source", F.lit("Expanded"))
+    open_ = F.coalesce(F.lower(F.trim("bin")).isin("other", "all"), F.lit(False))
+    known = history.select(*keys, F.col("bin").alias("_bin")).distinct()
+    wide = rows.where(open_).join(known, list(keys)).withColumn("bin", F.col("_bin")).drop("_bin").withColumn("rule_source", F.lit("Expanded"))
     return rows.where(~open_).unionByName(wide)
 
 
+def merged_histories(sheets: DataFrame, actuals: DataFrame, profile: Sequence[str], undated: str = "2020-01-01") -> DataFrame:
+    """(profile, go_live, gateway, share, rule_source): rules of sheets, and what was routed (``Actuals``) before a profile's first sheet.
+
+    Catch-all rules go where the profile has a specific one.  Rules without a date hold from ``undated``.  Of several rows of one
+    profile, gateway and date the specific one counts, then the expanded one, then the largest share.
+    """
+    columns = [*profile, "go_live", "gateway", "share", "rule_source"]
+    dated = lambda f: f.select(*columns).withColumn("go_live", F.coalesce("go_live", F.lit(undated).cast("date")))
+    own = dated(cell_level_catch_all(sheets, profile))
+    first = own.groupBy(*profile).agg(F.min("go_live").alias("_first"))
+    before = dated(actuals).join(first, list(profile), "left").where(F.col("_first").isNull() | (F.col("go_live") < F.col("_first"))).drop("_first")
+    rank = F.when(F.col("rule_source") == "Specific", 0).when(F.col("rule_source") == "Expanded", 1).otherwise(2)
+    best = F.min_by(F.struct("share", "rule_source"), F.struct(rank, -F.col("share")))
+    return own.unionByName(before).groupBy(*profile, "go_live", "gateway").agg(best.alias("_x")).select(*profile, "go_live", "gateway", "_x.share", "_x.rule_source")
+
+
 def snapshot_shares(rules: DataFrame, profile: Sequence[str]) -> DataFrame:
     """Shares added up by profile, date and gateway, then normalised within profile and date; 0 if they total 0."""
     sums = rules.groupBy(*profile, "go_live", "gateway").agg(F.sum("share").alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from switchyard.operators import projection as pr
 from switchyard.operators import timeline as tl
 from switchyard.plans.relational import daily_weights
 from switchyard.registry import query
-from switchyard.sources.shared import written
+from switchyard.sources.io import rule_sheets, write_report
+from switchyard.sources.shared import folder, written
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts
 
 PROFILE = ["rpgt", "currency"]
@@ -198,3 +200,64 @@ def projection_keep_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.when((n == 3) & (k % 5 == 0), F.lit(None).cast("date")).otherwise(F.date_add(F.lit(MONTH0), (k % 150).cast("int")))
     g = table(spark, sf_dir, "supplier").select(F.concat(F.lit("mid_"), n.cast("string")).alias("mid"), F.concat(F.lit("gw_"), k.cast("string")).alias("gateway"), off.alias("off_date"))
     return pr.keep_fraction(g, months(spark)).withColumn("keep", F.round(F.col("keep").cast("double"), 6))
+
+
+# Two sheets, from the keys: rows for some banks, and in the first one for all others at home; shares are texts in per cent.
+CELL = ["rpgt", "currency", "bin", "provider", "country"]
+_CELLS = ", ".join(CELL)
+GATEWAYS = [f"gw_{k}" for k in range(10)]
+LIVE = ("15/09/1998", "20/10/1998")
+SHEET_SQL = f"""{ATTEMPTS_SQL}, keyed AS (SELECT DISTINCT rpgt, currency, bank AS bin FROM attempts), known AS (SELECT DISTINCT rpgt, currency, provider, country, bank AS bin FROM attempts), k(k, go_live) AS (VALUES (0, DATE '1998-09-15'), (1, DATE '1998-10-20')), g AS (SELECT CAST(range AS INTEGER) AS g FROM range(10)),
+specific AS (SELECT rpgt, currency, bin, provider, country, go_live, 'gw_' || g AS gateway, 10.0 * ((g + k) % 4) AS share, 'Specific' AS rule_source FROM keyed, k, g, (VALUES ('O'), ('F')) p(provider), (VALUES ('USA'), ('Non-USA')) c(country) WHERE (length(bin) + length(rpgt) + k) % 3 = 0 AND (g + k) % 4 > 0),
+other AS (SELECT rpgt, currency, bin, provider, country, DATE '1998-09-15' AS go_live, 'gw_' || g AS gateway, 5.0 * (1 + g % 3) AS share, 'Expanded' AS rule_source FROM known, g WHERE country = 'USA'),
+sheets AS (SELECT * FROM specific UNION ALL SELECT other.* FROM other ANTI JOIN specific USING ({_CELLS})), first AS (SELECT {_CELLS}, min(go_live) AS first FROM sheets GROUP BY ALL),
+actuals AS (SELECT rpgt, currency, bank AS bin, provider, country, CAST(date_trunc('month', day) AS DATE) AS go_live, gateway, CAST(count(*) AS DOUBLE) AS share, 'Actuals' AS rule_source FROM attempts WHERE day >= DATE '1998-07-01' GROUP BY ALL),
+merged AS (SELECT * FROM sheets UNION ALL SELECT a.* FROM actuals a LEFT JOIN first USING ({_CELLS}) WHERE first IS NULL OR a.go_live < first)"""
+
+
+def sheet_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets written as CSV and read again, widened, and merged with what was routed before them."""
+    a = attempts(spark, sf_dir)
+    cells = written(a.groupBy("rpgt", "currency", F.col("bank").alias("bin"), "provider", "country", "gateway", F.trunc("day", "month").alias("month")).agg(F.count(F.lit(1)).alias("n")), "cells")
+    sheets = f"{folder(spark)}/switchyard-{uuid.uuid4().hex}-sheets"
+    banks = cells.select("rpgt", "currency", "bin").distinct()
+    percent = lambda v: F.concat(v.cast("string"), F.lit("%"))
+    for k, live in enumerate(LIVE):
+        rows = banks.where((F.length("bin") + F.length("rpgt") + k) % 3 == 0).select("*", F.lit("all").alias("provider"), F.lit("all").alias("country"), F.lit(live).alias("GO LIVE"), *[percent(F.lit(10 * ((g + k) % 4))).alias(name) for g, name in enumerate(GATEWAYS)])
+        if k == 0:
+            rows = rows.unionByName(banks.select("rpgt", "currency").distinct().select("*", F.lit("Other").alias("bin"), F.lit("all").alias("provider"), F.lit("USA").alias("country"), F.lit(live).alias("GO LIVE"), *[percent(F.lit(5 * (1 + g % 3))).alias(name) for g, name in enumerate(GATEWAYS)]))
+        write_report(rows, f"{sheets}/{k}", "csv")
+    read = rule_sheets(spark, f"{sheets}/*", CELL).withColumn("rule_source", F.lit("Specific"))
+    wide = tl.widened(read, cells, ["O", "F"], ["USA", "Non-USA"])
+    actuals = cells.where("month >= DATE '1998-07-01'").groupBy(*CELL, F.col("month").alias("go_live"), "gateway").agg(F.sum("n").cast("double").alias("share")).withColumn("rule_source", F.lit("Actuals"))
+    return written(tl.merged_histories(wide, actuals, CELL), "merged-rules")
+
+
+@query(f"WITH {SHEET_SQL} SELECT {_CELLS}, go_live, gateway, CAST(share AS DOUBLE) AS share, rule_source FROM merged")
+def rules_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheet_rules(spark, sf_dir)
+
+
+@query(f"""WITH {SHEET_SQL}, snap AS (SELECT {_CELLS}, go_live, gateway, share / sum(share) OVER (PARTITION BY {_CELLS}, go_live) AS share FROM merged), {TIME_SQL.replace("rpgt, currency", _CELLS)}, {WEIGHT_SQL.replace("rpgt, currency", _CELLS)},
+d AS (SELECT CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS dom, count(*) AS n FROM events GROUP BY ALL), ds AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY month) AS share FROM d),
+db AS (SELECT month, dom, avg(share) OVER (PARTITION BY month, CASE WHEN dom = 1 THEN 1 WHEN dom <= 28 THEN 2 ELSE 3 END) AS w FROM ds), up AS (SELECT month, dom, coalesce(sum(w) OVER (PARTITION BY month ORDER BY dom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY month) AS upto FROM db),
+edges AS (SELECT weights.*, greatest(go_live, month_start) AS f, CAST(month_start + INTERVAL 1 MONTH AS DATE) AS after FROM weights JOIN months USING (m)),
+heavy AS (SELECT e.* REPLACE (CASE WHEN rpgt = '1-URGENT' THEN greatest(CASE WHEN until < after THEN coalesce(b.upto, 1) ELSE 1 END - coalesce(a.upto, 0), 0) ELSE w END AS w) FROM edges e LEFT JOIN up a ON a.month = month(month_start(m)) AND a.dom = day(f) LEFT JOIN up b ON b.month = month(month_start(m)) AND b.dom = day(until) AND until < after),
+part AS (SELECT {_CELLS}, m, gateway, sum(w * share) AS p FROM heavy GROUP BY ALL), tot AS (SELECT {_CELLS}, m, sum(p) AS p FROM part GROUP BY ALL),
+vol AS (SELECT rpgt, currency, bank AS bin, provider, country, gateway, m, CAST(0 AS INTEGER) AS t, CAST(count(*) AS DOUBLE) AS v FROM attempts, months WHERE year(day) = 1997 AND m >= 0 GROUP BY ALL
+  UNION ALL SELECT rpgt, currency, bank, provider, country, gateway, m, CAST(3 AS INTEGER), CAST(count(*) AS DOUBLE) FROM attempts, months WHERE year(day) = 1997 AND m >= 0 AND NOT success GROUP BY ALL)
+SELECT rpgt, currency, gateway, m, t, round(sum(v), 5) AS v FROM (
+  SELECT rpgt, currency, vol.gateway, m, t, CASE WHEN t <= m THEN greatest(v * (1 - coalesce(p, 0)), 0) ELSE v END AS v FROM vol LEFT JOIN tot USING ({_CELLS}, m)
+  UNION ALL SELECT vol.rpgt, vol.currency, part.gateway, vol.m, t, v * p FROM vol JOIN part USING ({_CELLS}, m) WHERE t <= vol.m) GROUP BY ALL""".replace("month(month_start(m))", "month(after - INTERVAL 1 DAY)"))
+def allocation_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from sheets, replayed over the volume; months of one type are weighted by the days' traffic, the others by days."""
+    timeline = written(tl.stitched(tl.snapshot_shares(sheet_rules(spark, sf_dir), CELL), CELL), "timeline")
+    heavy = F.col("rpgt") == "1-URGENT"
+    by_days = tl.valid_weights(timeline.where(~heavy), months(spark))
+    by_traffic = tl.weighted_fraction(timeline.where(heavy), months(spark), daily_weights(spark, sf_dir))
+    a = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1998, 1, 1)).withColumnRenamed("bank", "bin")
+    sales = a.groupBy(*CELL, "gateway").agg(F.count(F.lit(1)).cast("double").alias("v"), F.sum((~F.col("success")).cast("double")).alias("r"))
+    each = written(sales, "sales").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    v = each.select(*CELL, "gateway", "m", F.lit(0).alias("t"), "v").unionByName(each.where("r > 0").select(*CELL, "gateway", "m", F.lit(3).alias("t"), F.col("r").alias("v")))
+    after = tl.reallocated(v, by_days.unionByName(by_traffic.select(*by_days.columns)), CELL)
+    return after.groupBy("rpgt", "currency", "gateway", "m", "t").agg(F.round(F.sum("v"), 5).alias("v"))

@@ -264,3 +264,23 @@ def test_clusters_keep_the_target(spark):
     got = out.toPandas()
     assert got[got.rpgt == "t"].cluster.nunique() == 3 and got[got.rpgt == "u"].share.tolist() == [1.0] and cm.accuracy(split, out, ["rpgt", "bank"]).first()[0] > 99
     assert cm.clustered(split, ["rpgt", "bank"], ["rpgt"], ["g0", "g1", "g2"], 0.1, 0.5).agg(F.max("share")).first()[0] <= 1.0
+
+
+def test_sheets_take_over_from_their_first_date(spark):
+    d, p = datetime.date, ["rpgt", "currency", "bin", "provider", "country"]
+    schema = "rpgt string, currency string, bin string, provider string, country string, go_live date, gateway string, share double"
+    sheets = spark.createDataFrame(
+        [("t", "e", "1", "all", "USA", d(2024, 3, 1), "a", 0.6), ("t", "e", "1", "all", "USA", d(2024, 3, 1), "a", 0.2), ("t", "e", "Other", "O", "all", d(2024, 2, 1), "b", 1.0), ("t", "e", "all", "F", "USA", None, "c", 1.0), ("u", "e", "other", "O", "USA", d(2024, 1, 1), "z", 1.0)], schema
+    ).withColumn("rule_source", F.lit("Specific"))
+    history = spark.createDataFrame([("t", "e", "1", "O", "USA"), ("t", "e", "2", "O", "USA"), ("t", "e", "2", "F", "USA"), ("t", "e", "2", "F", "USA"), ("t", "e", "3", "O", "Non-USA")], "rpgt string, currency string, bin string, provider string, country string")
+    wide = tl.widened(sheets, history, ["O", "F"], ["USA", "Non-USA"])
+    actual = [("t", "e", b, "O", c, d(2024, m, 1), g, s) for b, c in (("1", "USA"), ("2", "USA"), ("9", "USA")) for m, g, s in ((1, "a", 3.0), (2, "q", 4.0), (3, "a", 5.0))]
+    actuals = spark.createDataFrame(actual, schema).withColumn("rule_source", F.lit("Actuals"))
+    got = {(r.bin, r.provider, r.country, str(r.go_live), r.gateway): (r.share, r.rule_source) for r in tl.merged_histories(wide, actuals, p).collect()}
+    assert got == {
+        ("1", "O", "USA", "2024-03-01", "a"): (0.6, "Specific"), ("1", "F", "USA", "2024-03-01", "a"): (0.6, "Specific"),  # the catch-all is not for this cell
+        ("2", "O", "USA", "2024-02-01", "b"): (1.0, "Expanded"), ("3", "O", "Non-USA", "2024-02-01", "b"): (1.0, "Expanded"), ("2", "F", "USA", "2020-01-01", "c"): (1.0, "Expanded"),
+        ("1", "O", "USA", "2024-01-01", "a"): (3.0, "Actuals"), ("1", "O", "USA", "2024-02-01", "q"): (4.0, "Actuals"), ("2", "O", "USA", "2024-01-01", "a"): (3.0, "Actuals"),
+        ("9", "O", "USA", "2024-01-01", "a"): (3.0, "Actuals"), ("9", "O", "USA", "2024-02-01", "q"): (4.0, "Actuals"), ("9", "O", "USA", "2024-03-01", "a"): (5.0, "Actuals"),
+    }
+    assert tl.merged_histories(wide.where("false"), actuals, p).count() == 9
