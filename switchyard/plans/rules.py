@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from switchyard.operators import budget as bu
 from switchyard.operators import compression as cm
+from switchyard.operators import drift as dr
 from switchyard.operators import template as te
 from switchyard.plans.rates import CELL, SPLIT_SQL, softmax_split
 from switchyard.registry import query
@@ -117,3 +118,14 @@ def rules_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_budget_allotment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of 100 rules each type and currency gets, and the volume that they still route elsewhere."""
     return bu.compressed(_split(spark, sf_dir), CELL, ["rpgt", "currency"], [f"gw_{k}" for k in range(10)], budget=100, fine=25)[1].select(F.col("_g").alias("of"), "k", "loss", F.col("w").alias("volume"))
+
+
+@query()
+def rules_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the split against those of a later one: two types exchanged, one currency routed anew, some banks gone."""
+    split = written(_coarse(spark, sf_dir), "coarse")
+    swapped = F.when(F.col("rpgt") == "5-LOW", "2-HIGH").when(F.col("rpgt") == "2-HIGH", "5-LOW").otherwise(F.col("rpgt"))
+    anew = F.when(F.col("currency") == "BUILDING", F.reverse("gateway")).otherwise(F.col("gateway"))
+    later = split.where("length(bank) > 8 OR currency <> 'MACHINERY'").withColumn("rpgt", swapped).withColumn("gateway", anew)
+    rules = lambda s: cm.rule_json(cm.pools(s, CELL, "bank"), ["rpgt", "currency"])
+    return dr.drift(rules(split), rules(later))

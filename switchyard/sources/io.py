@@ -59,8 +59,27 @@ def missing_tables(spark: SparkSession, names: Sequence[str]) -> list[str]:
 
 
 def partitioned_scan(spark: SparkSession, path: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Only the partitions of a table that are named."""
-    return spark.read.parquet(path).where(F.col(column).isin(*values))
+    """Only the partitions of a table that are named; the others' files are not opened."""
+    return spark.read.parquet(path).where(F.col(column).cast("string").isin(*values))
+
+
+def cached_partitions(spark: SparkSession, path: str, column: str, wanted: Sequence[str], compute: Callable[[Sequence[str]], DataFrame], keys: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows of the ``wanted`` values of ``column``, values computed now): a table by partitions of which only the missing ones are computed.
+
+    ``compute`` gets the missing values and returns their rows; ``keys`` is applied before they are written.  A value counts as
+    there once its mark is written, after its rows; a run that broke off is made again.  Values without rows are marked too.
+    Reading is pruned to the wanted partitions.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda value: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_made", f"{hashlib.md5(value.encode()).hexdigest()}")
+    store = at("").getFileSystem(conf)
+    missing = [v for v in wanted if not store.exists(at(v))]
+    if missing:
+        rows = compute(missing).where(F.col(column).cast("string").isin(*missing))
+        (keys(rows) if keys else rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+        for v in missing:
+            store.create(at(v), True).close()
+    return partitioned_scan(spark, path, column, wanted), missing
 
 
 def rule_sheets(spark: SparkSession, folder: str, keys: Sequence[str], not_before: str | None = None) -> DataFrame:
@@ -133,9 +152,9 @@ def rule_split(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFra
 
 def save_run(frames: Mapping[str, DataFrame], settings_: Mapping[str, object], folder: str) -> None:
     """Tables and settings of a forecast, so that it can be allocated again without being made again."""
+    spark = SparkSession.active()
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        spark = frame.sparkSession
     spark.createDataFrame([(json.dumps(dict(settings_), sort_keys=True, default=str),)], "settings string").coalesce(1).write.mode("overwrite").json(f"{folder}/settings.json")
 
 
