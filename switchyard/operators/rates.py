@@ -42,17 +42,22 @@ def moment_kappa(cells: DataFrame, group: Sequence[str], fallback: float, edge:
 def shrunk_success(attempts: DataFrame, keys: Sequence[str] = (*CELL, "gateway"), scope: Sequence[str] = ("rpgt", "gateway"), kappa: float = 50.0) -> DataFrame:
     """Rate of each key drawn towards its scope's rate with ``kappa`` pseudo-attempts.
 
-    The scope's rate comes from the keys' tallies, so attempts are shuffled once.
+    The scope's rate is a window over the keys' tallies, so attempts are read and shuffled once.
     """
-    cell = tallied(attempts, keys)
-    prior = cell.groupBy(*scope).agg((F.sum("s") / F.sum("n")).alias("prior_rate"))
-    out = cell.join(prior, list(scope))
+    return shrunk(tallied(attempts, keys), keys, scope, kappa)
+
+
+def shrunk(cells: DataFrame, keys: Sequence[str] = (*CELL, "gateway"), scope: Sequence[str] = ("rpgt", "gateway"), kappa: float = 50.0) -> DataFrame:
+    """``shrunk_success`` of tallies (keys, n, s)."""
+    w = Window.partitionBy(*scope)
+    out = cells.withColumn("prior_rate", F.sum("s").over(w) / F.sum("n").over(w))
     return out.select(*keys, F.col("n").cast("long").alias("attempts"), F.col("s").cast("long").alias("success"), F.least(F.col("s") / F.col("n"), F.lit(1.0)).alias("raw_rate"), "prior_rate", ((F.col("s") + kappa * F.col("prior_rate")) / (F.col("n") + kappa)).alias("success_rate"))
 
 
 def backed_off(cells: DataFrame, levels: Sequence[Sequence[str]], kappa: float) -> DataFrame:
     """Rate shrunk through ever finer ``levels``: each level's rate is drawn towards the one above; ``levels[0]`` may be empty (all rows)."""
     above: DataFrame | None = None
+    cells = written(cells, "tallies")  # each level is made of it; its size follows the keys
     for keys in levels:
         sums = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         if above is None:
@@ -69,6 +74,7 @@ def refitted(cells: DataFrame, levels: Sequence[Sequence[str]], fallback: float
 
     A level's strength is fitted to the spread of its own groups' rates beyond binomial noise; levels need not be nested.
     """
+    cells = written(cells, "tallies")  # each level is made of it; its size follows the keys
     whole = cells.agg((F.sum("s") / F.sum("n")).alias("rate"))  # one row
     out = cells.join(F.broadcast(whole))
     for keys in levels:

@@ -36,9 +36,13 @@ def with_fallback(frame: DataFrame, levels: Sequence[tuple[DataFrame, Sequence[s
 
 
 def commonest(frame: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The most frequent value of each key; of equally frequent ones the smallest."""
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return first_of(counts, keys, [F.desc("_n"), F.asc(value)]).drop("_n")
+    """Most frequent non-null ``value`` of each key, the least in order among equals; counts come first, so a hot key is small."""
+    return most_used(frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), keys, value, "_n")
+
+
+def most_used(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """The ``value`` of each key with the greatest count ``n``, the least in order among equals."""
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col(n), F.col(value))).alias(value))
 
 
 def top_with_other(frame: DataFrame, label: str, value: str, n: int) -> DataFrame:

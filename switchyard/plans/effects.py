@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from switchyard.functions.columns import month_diff
 from switchyard.operators import candidates as ca
 from switchyard.operators import effects as ef
+from switchyard.operators.rates import shrunk
 from switchyard.operators.timeline import orphans_spread
-from switchyard.plans.rates import CELL, RATES_SQL, SPLIT_SQL, cell_rates, rounded, softmax_split
+from switchyard.plans.rates import CELL, RATES_SQL, SPLIT_SQL, cell_rates, risk_added, rounded, softmax_split, softmaxed
 from switchyard.registry import query
 from switchyard.sources.shared import written
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts
@@ -182,9 +183,13 @@ y AS (SELECT *, volume * baseline_share AS pre_vol, volume * share AS post_vol,
 SELECT {CELLS}, gateway, round(pre_vol, 4) AS pre_vol, round(post_vol, 4) AS post_vol, round(pre_succ, 4) AS pre_succ, round(post_succ, 4) AS post_succ, round(pre_succ * ticket, 5) AS pre_rev, round(post_succ * ticket, 5) AS post_rev, round(post_vol - pre_vol, 4) AS vol_delta, round(post_succ * ticket - pre_succ * ticket, 5) AS rev_delta, round((share - baseline_share) * 100, 4) AS share_delta_pp FROM y""")
 def impact_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = F.when(F.col("success"), F.col("amount").cast("decimal(18,2)"))  # exact sums, whatever their order
-    a = attempts(spark, sf_dir).groupBy(*CELL).agg(F.count(F.lit(1)).alias("attempts"), F.avg(F.col("success").cast("double")).alias("success_rate"), (F.sum(won).cast("double") / F.count(won)).alias("ticket"))
+    tallies = attempts(spark, sf_dir).groupBy(*CELL, "gateway").agg(F.sum(F.lit(1.0)).alias("n"), F.sum(F.col("success").cast("double")).alias("s"), F.sum(won).alias("won"), F.count(won).alias("wins"))
+    tallies = written(tallies, "tallies")  # one scan; its size follows the keys
+    a = tallies.groupBy(*CELL).agg(F.sum("n").cast("long").alias("attempts"), (F.sum("s") / F.sum("n")).alias("success_rate"), (F.sum("won").cast("double") / F.sum("wins")).alias("ticket"))
     cells = a.withColumn("ticket", F.when(F.col("bank") != "NATION_18", F.col("ticket")))
-    out = ef.evaluated(_split(spark, sf_dir), cells, cell_rates(spark, sf_dir).where("gateway <> 'gw_6'"), CELL)
+    rates = risk_added(shrunk(tallies))
+    split = softmaxed(rates).select(*CELL, "gateway", "volume", "baseline_share", "share", "success_rate", "risk_rate")
+    out = ef.evaluated(split, cells, rates.where("gateway <> 'gw_6'"), CELL)
     return rounded(rounded(rounded(out, 4, "pre_vol", "post_vol", "pre_succ", "post_succ", "vol_delta", "share_delta_pp"), 5, "pre_rev", "post_rev"), 5, "rev_delta")
 
 

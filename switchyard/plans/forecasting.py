@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
 from switchyard.operators import forecast as fc
-from switchyard.operators.relational import commonest
+from switchyard.operators.relational import most_used
 from switchyard.registry import query
+from switchyard.sources.shared import written
 from switchyard.sources.tables import ATTEMPTS_SQL, RISK_B_SQL, RISK_SQL, attempts, history, risk_of
 
 # Units of the plan by transaction type.
@@ -211,10 +212,14 @@ b AS (SELECT bank, gateway, count(*) AS n FROM attempts WHERE day >= DATE '1995-
 SELECT rpgt, currency, bank, coalesce(a1.gateway, b1.gateway, 'unmapped') AS gateway, 1.0::DOUBLE AS share FROM lost LEFT JOIN a1 USING (rpgt, currency, bank) LEFT JOIN b1 USING (bank)""")
 def forecast_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles without a mapping get the gateway of their attempts, else the commonest of their bank, else ``unmapped``."""
-    a, key = attempts(spark, sf_dir), ["rpgt", "currency", "bank"]
-    known = a.where("day >= date'1998-06-01' and day < date'1998-06-04'").select(*key).distinct()
-    own = commonest(a.where("success and day >= date'1998-01-01'"), key, "gateway")
-    by_bank = commonest(a.where("day >= date'1995-01-01' and bank <> 'NATION_6'"), ["bank"], "gateway")
+    key = ["rpgt", "currency", "bank"]
+    day = F.col("day")
+    late = (day >= F.lit("1998-06-01").cast("date")) & (day < F.lit("1998-06-04").cast("date"))
+    tallies = attempts(spark, sf_dir).groupBy(*key, "gateway").agg(F.count_if(late).alias("late"), F.count_if(F.col("success") & (day >= F.lit("1998-01-01").cast("date"))).alias("own"), F.count_if(day >= F.lit("1995-01-01").cast("date")).alias("of_bank"))
+    a = written(tallies, "tallies")  # one scan; its size follows the keys
+    known = a.where("late > 0").select(*key).distinct()
+    own = most_used(a.where("own > 0"), key, "gateway", "own")
+    by_bank = most_used(a.where("of_bank > 0 and bank <> 'NATION_6'").groupBy("bank", "gateway").agg(F.sum("of_bank").alias("of_bank")), ["bank"], "gateway", "of_bank")
     return fc.rescued(a.select(*key).distinct(), known, [(own, key), (by_bank, ["bank"])], key)
 
 

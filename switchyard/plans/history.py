@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import AVERAGE_MONTH, month_diff, month_factor
@@ -35,10 +35,33 @@ def risk_counts(rows: DataFrame, scheme: str, keys: list[str], month0: datetime.
     return rows.where(near).groupBy(*keys, period.alias("period"), age.alias("t")).agg((found * month_factor(F.max("origin"))).alias("risk_count"))
 
 
-def transaction_counts(rows: DataFrame, keys: list[str], month0: datetime.date = MONTH0, months: int = 9) -> DataFrame:
+def of_scheme(rows: DataFrame, scheme: str) -> DataFrame:
+    """Rows of a scheme's cards: all for a, those of one provider for b."""
+    return rows if scheme == "a" else rows.where("provider = 'O'")
+
+
+def banded_weights(daily: DataFrame) -> DataFrame:
+    """(month, dom, w): of counts ``n`` by month and day, each day's share of its month, averaged over the first day, the 2nd to 28th, and the rest."""
+    share = F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("month")))
+    band = F.when(F.col("dom") == 1, "HIGH").when(F.col("dom") <= 28, "MID").otherwise("LOW")
+    ready = daily.withColumn("share", share).withColumn("band", band)
+    return ready.select("month", "dom", F.avg("share").over(Window.partitionBy("month", "band")).alias("w"))
+
+
+def longterm_mapping(rows: DataFrame) -> DataFrame:
+    """Distinct transactions by type, currency, gateway and company (a group of banks)."""
+    company = F.when(F.col("bank").like("NATION\\_1%"), "group_a").when(F.col("bank").like("NATION\\_2_"), "group_u").otherwise("rest")
+    return rows.groupBy("rpgt", "currency", "gateway", company.alias("company")).agg(F.count_distinct("order_id").alias("trx_count"))
+
+
+COMPANY_SQL = "CASE WHEN bank LIKE 'NATION!_1%' ESCAPE '!' THEN 'group_a' WHEN bank LIKE 'NATION!_2_' ESCAPE '!' THEN 'group_u' ELSE 'rest' END"
+
+
+def transaction_counts(rows: DataFrame, keys: list[str], month0: datetime.date = MONTH0, months: int = 9, scheme: str = "a") -> DataFrame:
     """Distinct transactions by keys and period, scaled by the latest record's month."""
+    counted = F.col("order_id") if scheme == "a" else F.when(F.col("provider") == "O", F.col("order_id"))
     near = (F.col("day") >= F.add_months(F.lit(month0), -months)) & (F.col("day") < F.lit(month0))
-    return rows.where(near).groupBy(*keys, month_diff(F.lit(month0), F.col("day")).alias("period")).agg((F.count_distinct("order_id") * month_factor(F.max("day"))).alias("txn_count"))
+    return rows.where(near).groupBy(*keys, month_diff(F.lit(month0), F.col("day")).alias("period")).agg((F.count_distinct(counted) * month_factor(F.max("day"))).alias("txn_count"))
 
 
 def projected_month(rows: DataFrame, keys: list[str], as_of: datetime.date) -> DataFrame:
@@ -50,10 +73,12 @@ def projected_month(rows: DataFrame, keys: list[str], as_of: datetime.date) -> D
     return rows.where(F.col("day").between(start, yesterday)).groupBy(*keys).agg((F.count(F.lit(1)) * (days / span)).alias("projected"))
 
 
-def macro_units(rows: DataFrame, plan: DataFrame, month: datetime.date) -> DataFrame:
+def macro_units(rows: DataFrame, plan: DataFrame, month: datetime.date, transactions: Column | None = None, purchases: Column | None = None) -> DataFrame:
     """Plan units times the ratio of transactions to purchases in the month before ``month``; a type without history keeps NULL."""
+    transactions = F.count_distinct("order_id") if transactions is None else transactions
+    purchases = F.count_distinct(F.when(F.col("success"), F.col("order_id"))) if purchases is None else purchases
     last = rows.where((F.col("day") >= F.add_months(F.lit(month), -1)) & (F.col("day") < F.lit(month)))
-    ratio = last.groupBy("rpgt").agg(F.try_divide(F.count_distinct("order_id"), F.count_distinct(F.when(F.col("success"), F.col("order_id")))).alias("ratio"))
+    ratio = last.groupBy("rpgt").agg(F.try_divide(transactions, purchases).alias("ratio"))
     return plan.join(ratio, "rpgt", "left").withColumn("fcst_units", F.col("units") * F.col("ratio"))
 
 
@@ -89,11 +114,45 @@ def extract_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transaction_counts(attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0), ["rpgt", "currency", "gateway"]).withColumn("txn_count", F.round("txn_count", 4))
 
 
-@query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, CASE WHEN bank LIKE '%A' THEN 'group_a' WHEN bank LIKE 'U%' THEN 'group_u' ELSE 'rest' END AS company, count(DISTINCT order_id) AS trx_count FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-07-01' GROUP BY ALL""")
+@query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, {COMPANY_SQL} AS company, count(DISTINCT order_id) AS trx_count FROM attempts WHERE day >= DATE '1998-01-01' AND day < DATE '1998-07-01' GROUP BY ALL""")
 def extract_longterm_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    company = F.when(F.col("bank").like("%A"), "group_a").when(F.col("bank").like("U%"), "group_u").otherwise("rest")
-    a = attempts(spark, sf_dir, datetime.date(1998, 1, 1), datetime.date(1998, 7, 1))
-    return a.groupBy("rpgt", "currency", "gateway", company.alias("company")).agg(F.count_distinct("order_id").alias("trx_count"))
+    return longterm_mapping(attempts(spark, sf_dir, datetime.date(1998, 1, 1), datetime.date(1998, 7, 1)))
+
+
+@query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, {COMPANY_SQL} AS company, count(DISTINCT order_id) AS trx_count FROM attempts WHERE provider = 'O' AND day >= DATE '1998-08-01' AND day < DATE '1998-09-01' GROUP BY ALL""")
+def extract_longterm_mapping_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scheme: its own cards in the last full month."""
+    return longterm_mapping(of_scheme(attempts(spark, sf_dir, datetime.date(1998, 8, 1), MONTH0), "b"))
+
+
+@query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, gateway, CASE WHEN line_no = 1 THEN '1' ELSE '2+' END AS fcp, CAST((1998 - year(day)) * 12 + 9 - month(day) AS INTEGER) AS period, round(count(DISTINCT CASE WHEN provider = 'O' THEN order_id END) * 30.4167 / day(last_day(max(day))), 4) AS txn_count
+FROM attempts WHERE day >= DATE '1997-12-01' AND day < DATE '1998-09-01' GROUP BY ALL""")
+def extract_transactions_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scheme: only its cards count, but a key without them keeps a row of 0."""
+    fcp = F.when(F.col("line_no") == 1, "1").otherwise("2+")
+    rows = attempts(spark, sf_dir, datetime.date(1997, 12, 1), MONTH0).withColumn("fcp", fcp)
+    return transaction_counts(rows, ["rpgt", "currency", "gateway", "fcp"], scheme="b").withColumn("txn_count", F.round("txn_count", 4))
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, plan(rpgt, units) AS (VALUES ('1-URGENT', 700.0::DOUBLE), ('3-MEDIUM', 600.0::DOUBLE), ('absent', 10.0::DOUBLE)), r AS (SELECT rpgt, CAST(count(DISTINCT (order_id, line_no)) AS DOUBLE) / nullif(count(DISTINCT order_id), 0) AS ratio FROM attempts WHERE amount > 0 AND success AND right(gateway, 2) <> '_9' AND day >= DATE '1998-08-01' AND day < DATE '1998-09-01' GROUP BY rpgt)
+SELECT rpgt, units, round(ratio, 6) AS ratio, round(units * ratio, 4) AS fcst_units FROM plan LEFT JOIN r USING (rpgt)""")
+def extract_macro_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scheme: paid lines for each order of the last full month, without one kind of account."""
+    plan = spark.createDataFrame([("1-URGENT", 700.0), ("3-MEDIUM", 600.0), ("absent", 10.0)], "rpgt string, units double")
+    paid = attempts(spark, sf_dir, datetime.date(1998, 8, 1), MONTH0).where("amount > 0 AND success").where(~F.col("gateway").endswith("_9"))
+    out = macro_units(paid, plan, MONTH0, F.count_distinct("order_id", "line_no"), F.count_distinct("order_id"))
+    return out.select("rpgt", "units", F.round("ratio", 6).alias("ratio"), F.round("fcst_units", 4).alias("fcst_units"))
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, d AS (SELECT strftime(day, '%Y-%m') AS month, CAST(day(day) AS INTEGER) AS dom, count(DISTINCT CASE WHEN provider = 'O' THEN order_id END) AS n FROM attempts WHERE rpgt = '1-URGENT' AND currency IN ('BUILDING', 'MACHINERY') AND day >= DATE '1997-09-01' AND day < DATE '1998-09-01' GROUP BY ALL),
+s AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY month) > 0 THEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY month) END AS share FROM d)
+SELECT month, dom, round(avg(share) OVER (PARTITION BY month, CASE WHEN dom = 1 THEN 'HIGH' WHEN dom <= 28 THEN 'MID' ELSE 'LOW' END), 8) AS weight FROM s""")
+def extract_daily_weights_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scheme: each day's share of a type's transactions in its month, averaged over the first day, the middle and the end."""
+    rows = attempts(spark, sf_dir, datetime.date(1997, 9, 1), MONTH0).where("rpgt = '1-URGENT' AND currency IN ('BUILDING', 'MACHINERY')")
+    n = F.count_distinct(F.when(F.col("provider") == "O", F.col("order_id")))
+    daily = rows.groupBy(F.date_format("day", "yyyy-MM").alias("month"), F.dayofmonth("day").alias("dom")).agg(n.alias("n"))
+    return banded_weights(daily).select("month", "dom", F.round("w", 8).alias("weight"))
 
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, round(count(*) * (30.0 / 20), 4) AS projected FROM attempts WHERE day BETWEEN DATE '1998-06-01' AND DATE '1998-06-20' GROUP BY rpgt""")

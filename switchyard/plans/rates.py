@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from switchyard.operators import prices as pc
@@ -29,8 +29,11 @@ rates AS (
 
 def cell_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shrunk success and a risk rate of every cell and gateway."""
-    r = ra.shrunk_success(attempts(spark, sf_dir))
-    return r.withColumn("risk_rate", (F.col("attempts") - F.col("success") + 5.0 * (1 - F.col("prior_rate"))) / (F.col("attempts") + 5.0) / 10)
+    return risk_added(ra.shrunk_success(attempts(spark, sf_dir)))
+
+
+def risk_added(rates: DataFrame) -> DataFrame:
+    return rates.withColumn("risk_rate", (F.col("attempts") - F.col("success") + 5.0 * (1 - F.col("prior_rate"))) / (F.col("attempts") + 5.0) / 10)
 
 
 def rounded(frame: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -110,9 +113,11 @@ split AS (SELECT rpgt, currency, bank, gateway, attempts, success, success_rate,
 
 def softmax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax shares with the baseline shares and volumes of the cells."""
-    from pyspark.sql import Window
+    return softmaxed(cell_rates(spark, sf_dir))
+
 
-    s = so.softmax_reference(cell_rates(spark, sf_dir), CELL, 0.2, 1.0, 0.02)
+def softmaxed(rates: DataFrame) -> DataFrame:
+    s = so.softmax_reference(rates, CELL, 0.2, 1.0, 0.02)
     total = F.sum("attempts").over(Window.partitionBy(*CELL))
     return s.withColumn("baseline_share", F.col("attempts") / total).withColumn("volume", total.cast("double"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from switchyard.functions import columns as co
 from switchyard.operators import relational as rl
+from switchyard.plans.history import banded_weights
 from switchyard.registry import query
 from switchyard.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -205,9 +206,7 @@ def window_daily_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(month, dom, w): each day's share of its month, averaged over the first day, the 2nd to 28th, and the rest."""
     d = table(spark, sf_dir, "events").groupBy(F.month("ts").alias("month"), F.dayofmonth("ts").alias("dom")).agg(F.count(F.lit(1)).alias("n"))
-    s = d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("month")))
-    band = F.when(F.col("dom") == 1, "HIGH").when(F.col("dom") <= 28, "MID").otherwise("LOW")
-    return s.withColumn("band", band).select("month", "dom", F.avg("share").over(Window.partitionBy("month", "band")).alias("w"))
+    return banded_weights(d)
 
 
 @query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, gateway, count(*) FILTER (provider = 'F' AND success) AS f_good, count(*) FILTER (provider = 'F') AS f_all, count(*) FILTER (provider = 'O' AND success) AS o_good, count(*) FILTER (provider = 'O') AS o_all FROM attempts GROUP BY ALL""")

@@ -86,7 +86,7 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each month repeats the volume of 1997: sales at age 0, failures at age 3."""
     a = attempts(spark, sf_dir, datetime.date(1997, 1, 1), datetime.date(1998, 1, 1))
     sales = a.groupBy("rpgt", "currency", "gateway").agg(F.count(F.lit(1)).cast("double").alias("v"), F.sum((~F.col("success")).cast("double")).alias("r"))
-    each = sales.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    each = written(sales, "sales").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(5))))  # used several times
     return each.select("rpgt", "currency", "gateway", "m", F.lit(0).alias("t"), "v").unionByName(each.where("r > 0").select("rpgt", "currency", "gateway", "m", F.lit(3).alias("t"), F.col("r").alias("v")))
 
 
