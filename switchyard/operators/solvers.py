@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
+from switchyard.sources.shared import written
 
 
 def bounded(frame: DataFrame, cell: Sequence[str], most: float = 0.97, forced: float = 0.01) -> DataFrame:
@@ -205,6 +206,7 @@ def shaved(split: DataFrame, cell: Sequence[str], cap: float, rounds: int = 4) -
     ``split``: cell, gateway, mid, volume, share, risk_rate.
     """
     for _ in range(rounds):
+        split = written(split, "shaved")  # used twice in a pass; its size follows the keys
         v = F.col("volume") * F.col("share")
         mids = split.groupBy("mid").agg((F.sum(v * F.col("risk_rate")) / F.greatest(F.sum(v), F.lit(1e-9))).alias("_rate"))
         factor = F.when(F.col("_rate") > cap, cap / F.col("_rate")).otherwise(1.0)

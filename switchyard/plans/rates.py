@@ -247,10 +247,21 @@ def impact_bank_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("bank", F.round(F.col("bs") / F.col("v"), 6).alias("base_success"), F.round(F.col("ns") / F.col("v"), 6).alias("new_success"), F.round(100 * (F.col("ns") - F.col("bs")) / every, 6).alias("bridge_pp"))
 
 
-@query()
+def _shaved_sql(cap: float, rounds: int) -> str:
+    """The same pass several times over: s0 holds the shares."""
+    out = ["s0 AS (SELECT rpgt, currency, bank, gateway, 'mid_' || right(gateway, 1) AS mid, volume, risk_rate, share AS w FROM split)"]
+    for k in range(1, rounds + 1):
+        out.append(f"""m{k} AS (SELECT mid, sum(volume * w * risk_rate) / greatest(sum(volume * w), 1e-9) AS rate FROM s{k - 1} GROUP BY mid),
+k{k} AS (SELECT s.*, rate > {cap} AS over, w * CASE WHEN rate > {cap} THEN {cap} / rate ELSE 1 END AS kept FROM s{k - 1} s JOIN m{k} USING (mid)),
+t{k} AS (SELECT *, sum(CASE WHEN NOT over THEN kept ELSE 0 END) OVER c AS room, sum(w - kept) OVER c AS freed FROM k{k} WINDOW c AS (PARTITION BY rpgt, currency, bank)),
+s{k} AS (SELECT rpgt, currency, bank, gateway, mid, volume, risk_rate, CASE WHEN room <= 0 THEN w WHEN over THEN kept ELSE kept * (1 + freed / room) END AS w FROM t{k})""")
+    return ", ".join(out)
+
+
+@query(f"WITH {SPLIT_SQL}, {_shaved_sql(0.0281, 4)} SELECT rpgt, currency, bank, gateway, round(w, 6) AS share FROM s4")
 def split_rate_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = softmax_split(spark, sf_dir).withColumn("mid", F.concat(F.lit("mid_"), F.right("gateway", F.lit(1)))).select(*CELL, "gateway", "mid", "volume", "share", "risk_rate")
-    return so.shaved(s, CELL, 0.03).select(*CELL, "gateway", F.round("share", 6).alias("share"))
+    return so.shaved(s, CELL, 0.0281).select(*CELL, "gateway", F.round("share", 6).alias("share"))
 
 
 CHAIN = [["gateway"], ["rpgt"], ["bank"], ["bank", "rpgt"], ["bank", "rpgt", "currency"], ["bank", "rpgt", "currency", "gateway"]]

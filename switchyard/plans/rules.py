@@ -44,12 +44,20 @@ def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).withColumn("share", F.round("share", 1)).withColumn("share", share_of("share", CELL, "even"))
 
 
-@query()
+POOLS_SQL = f"""{SPLIT_SQL}, tenths AS (SELECT rpgt, currency, bank, gateway, round(share, 1) AS r FROM split), coarse AS (SELECT *, CASE WHEN sum(r) OVER w > 0 THEN r / sum(r) OVER w ELSE 1.0 / count(*) OVER w END AS x FROM tenths WINDOW w AS (PARTITION BY rpgt, currency, bank)),
+cut AS (SELECT *, CAST(floor(x * 1000 + 1e-9) AS INTEGER) AS whole, x * 1000 - floor(x * 1000 + 1e-9) AS d FROM coarse), placed AS (SELECT *, row_number() OVER (PARTITION BY rpgt, currency, bank ORDER BY round(d, 9) DESC, gateway) AS k, 1000 - sum(whole) OVER (PARTITION BY rpgt, currency, bank) AS rest FROM cut),
+weights AS (SELECT rpgt, currency, bank, gateway, CAST(whole + CASE WHEN k <= rest THEN 1 ELSE 0 END AS INTEGER) AS weight FROM placed),
+connected AS (SELECT rpgt, currency, bank, string_agg('{{"gateway":"' || gateway || '","weight":' || weight || '}}', ',' ORDER BY gateway) AS c, list({{'gateway': gateway, 'weight': weight}} ORDER BY gateway) AS parts FROM weights WHERE weight > 0 GROUP BY ALL),
+pools AS (SELECT rpgt, currency, c, parts, list(bank ORDER BY bank) AS banks FROM connected GROUP BY ALL), ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY len(banks), rpgt, currency, '[' || c || ']') AS INTEGER) AS priority FROM pools)"""
+_IN = """'{"key":"' || {0} || '","operator":"IN","values":["' || {1} || '"]}'"""
+
+
+@query(f"""WITH {POOLS_SQL} SELECT priority, '{{"kind":"ConnectorPool","selector":{{"priority":' || priority || ',"expressions":[' || {_IN.replace("{0}", "'rpgt'").replace("{1}", "rpgt")} || ',' || {_IN.replace("{0}", "'currency'").replace("{1}", "currency")} || ',' || {_IN.replace("{0}", "'bank'").replace("{1}", """array_to_string(banks, '","')""")} || ']}},"spec":{{"connectors":[' || c || ']}}}}' AS json FROM ranked""")
 def rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cm.rule_json(cm.pools(_coarse(spark, sf_dir), CELL, "bank"), ["rpgt", "currency"])
 
 
-@query()
+@query(f"""WITH {POOLS_SQL}, found AS (SELECT priority, unnest(parts) AS x FROM ranked WHERE rpgt = '1-URGENT' AND currency = 'BUILDING' AND list_contains(banks, 'NATION_6')) SELECT priority, x.gateway AS gateway, x.weight AS weight FROM found""")
 def rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cm.matched_rules(rules_json(spark, sf_dir), {"rpgt": "1-URGENT", "currency": "BUILDING", "bank": "NATION_6"})
 
