@@ -5,27 +5,31 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 Rows count, not ids: a stage judges every row by its own doc_id and text, so of two rows with one doc_id one may go and
 the other stay.  Rows that agree in both share their fate, but for near-duplicates, of which one row stays.  Rows with a
-null doc_id are treated like others.  Rows without words stay until packing, where they are the end id alone.  Empty
+null doc_id are treated like others.  Rows are told apart by a 64-bit hash of doc_id and text: of ten billion rows, some
+three pairs share one, and share a verdict.  Rows without words stay until packing, where they are the end id alone.  Empty
 tables give empty results.
 """
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import decontam, dedup, packing, scratch, secrets, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
-_LAST = scratch.Tables()
+_LAST: ContextVar[scratch.Tables | None] = ContextVar("last", default=None)  # of this thread, so that runs side by side keep their tables
 
 
 def _begun(spark: SparkSession) -> scratch.Tables:
     """A handle for a stage's tables.  Those of the stage before go, as its result has been written."""
-    global _LAST
-    _LAST.clear(spark)
-    _LAST = scratch.Tables()
-    return _LAST
+    if (last := _LAST.get()) is not None:
+        last.clear(spark)
+    made = scratch.Tables()
+    _LAST.set(made)
+    return made
 
 
 def _key() -> Column:
