@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
 from switchyard.operators.effects import water_filled
 from switchyard.operators.ordered import running
+from switchyard.sources.shared import written
 
 # Countries and providers of the template, in its order.
 COUNTRIES = ("USA", "Non-USA")
@@ -100,3 +101,53 @@ def shares_of(sheet: DataFrame, cell: Sequence[str], gateways: Sequence[str]) ->
     pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("gateway"), F.col(f"`{g}`").cast("double").alias("share")) for g in gateways]))
     long = sheet.select(*cell, pairs.alias("x")).select(*cell, "x.gateway", "x.share").where("share > 0")
     return long.withColumn("share", share_of("share", cell))
+
+
+def weighted(parts: Column, total: int = 1000, grid: int = 10_000) -> Column:
+    """Connectors (gateway, units) with whole weights that sum to ``total``: rounded half to even, the difference spread one by one, the largest first."""
+    raw = F.transform(parts, lambda x: F.struct((-F.bround(x["units"] * (total / grid)).cast("int")).alias("w"), x["gateway"].alias("gateway")))
+    ranked = F.array_sort(raw)  # the largest weight first, then by gateway
+    gap = F.lit(total) + F.aggregate(ranked, F.lit(0), lambda s, x: s + x["w"])
+    n = F.size(ranked)
+    step = lambda i: F.signum(gap).cast("int") * (F.floor(F.abs(gap) / n).cast("int") + (i < F.abs(gap) % n).cast("int"))
+    return F.array_sort(F.transform(ranked, lambda x, i: F.struct(x["gateway"].alias("gateway"), (-x["w"] + step(i)).alias("weight"))))
+
+
+def pools(rows: DataFrame, kind: str = "rpgt", currency: str = "currency", bank: str = "bank", special: Sequence[str] = (), chunk: int = 6500, extra: int = 200_000, total: int = 1000, grid: int = 10_000) -> DataFrame:
+    """(kind, currency, country, providers, chunk, banks, connectors, priority): the fewest pools that route as the template (``rows``: sub-cells, gateway, units) does.
+
+    Banks of one currency with the same shares in a country and for a provider share a pool; pools of the same banks and shares
+    are one where they differ in the country alone (``All``), and then in providers alone: the two wallets, or all three.  A pool holds ``chunk`` banks at most.
+    Priorities: narrow before general kinds (``special``), wallets before all.  Banks are told apart in sets by two 64-bit sums, so
+    no set is held whole.  Sub-cells without units have no pool.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("gateway", "units")))  # a sub-cell's gateways
+    each = rows.where("units > 0").groupBy(kind, currency, bank, "country", "provider").agg(parts.alias("_parts"))
+    each = written(each.withColumn("_sig", F.sha2(F.to_json("_parts"), 256)), "signatures")
+    mark = lambda seed: F.sum(F.xxhash64(bank, F.lit(seed)).cast("decimal(38,0)"))
+    sets = each.groupBy(kind, currency, "_sig", "country", "provider").agg(F.struct(F.count(F.lit(1)).alias("n"), mark(1).alias("a"), mark(2).alias("b")).alias("_set"))
+    both = F.count_distinct("country") > 1
+    label = F.when(both, "All").otherwise(F.max("country"))
+    by_country = sets.groupBy(kind, currency, "_sig", "_set", "provider").agg(label.alias("country"), F.max("country").alias("_in"))
+    met = by_country.groupBy(kind, currency, "_sig", "_set", "country").agg(F.array_sort(F.collect_set("provider")).alias("_all"), F.max("_in").alias("_in"))  # three at most
+    wallets = F.array(*[F.lit(p) for p in sorted(WALLETS)])
+    singles = F.transform("_all", lambda p: F.array(p))
+    others = F.transform(F.array_except("_all", wallets), lambda p: F.array(p))
+    has = F.size(F.array_intersect("_all", wallets)) == 2
+    groups = F.when(F.size("_all") == 3, F.array("_all")).when(has, F.concat(F.array(wallets), others)).otherwise(singles)
+    rules = met.withColumn("providers", F.explode(groups)).withColumn("_of", F.col("providers")[0])
+    # The banks of a rule are those of any of its providers in any of its countries: all have the same.
+    own = each.select(kind, currency, "_sig", F.col("country").alias("_in"), F.col("provider").alias("_of"), bank, "_parts")
+    joined = rules.drop("_all").join(own, [kind, currency, "_sig", "_in", "_of"])
+    keys = [kind, currency, "_sig", "_set", "country", "providers"]
+    placed = joined.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(bank)) - 1) / chunk).cast("int"))
+    found = placed.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(bank)).alias("banks"), F.first("_parts").alias("_parts"))  # ``chunk`` banks at most
+    base = F.when(F.col(kind).isin(*special), 500_000).otherwise(100_000) if special else F.lit(100_000)
+    priority = base + 200_000 + F.when(F.col("providers") == wallets, 100_000).otherwise(0) + extra
+    return found.select(kind, currency, "country", "providers", "chunk", "banks", weighted(F.col("_parts"), total, grid).alias("connectors"), priority.cast("int").alias("priority"))
+
+
+def pool_count(rows: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """(kind, pools) of a template."""
+    kind = options.get("kind", "rpgt")
+    return pools(rows, **options).groupBy(kind).agg(F.count(F.lit(1)).alias("pools"))

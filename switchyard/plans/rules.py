@@ -137,3 +137,33 @@ def rules_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = split.where("length(bank) > 8 OR currency <> 'MACHINERY'").withColumn("rpgt", swapped).withColumn("gateway", anew)
     rules = lambda s: cm.rule_json(cm.pools(s, CELL, "bank"), ["rpgt", "currency"])
     return dr.drift(rules(split), rules(later))
+
+
+# A template on a grid of twentieths, so that banks share pools.
+POOLED_SQL = f"""{TEMPLATE_SQL.replace("10000", "20").replace("4000", "8")}, sig AS (SELECT {_SUB}, string_agg(gateway || ':' || units, ',' ORDER BY gateway) AS sig, list({{'gateway': gateway, 'units': units}} ORDER BY gateway) AS parts FROM sheet WHERE units > 0 GROUP BY ALL),
+sets AS (SELECT rpgt, currency, sig, parts, country, provider, list(bank ORDER BY bank) AS banks FROM sig GROUP BY ALL),
+labelled AS (SELECT rpgt, currency, sig, parts, banks, provider, CASE WHEN count(DISTINCT country) > 1 THEN 'All' ELSE max(country) END AS country FROM sets GROUP BY ALL),
+met AS (SELECT rpgt, currency, sig, parts, banks, country, list(provider ORDER BY provider) AS p FROM labelled GROUP BY ALL),
+rules AS (SELECT *, unnest(CASE WHEN len(p) = 3 THEN [p] WHEN list_has_all(p, ['APPLEPAY', 'GOOGLEPAY']) THEN list_concat([['APPLEPAY', 'GOOGLEPAY']], list_transform(list_filter(p, lambda v: v NOT IN ('APPLEPAY', 'GOOGLEPAY')), lambda v: [v])) ELSE list_transform(p, lambda v: [v]) END) AS providers FROM met),
+raw AS (SELECT *, list_sort(list_transform(parts, lambda v: {{'w': -CAST(round_even(v.units * 50.0, 0) AS INTEGER), 'gateway': v.gateway}})) AS r FROM rules),
+gaps AS (SELECT *, 1000 + list_sum(list_transform(r, lambda v: v.w)) AS gap FROM raw),
+pools AS (SELECT rpgt, currency, country, providers, banks, list_sort(list_transform(r, lambda v, i: {{'gateway': v.gateway, 'weight': -v.w + CAST(sign(gap) AS INTEGER) * (CAST(abs(gap) // len(r) AS INTEGER) + CASE WHEN i - 1 < abs(gap) % len(r) THEN 1 ELSE 0 END)}})) AS connectors,
+  CASE WHEN rpgt = '5-LOW' THEN 500000 ELSE 100000 END + 200000 + CASE WHEN providers = ['APPLEPAY', 'GOOGLEPAY'] THEN 100000 ELSE 0 END + 200000 AS priority FROM gaps)"""
+
+
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steep = _split(spark, sf_dir).withColumn("share", F.pow("share", F.lit(3.0)))
+    rows = te.template(steep, CELL, _presence(spark, sf_dir), USA_ONLY, INCAPABLE, 0.4, 20)
+    return te.pools(rows.select(*SUB, "gateway", "units"), special=["5-LOW"], grid=20)
+
+
+@query(f"""WITH {POOLED_SQL} SELECT rpgt, currency, country, array_to_string(providers, '+') AS providers, array_to_string(banks, '|') AS banks, array_to_string(list_transform(connectors, lambda v: v.gateway || ':' || v.weight), ',') AS connectors, CAST(priority AS INTEGER) AS priority FROM pools""")
+def rules_template_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pools of a template: countries and providers with the same shares are combined."""
+    text = F.transform("connectors", lambda x: F.concat_ws(":", x["gateway"], x["weight"].cast("string")))
+    return _pooled(spark, sf_dir).select("rpgt", "currency", "country", F.array_join("providers", "+").alias("providers"), F.array_join("banks", "|").alias("banks"), F.array_join(text, ",").alias("connectors"), "priority")
+
+
+@query(f"WITH {POOLED_SQL} SELECT rpgt, count(*) AS pools, max(priority) AS top FROM pools GROUP BY rpgt")
+def rules_pool_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pooled(spark, sf_dir).groupBy("rpgt").agg(F.count(F.lit(1)).alias("pools"), F.max("priority").alias("top"))

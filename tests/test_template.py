@@ -106,3 +106,50 @@ def test_written_tables_go_with_their_handle(spark):
     assert path.exists()
     made.clear(spark)
     assert not path.exists()
+
+
+def brute_pools(cells, special):
+    """cells: {(rpgt, currency, bank, country, provider): {gateway: units}} -> the pools, by sets in memory."""
+    groups = {}
+    for (kind, cur, bank, country, provider), units in cells.items():
+        sig = tuple(sorted((g, u) for g, u in units.items() if u))
+        if sig:
+            groups.setdefault((kind, cur, country, provider, sig), set()).add(bank)
+    labels = {}
+    for (kind, cur, country, provider, sig), banks in groups.items():
+        labels.setdefault((kind, cur, sig, frozenset(banks), provider), set()).add(country)
+    met = {}
+    for (kind, cur, sig, banks, provider), countries in labels.items():
+        met.setdefault((kind, cur, sig, banks, "All" if len(countries) > 1 else min(countries)), set()).add(provider)
+    out = set()
+    for (kind, cur, sig, banks, country), providers in met.items():
+        some = [tuple(sorted(providers))] if len(providers) == 3 else [te.WALLETS[::-1]] + [(p,) for p in providers - set(te.WALLETS)] if set(te.WALLETS) <= providers else [(p,) for p in providers]
+        for p in some:
+            w = {g: round(u / 10) for g, u in sig}
+            order, gap = sorted(w, key=lambda g: (-w[g], g)), 1000 - sum(w.values())
+            for i in range(abs(gap)):
+                w[order[i % len(order)]] += 1 if gap > 0 else -1
+            priority = (500_000 if kind in special else 100_000) + 200_000 + (100_000 if len(p) == 2 else 0) + 200_000
+            out.add((kind, cur, country, p, tuple(sorted(banks)), tuple(sorted(w.items())), priority))
+    return out
+
+
+def test_pools_combine_countries_and_providers(spark):
+    rng = random.Random(6)
+    kinds = [{"a": 3335, "b": 6665}, {"a": 3333, "b": 3333, "c": 3334}, {"c": 10_000, "a": 0}, {"a": 1005, "b": 1005, "c": 1015, "d": 6975}, {}]
+    cells = {}
+    for bank in range(40):
+        for rpgt in ("x", "y"):
+            base = rng.choice(kinds)
+            for country in te.COUNTRIES:
+                for provider in te.PROVIDERS:
+                    if rng.random() < 0.9 or bank % 2:
+                        cells[rpgt, "eur", f"b{bank:02d}", country, provider] = base if bank % 2 or rng.random() < 0.8 else rng.choice(kinds)
+    rows = spark.createDataFrame([(*k, g, u) for k, units in cells.items() for g, u in units.items()], "rpgt string, currency string, bank string, country string, provider string, gateway string, units long")
+    got = {(r.rpgt, r.currency, r.country, tuple(r.providers), tuple(r.banks), tuple((c.gateway, c.weight) for c in r.connectors), r.priority) for r in te.pools(rows, special=["y"]).collect()}
+    assert got == brute_pools(cells, {"y"}) and len(got) > 20
+    assert {len(p[3]) for p in got} == {1, 2, 3} and {p[2] for p in got} == {"All", *te.COUNTRIES}
+    chunks = te.pools(rows, chunk=2).collect()
+    assert max(len(r.banks) for r in chunks) == 2 and sum(len(r.banks) for r in chunks) == sum(len(p[4]) for p in got)
+    assert {r.rpgt: r.pools for r in te.pool_count(rows).collect()} == {k: sum(p[0] == k for p in got) for k in ("x", "y")}
+    assert te.pools(rows.where("false")).count() == 0
