@@ -126,6 +126,21 @@ def headline(cells: DataFrame) -> DataFrame:
     return cells.agg(*[mean(c) for c in ("base_success", "new_success", "base_risk", "new_risk", "moved")])
 
 
+def leaned(split: DataFrame, cell: Sequence[str], gamma: float) -> DataFrame:
+    """Shares times exp(-gamma z), normalised within the cell; z is the risk rate standardised over all eligible rows, 0 for the others.
+
+    ``split``: cell, gateway, share, risk_rate, eligible.  A ``gamma`` of 0 or less, or no spread, changes nothing but the sum.
+    """
+    if gamma <= 0:
+        return split
+    able = F.when(F.col("eligible"), F.col("risk_rate"))
+    whole = F.broadcast(split.agg(F.avg(able).alias("_mean"), F.stddev_pop(able).alias("_sd")))  # one row
+    z = F.when(F.col("eligible") & (F.col("_sd") > 1e-12), (F.col("risk_rate") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
+    w = split.join(whole).withColumn("_w", F.col("share") * F.exp(-gamma * z))
+    total = F.sum("_w").over(Window.partitionBy(*cell))
+    return w.withColumn("share", F.col("_w") / F.when(total > 1e-12, total).otherwise(1.0)).drop("_mean", "_sd", "_w")
+
+
 def moved_by_dial(variations: DataFrame) -> DataFrame:
     """(dial, moved_pct): per cent of the reference's volume that other gateways carry at each dial; the reference is the highest.
 

@@ -39,6 +39,23 @@ def moment_kappa(cells: DataFrame, group: Sequence[str], fallback: float, edge:
     return sums.select(*group, mu.alias("mu"), kappa.alias("kappa"))
 
 
+def within_kappa(cells: DataFrame, scope: Sequence[str], within: Sequence[str] = ("bank",), fallback: float = 50.0, high: float = 5000.0) -> DataFrame:
+    """(scope, mu, kappa): ``moment_kappa`` of the spread between the rows of one ``within`` (bank), pooled over the scope by attempts.
+
+    So differences between banks do not count as differences between gateways.  Banks with one row tell nothing; a scope
+    without others, or of mean 0 or 1, has ``fallback``; no spread beyond binomial noise gives ``high``.
+    """
+    rate = F.col("s") / F.col("n")
+    banks = cells.where("n > 0").groupBy(*scope, *[c for c in within if c not in scope]).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * rate * rate).alias("q"))
+    own = F.col("s") / F.col("n")
+    spread = F.greatest(F.col("q") - F.col("n") * own * own, F.lit(0.0)) - own * (1 - own) * F.col("k")  # times the attempts
+    able = F.col("k") >= 2
+    sums = banks.groupBy(*scope).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.when(able, F.col("n"))).alias("w"), F.sum(F.when(able, spread)).alias("x"))
+    mu, excess = F.col("s") / F.col("n"), F.col("x") / F.col("w")
+    kappa = F.when(F.col("w").isNull() | (mu <= 0) | (mu >= 1), F.lit(fallback)).when(excess <= 1e-9, F.lit(high)).otherwise(F.least(F.greatest(mu * (1 - mu) / excess - 1, F.lit(1.0)), F.lit(high)))
+    return sums.select(*scope, mu.alias("mu"), kappa.alias("kappa"))
+
+
 def shrunk_success(attempts: DataFrame, keys: Sequence[str] = (*CELL, "gateway"), scope: Sequence[str] = ("rpgt", "gateway"), kappa: float = 50.0) -> DataFrame:
     """Rate of each key drawn towards its scope's rate with ``kappa`` pseudo-attempts.
 

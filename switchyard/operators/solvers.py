@@ -168,8 +168,13 @@ def solve_cell(g: dict[str, np.ndarray], engine: str, risk_cap: float, slider: f
     return most_even(g, cap=cap) if engine == "entropy" else project_capped(x, g["lower"], g["upper"], g["risk_rate"], cap)
 
 
-def solved(problems: DataFrame, cell: Sequence[str], engine: str, risk_cap: float, slider: float = 0.5) -> DataFrame:
-    """(cell, gateway, share, expected_success, expected_risk, feasible).
+def swept(problems: DataFrame, cell: Sequence[str], engine: str, risk_cap: float, sliders: Sequence[float]) -> DataFrame:
+    """``solved`` at each of some positions of the slider, which is a column ``slider`` of the result: one pass, and each cell's answers in one task."""
+    return solved(problems, cell, engine, risk_cap, list(sliders))
+
+
+def solved(problems: DataFrame, cell: Sequence[str], engine: str, risk_cap: float, slider: float | Sequence[float] = 0.5) -> DataFrame:
+    """(cell, gateway, share, expected_success, expected_risk, feasible); with several sliders also ``slider``.
 
     ``problems``: cell, gateway and the columns ``FIELDS``.  ``feasible`` is against the hard cap.  A cell, tens of gateways, is one row of
     arrays; a task takes its cells batch by batch.
@@ -178,20 +183,23 @@ def solved(problems: DataFrame, cell: Sequence[str], engine: str, risk_cap: floa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: dict[str, list] = {"share": [], "expected_success": [], "expected_risk": [], "feasible": []}
-            for row in batch["g"]:
+            for row, at in zip(batch["g"], batch["slider"], strict=True):
                 g = {f: np.array([r[f] for r in row], dtype=float) for f in FIELDS}
-                x = solve_cell(g, engine, risk_cap, slider)
+                x = solve_cell(g, engine, risk_cap, at)
                 out["share"].append(x)
                 out["expected_success"].append(float(x @ g["success_rate"]))
                 out["expected_risk"].append(float(x @ g["risk_rate"]))
                 out["feasible"].append(bool(x @ g["risk_rate"] <= risk_cap + 1e-9))
-            yield batch[list(cell)].assign(gateway=[[r["gateway"] for r in row] for row in batch["g"]], **out)
+            yield batch[[*cell, "slider"]].assign(gateway=[[r["gateway"] for r in row] for row in batch["g"]], **out)
 
     types = dict(problems.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cell), "gateway array<string>, share array<double>, expected_success double, expected_risk double, feasible boolean"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cell), "slider double, gateway array<string>, share array<double>, expected_success double, expected_risk double, feasible boolean"])
     rows = problems.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("gateway", *[F.col(f).cast("double").alias(f) for f in FIELDS]))).alias("g"))
-    each = rows.mapInPandas(run, schema).select(*cell, F.explode(F.arrays_zip("gateway", "share")).alias("x"), "expected_success", "expected_risk", "feasible")
-    return each.select(*cell, "x.gateway", "x.share", "expected_success", "expected_risk", "feasible")
+    positions = [float(v) for v in slider] if isinstance(slider, Sequence) else [float(slider)]
+    rows = rows.withColumn("slider", F.explode(F.array(*[F.lit(v) for v in positions])))
+    keys = [*cell, "slider"] if isinstance(slider, Sequence) else list(cell)
+    each = rows.mapInPandas(run, schema).select(*keys, F.explode(F.arrays_zip("gateway", "share")).alias("x"), "expected_success", "expected_risk", "feasible")
+    return each.select(*keys, "x.gateway", "x.share", "expected_success", "expected_risk", "feasible")
 
 
 def lexicographic_best(candidates: DataFrame, group: Sequence[str] = ()) -> DataFrame:

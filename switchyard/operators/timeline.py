@@ -74,6 +74,16 @@ def with_kills(snapshots: DataFrame, kills: DataFrame, profile: Sequence[str]) -
     return snapshot_shares(out, profile)
 
 
+def scoped_kills(snapshots: DataFrame, kills: DataFrame, profile: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(timeline of transactions, timeline of risk): ``with_kills`` for the kills of each.
+
+    ``kills``: gateway, kill_date, scope: ``volume``, ``risk``, or ``both`` (null too); capitals do not matter.
+    """
+    scope = F.lower(F.coalesce("scope", F.lit("both")))
+    some = lambda own: stitched(with_kills(snapshots, kills.where(scope.isin(own, "both")), profile), profile)
+    return some("volume"), some("risk")
+
+
 def month_fraction(start: Column, until: Column, month: Column) -> Column:
     """Part of the month that lies in [start, until), by days."""
     after = F.add_months(month, 1)

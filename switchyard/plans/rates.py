@@ -358,3 +358,26 @@ SELECT CASE id WHEN 15 THEN 'all' WHEN 7 THEN 'kind' WHEN 11 THEN 'mid' WHEN 5 T
 def impact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All breaches of the softmax split, added up by kind, MID, scheme and priority in one pass."""
     return rounded(rounded(vi.report(_breaches(spark, sf_dir)), 3, "penalty"), 6, "worst", "worst_to_shed")
+
+
+@query(f"""WITH {RATES_SQL}, b AS (SELECT rpgt, currency, bank, count(*) AS k, CAST(sum(attempts) AS DOUBLE) AS n, CAST(sum(success) AS DOUBLE) AS s, sum(attempts * (CAST(success AS DOUBLE) / attempts) * (CAST(success AS DOUBLE) / attempts)) AS q FROM rates WHERE gateway < 'gw_6' GROUP BY ALL),
+c AS (SELECT *, greatest(q - n * (s / n) * (s / n), 0) - (s / n) * (1 - s / n) * k AS spread FROM b), x AS (SELECT rpgt, currency, sum(s) / sum(n) AS mu, sum(n) FILTER (k >= 2) AS w, sum(spread) FILTER (k >= 2) AS x FROM c GROUP BY ALL)
+SELECT rpgt, currency, round(mu, 6) AS mu, round(CASE WHEN w IS NULL OR mu <= 0 OR mu >= 1 THEN 50 WHEN x / w <= 1e-9 THEN 5000 ELSE least(greatest(mu * (1 - mu) / (x / w) - 1, 1), 5000) END, 3) AS kappa FROM x""")
+def rates_within_bank_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of the prior from the spread of gateways within banks."""
+    cells = ra.tallied(attempts(spark, sf_dir).where("gateway < 'gw_6'"), [*CELL, "gateway"])
+    return rounded(rounded(ra.within_kappa(cells, ["rpgt", "currency"]), 6, "mu"), 3, "kappa")
+
+
+@query(f"""WITH {SPLIT_SQL}, able AS (SELECT *, gateway <> 'gw_3' AS eligible FROM split), book AS (SELECT avg(risk_rate) AS m, stddev_pop(risk_rate) AS sd FROM able WHERE eligible),
+tilted AS (SELECT *, share * exp(-0.4 * CASE WHEN eligible THEN (risk_rate - m) / sd ELSE 0 END) AS w FROM able, book) SELECT rpgt, currency, bank, gateway, round(w / sum(w) OVER (PARTITION BY rpgt, currency, bank), 6) AS share FROM tilted""")
+def split_leaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split drawn to lower risk, standardised over the whole book."""
+    s = softmax_split(spark, sf_dir).withColumn("eligible", F.col("gateway") != "gw_3")
+    return rounded(pr.leaned(s, CELL, 0.4).select(*CELL, "gateway", "share"), 6, "share")
+
+
+@query()
+def split_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean-risk splits of every cell at five positions of the slider."""
+    return so.swept(_problems(spark, sf_dir), CELL, "portfolio", 0.02, [0.0, 0.25, 0.5, 0.75, 1.0])

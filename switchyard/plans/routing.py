@@ -261,3 +261,36 @@ def allocation_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = each.select(*CELL, "gateway", "m", F.lit(0).alias("t"), "v").unionByName(each.where("r > 0").select(*CELL, "gateway", "m", F.lit(3).alias("t"), F.col("r").alias("v")))
     after = tl.reallocated(v, by_days.unionByName(by_traffic.select(*by_days.columns)), CELL)
     return after.groupBy("rpgt", "currency", "gateway", "m", "t").agg(F.round(F.sum("v"), 5).alias("v"))
+
+
+SCOPED = [("gw_1", datetime.date(1998, 10, 5), "volume"), ("gw_2", datetime.date(1998, 10, 5), "RISK"), ("gw_3", None, None), ("gw_4", datetime.date(1998, 9, 20), "risk")]
+
+
+def _killed_sql(name: str, dead: str) -> str:
+    """SNAP to weights with the kills of one scope."""
+    by = "rpgt, currency"
+    return f"""{name}dead(gateway, dead_from) AS (VALUES {dead}), {name}breaks AS (SELECT DISTINCT {by}, go_live, dead_from FROM timeline JOIN {name}dead USING (gateway) WHERE dead_from > go_live AND dead_from < until),
+{name}every AS (SELECT {by}, go_live, gateway, share FROM timeline UNION ALL SELECT {by}, b.dead_from, gateway, share FROM timeline JOIN {name}breaks b USING ({by}, go_live)),
+{name}z AS (SELECT {by}, go_live, gateway, sum(CASE WHEN dead_from <= go_live THEN 0.0 ELSE share END) AS share FROM {name}every LEFT JOIN {name}dead USING (gateway) GROUP BY ALL),
+{name}snap AS (SELECT {by}, go_live, gateway, CASE WHEN sum(share) OVER w > 0 THEN share / sum(share) OVER w ELSE 0 END AS share FROM {name}z WINDOW w AS (PARTITION BY {by}, go_live)),
+{name}dates AS (SELECT {by}, go_live, coalesce(lead(go_live) OVER (PARTITION BY {by} ORDER BY go_live), DATE '9999-12-31') AS until FROM (SELECT DISTINCT {by}, go_live FROM {name}snap)),
+{name}timeline AS (SELECT * FROM {name}snap JOIN {name}dates USING ({by}, go_live)), {WEIGHT_SQL.replace("weights AS", f"{name}weights AS").replace("FROM timeline", f"FROM {name}timeline")},
+{name}part AS (SELECT {by}, m, gateway, sum(w * share) AS p FROM {name}weights GROUP BY ALL), {name}tot AS (SELECT {by}, m, sum(p) AS p FROM {name}part GROUP BY ALL),
+{name}moved AS (SELECT {by}, vol.gateway, m, t, CASE WHEN t <= m THEN greatest(v * (1 - coalesce(p, 0)), 0) ELSE v END AS v FROM vol LEFT JOIN {name}tot USING ({by}, m) UNION ALL SELECT vol.rpgt, vol.currency, k.gateway, vol.m, t, v * p FROM vol JOIN {name}part k ON vol.rpgt = k.rpgt AND vol.currency = k.currency AND vol.m = k.m WHERE t <= vol.m)"""
+
+
+_VOLUME = "('gw_1', DATE '1998-10-05'), ('gw_3', DATE '1900-01-01')"
+_RISK = "('gw_2', DATE '1998-10-05'), ('gw_3', DATE '1900-01-01'), ('gw_4', DATE '1998-09-20')"
+
+
+@query(f"""WITH {RULES_SQL}, {SNAP_SQL}, {TIME_SQL}, {VOL_SQL}, {_killed_sql("v_", _VOLUME)}, {_killed_sql("r_", _RISK)}
+SELECT rpgt, currency, gateway, m, t, round(sum(v), 6) AS v FROM (SELECT * FROM v_moved WHERE t = 0 UNION ALL SELECT * FROM r_moved WHERE t > 0) GROUP BY ALL""")
+def allocation_scoped_kills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gateways switched off for transactions, for risk, or for both: sales follow the one timeline, risk the other."""
+    kills = spark.createDataFrame(SCOPED, "gateway string, kill_date date, scope string")
+    snapshots = written(tl.snapshot_shares(rules(spark, sf_dir), PROFILE), "snapshots")
+    of_volume, of_risk = tl.scoped_kills(snapshots, kills, PROFILE)
+    v = volume(spark, sf_dir)
+    sold = tl.reallocated(v.where("t = 0"), tl.valid_weights(of_volume, months(spark)), PROFILE)
+    risk = tl.reallocated(v.where("t > 0"), tl.valid_weights(of_risk, months(spark)), PROFILE)
+    return sold.unionByName(risk).withColumn("v", F.round("v", 6))

@@ -125,6 +125,22 @@ def write_report(frame: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def write_reports(frames: Mapping[str, DataFrame], folder: str, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """Reports by name, each in its own folder as CSV or as ``kinds`` says, and a manifest (report, kind, rows, columns), which is returned.
+
+    Long matrices go out as they are, by partitions, and are never put together.
+    """
+    spark, kinds, listed = SparkSession.active(), dict(kinds or {}), []
+    for name, frame in frames.items():
+        kind = kinds.get(name, "csv")
+        write_report(frame, f"{folder}/{name}", kind)
+        back = spark.read.option("header", True).csv(f"{folder}/{name}") if kind == "csv" else spark.read.parquet(f"{folder}/{name}")
+        listed.append((name, kind, back.count(), len(frame.columns)))
+    manifest = spark.createDataFrame(listed, "report string, kind string, rows long, columns int")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return manifest
+
+
 def mid_list(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
     """(gateway, mid) of a CSV list, keys cleaned, the first of double gateways kept.  The first encoding in which no unreadable character appears is used."""
     from switchyard.functions.columns import clean_key, first_present

@@ -284,3 +284,40 @@ def test_sheets_take_over_from_their_first_date(spark):
         ("9", "O", "USA", "2024-01-01", "a"): (3.0, "Actuals"), ("9", "O", "USA", "2024-02-01", "q"): (4.0, "Actuals"), ("9", "O", "USA", "2024-03-01", "a"): (5.0, "Actuals"),
     }
     assert tl.merged_histories(wide.where("false"), actuals, p).count() == 9
+
+
+def test_sweeps_equal_single_positions(spark):
+    rows = [(c, f"g{k}", s, r, v, 0.0, 0.97, n, n * s, 0.9) for c, v in (("x", 100.0), ("y", 10.0)) for k, (s, r, n) in enumerate(((0.92, 0.010, 500.0), (0.88, 0.006, 400.0), (0.85, 0.004, 300.0)))]
+    problems = spark.createDataFrame(rows, "cell string, gateway string, success_rate double, risk_rate double, volume double, lower double, upper double, attempts double, success double, prior_rate double")
+    problems = problems.select("cell", "gateway", *so.FIELDS)
+    swept = {(r.cell, r.gateway, r.slider): (r.share, r.feasible) for r in so.swept(problems, ["cell"], "portfolio", 0.006, [0.0, 0.4, 1.0]).collect()}
+    assert len(swept) == 18
+    for slider in (0.0, 0.4, 1.0):
+        for r in so.solved(problems, ["cell"], "portfolio", 0.006, slider).collect():
+            assert swept[r.cell, r.gateway, slider] == (pytest.approx(r.share), r.feasible)
+    assert all(v[1] for k, v in swept.items() if k[2] == 0.0)
+
+
+def test_prior_strength_ignores_differences_between_banks(spark):
+    from switchyard.operators import rates as ra
+
+    rows = [("s", b, g, 1000.0, 1000.0 * p) for b, p in (("b1", 0.2), ("b2", 0.8)) for g in ("g1", "g2", "g3")] + [("t", "b1", "g1", 10.0, 5.0), ("u", "b1", "g1", 9.0, 9.0), ("u", "b1", "g2", 9.0, 9.0)]
+    rows += [("v", "b1", "g1", 100.0, 20.0), ("v", "b1", "g2", 100.0, 80.0), ("v", "b2", "g1", 50.0, 0.0), ("v", "b2", "g3", 0.0, 0.0)]
+    found = {r.scope: r for r in ra.within_kappa(spark.createDataFrame(rows, "scope string, bank string, gateway string, n double, s double"), ["scope"]).collect()}
+    assert found["s"].kappa == 5000.0 and found["t"].kappa == 50.0 and found["u"].kappa == 50.0
+    mu, true = 100 / 250, 0.09 - 0.25 * 2 / 200
+    assert found["v"].mu == pytest.approx(mu) and found["v"].kappa == pytest.approx(max(mu * (1 - mu) / true - 1, 1))
+    assert ra.moment_kappa(spark.createDataFrame(rows, "scope string, bank string, gateway string, n double, s double"), ["scope"], 50.0).where("scope = 's'").first().kappa < 5000
+
+
+def test_reports_go_out_with_a_manifest(spark, tmp_path):
+    from switchyard.operators.reports import renamed
+    from switchyard.sources import io
+
+    frames = {"mid": spark.range(3).selectExpr("id AS mid", "id * 2 AS risk_pre"), "none": spark.range(0).selectExpr("id AS a"), "matrix": spark.range(5).selectExpr("id AS m", "id AS t", "1.5 AS v")}
+    manifest = io.write_reports(frames, f"file://{tmp_path}/out", {"matrix": "parquet"})
+    assert {tuple(r) for r in manifest.collect()} == {("mid", "csv", 3, 2), ("none", "csv", 0, 1), ("matrix", "parquet", 5, 3)}
+    assert spark.read.parquet(f"file://{tmp_path}/out/matrix").count() == 5 and spark.read.json(f"file://{tmp_path}/out/manifest").count() == 3
+    assert renamed(frames["mid"], {"risk": "cb", "mid": "account"}).columns == ["account", "cb_pre"]
+    with pytest.raises(ValueError, match="one name"):
+        renamed(spark.range(1).selectExpr("id AS a", "id AS b"), {"a": "b"})
