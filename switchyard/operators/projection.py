@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +142,46 @@ def leaned(split: DataFrame, cell: Sequence[str], gamma: float) -> DataFrame:
     return w.withColumn("share", F.col("_w") / F.when(total > 1e-12, total).otherwise(1.0)).drop("_mean", "_sd", "_w")
 
 
+def live_fraction(go_live: datetime.date, month0: datetime.date, month: Column) -> Column:
+    """Part of month ``month`` (from month 0) after ``go_live``, by days; nothing before month 0."""
+    start = F.add_months(F.lit(month0), month)
+    after = F.add_months(start, F.lit(1))
+    days = F.datediff(after, start)
+    part = F.least(F.greatest(F.datediff(after, F.lit(go_live)) / days, F.lit(0.0)), F.lit(1.0))
+    return F.when(month < 0, 0.0).otherwise(part)
+
+
+def linear_projection(rows: DataFrame, shares: DataFrame, cell: Sequence[str], go_live: datetime.date, month0: datetime.date, keep: DataFrame) -> DataFrame:
+    """(cell, mid, period, t, risk_pre, risk_post, txn_pre, txn_post) where a split moves all volume from ``go_live`` on, without a ramp or first payments.
+
+    ``rows``: cell, mid, period, t, risk, txn; ``shares``: cell, mid, prop (any scale); ``keep``: mid, period, keep, the part of a month that a MID is on (else 1).
+    What a switched-off MID loses goes to the cell's others, before and after.  Risk follows the month in which it was sold, to
+    MIDs that have any risk in the cell.
+    """
+    group = [*cell, "period"]
+    w = Window.partitionBy(*group)
+    own = shares.withColumn("prop", share_of("prop", cell, "keep"))
+    sold = rows.groupBy(*group, "mid").agg(F.sum(F.when(F.col("t") == 0, F.col("txn"))).alias("pre")).where("pre is not null")
+    risky = rows.groupBy(*cell, "mid").agg((F.sum("risk") > 0).alias("_risky"))
+    t0 = sold.join(own, [*cell, "mid"], "left").join(keep.select("mid", "period", "keep"), ["mid", "period"], "left").join(risky, [*cell, "mid"])
+    t0 = t0.withColumn("keep", F.coalesce("keep", F.lit(1.0))).withColumn("f", live_fraction(go_live, month0, F.col("period")))
+    on = F.col("pre") * F.col("keep")
+    t0 = t0.withColumn("base", F.when(F.sum(on).over(w) > 0, on / F.sum(on).over(w)).otherwise(0.0))
+    t0 = t0.withColumn("_p", F.when(F.col("keep") > 0, F.coalesce("prop", F.lit(0.0)) * F.col("keep")).otherwise(0.0)).withColumn("_psum", F.sum("_p").over(w))
+    t0 = t0.withColumn("to", F.when(F.col("_psum") > 0, F.col("_p") / F.col("_psum")).otherwise(F.col("base")))
+    t0 = t0.withColumn("post", F.sum("pre").over(w) * ((1 - F.col("f")) * F.col("base") + F.col("f") * F.col("to")))
+    t0 = t0.withColumn("move", F.when(F.col("_psum") > 0, F.col("f")).otherwise(0.0)).withColumn("_v", F.when(F.col("_risky"), F.col("to")).otherwise(0.0))
+    t0 = t0.withColumn("share", F.when(F.sum("_v").over(w) > 0, F.col("_v") / F.sum("_v").over(w)).otherwise(0.0))
+    t0 = written(t0.select(*group, "mid", "pre", "post", "move", "share"), "months")  # a row for each MID and month of a cell
+    origin = t0.select(*cell, "mid", F.col("period").alias("_o"), "move", "share")
+    aged = rows.withColumn("_o", F.col("period") - F.col("t")).join(origin, [*cell, "mid", "_o"], "left").withColumn("move", F.coalesce("move", F.lit(0.0)))
+    whole = F.sum("risk").over(Window.partitionBy(*group, "t"))
+    after = F.col("risk") * (1 - F.col("move")) + whole * F.col("move") * F.coalesce("share", F.lit(0.0))
+    out = aged.withColumn("risk_post", after).join(t0.select(*group, "mid", "pre", "post"), [*group, "mid"], "left")
+    sale = lambda c: F.when(F.col("t") == 0, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    return out.select(*cell, "mid", "period", "t", F.col("risk").alias("risk_pre"), "risk_post", sale("pre").alias("txn_pre"), sale("post").alias("txn_post"))
+
+
 def moved_by_dial(variations: DataFrame) -> DataFrame:
     """(dial, moved_pct): per cent of the reference's volume that other gateways carry at each dial; the reference is the highest.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -77,3 +78,28 @@ def renamed(frame: DataFrame, names: Mapping[str, str]) -> DataFrame:
     if len(set(new.values())) < len(new):
         raise ValueError("two columns would have one name")
     return frame.withColumnsRenamed(new)
+
+
+def base_metrics(rows: DataFrame, latest: datetime.date, days: int = 30, otherwise: float = 25.0) -> DataFrame:
+    """(rpgt, currency, bank, gateway, attempts, success, gateway_rate, cell_rate, ticket, type_ticket) of the last ``days`` up to ``latest``.
+
+    ``rows``: day, rpgt, currency, bank, gateway, amount, success.  ``ticket`` is the mean amount of successes of the bank and currency, ``otherwise`` where
+    there are none; ``type_ticket`` that of the type there, else ``ticket``.  A null amount counts as ``otherwise``.  One tally
+    by gateway carries all levels; sums of money are exact.
+    """
+    near = (F.col("day") > F.lit(latest - datetime.timedelta(days=days))) & (F.col("day") <= F.lit(latest))
+    won = F.when(F.col("success"), F.coalesce("amount", F.lit(otherwise)).cast("decimal(18,2)"))
+    sums = rows.where(near).groupBy("rpgt", "currency", "bank", "gateway").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("success"), F.coalesce(F.sum(won), F.lit(0)).alias("_won"))
+    cell, both = Window.partitionBy("rpgt", "currency", "bank"), Window.partitionBy("currency", "bank")
+    mean = lambda w, other: F.when(F.sum("success").over(w) > 0, F.sum("_won").over(w).cast("double") / F.sum("success").over(w)).otherwise(other)
+    rate = F.sum("success").over(cell) / F.sum("attempts").over(cell)
+    found = sums.withColumn("gateway_rate", F.col("success") / F.col("attempts")).withColumn("cell_rate", rate).withColumn("ticket", mean(both, F.lit(otherwise)))
+    return found.withColumn("type_ticket", mean(cell, F.col("ticket"))).drop("_won")
+
+
+def month_filled(projected: DataFrame, kinds: Sequence[str], less: Mapping[str, float]) -> DataFrame:
+    """(rpgt, units): whole units of each of ``kinds``, 0 where nothing is projected, less what is agreed (``less``), never below 0."""
+    spark = projected.sparkSession
+    asked = spark.createDataFrame([(k, float(less.get(k, 0.0))) for k in kinds], "rpgt string, _less double")
+    units = F.coalesce(F.bround("projected"), F.lit(0.0)) - F.col("_less")
+    return asked.join(projected.select("rpgt", "projected"), "rpgt", "left").select("rpgt", F.greatest(units, F.lit(0.0)).cast("long").alias("units"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from switchyard.functions.columns import month_diff
 from switchyard.operators import candidates as ca
 from switchyard.operators import effects as ef
+from switchyard.operators import projection as pr
+from switchyard.operators import reports as rp
 from switchyard.operators.rates import shrunk
 from switchyard.operators.timeline import orphans_spread
 from switchyard.plans.rates import CELL, RATES_SQL, SPLIT_SQL, cell_rates, risk_added, rounded, softmax_split, softmaxed
@@ -112,12 +114,16 @@ def projection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(*SUB, "mid", "period", "t", "risk", F.when(F.col("t") == 0, F.col("n")).otherwise(0.0).alias("txn"), F.when(born < 0, 0.0).otherwise(0.5 + 0.1 * born).alias("pro_rata"), F.when(F.col("country") == "USA", 0.9).otherwise(0.8).alias("fcp1_frac"))
 
 
-def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def projection_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = written(projection_rows(spark, sf_dir), "projection-rows")  # used several times; its size follows the keys
     number = F.right("mid", F.lit(1)).cast("int")
     shares = rows.where("currency <> 'MACHINERY'").select(*SUB).distinct().join(F.broadcast(rows.select("mid").distinct()))  # a list of MIDs
     shares = shares.where(number % 5 != F.length("currency") % 5).withColumn("prop", (1 + number % 4).cast("double"))
-    return ef.granular_projection(rows, shares, SUB)
+    return rows, shares
+
+
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ef.granular_projection(*projection_inputs(spark, sf_dir), SUB)
 
 
 VALUES = ["risk_pre", "risk_post", "txn_pre", "txn_post"]
@@ -159,6 +165,26 @@ def projection_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ca.totals(candidate_projection(spark, sf_dir), 4), 5, *VALUES)
 
 
+LINEAR_SQL = f"""own AS (SELECT {SUBS}, mid, prop / sum(prop) OVER (PARTITION BY {SUBS}) AS prop FROM pshares), kept(mid, period, keep) AS (VALUES ('mid_1', 1, 0.5), ('mid_1', 2, 0.0), ('mid_2', 2, 0.0)),
+sold AS (SELECT {SUBS}, mid, period, sum(txn) AS pre FROM prows WHERE t = 0 GROUP BY ALL), risky AS (SELECT {SUBS}, mid, sum(risk) > 0 AS risky FROM prows GROUP BY ALL),
+l0 AS (SELECT sold.*, prop, coalesce(keep, 1.0)::DOUBLE AS keep, risky, CASE WHEN period < 2 THEN 0.0 WHEN period = 2 THEN 21.0 / 31 ELSE 1.0 END::DOUBLE AS f FROM sold LEFT JOIN own USING ({SUBS}, mid) LEFT JOIN kept USING (mid, period) JOIN risky USING ({SUBS}, mid)),
+l1 AS (SELECT *, CASE WHEN sum(pre * keep) OVER w > 0 THEN pre * keep / sum(pre * keep) OVER w ELSE 0 END AS base, coalesce(prop, 0) * keep AS p, sum(coalesce(prop, 0) * keep) OVER w AS psum FROM l0 WINDOW w AS (PARTITION BY {SUBS}, period)),
+l2 AS (SELECT *, CASE WHEN psum > 0 THEN p / psum ELSE base END AS to_ FROM l1), l3 AS (SELECT *, sum(pre) OVER w * ((1 - f) * base + f * to_) AS post, CASE WHEN psum > 0 THEN f ELSE 0 END AS move, sum(CASE WHEN risky THEN to_ ELSE 0 END) OVER w AS vsum FROM l2 WINDOW w AS (PARTITION BY {SUBS}, period)),
+l4 AS (SELECT *, CASE WHEN vsum > 0 AND risky THEN to_ / vsum ELSE 0 END AS share FROM l3),
+linear AS (SELECT r.*, r.risk * (1 - coalesce(o.move, 0)) + sum(r.risk) OVER (PARTITION BY r.rpgt, r.currency, r.provider, r.country, r.period, r.t) * coalesce(o.move, 0) * coalesce(o.share, 0) AS risk_post, s.pre, s.post FROM prows r
+  LEFT JOIN l4 o ON o.rpgt = r.rpgt AND o.currency = r.currency AND o.provider = r.provider AND o.country = r.country AND o.mid = r.mid AND o.period = r.period - r.t
+  LEFT JOIN l4 s ON s.rpgt = r.rpgt AND s.currency = r.currency AND s.provider = r.provider AND s.country = r.country AND s.mid = r.mid AND s.period = r.period)"""
+
+
+@query(f"WITH {GRAIN_SQL}, {LINEAR_SQL} SELECT mid, period, round(sum(risk), 4) AS risk_pre, round(sum(risk_post), 4) AS risk_post, round(sum(CASE WHEN t = 0 THEN pre ELSE 0 END), 4) AS txn_pre, round(sum(CASE WHEN t = 0 THEN post ELSE 0 END), 4) AS txn_post FROM linear GROUP BY ALL")
+def projection_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split that moves everything from the 11th of March 1998 (month 2) on, with two MIDs switched off."""
+    rows, shares = projection_inputs(spark, sf_dir)
+    keep = spark.createDataFrame([("mid_1", 1, 0.5), ("mid_1", 2, 0.0), ("mid_2", 2, 0.0)], "mid string, period int, keep double")
+    found = pr.linear_projection(rows, shares, SUB, datetime.date(1998, 3, 11), datetime.date(1998, 1, 1), keep)
+    return found.groupBy("mid", "period").agg(*[F.round(F.sum(v), 4).alias(v) for v in VALUES])
+
+
 TICKETS_SQL = """tickets AS (SELECT rpgt, currency, CAST(sum(amount) FILTER (success) AS DOUBLE) / count(*) FILTER (success) AS ticket FROM attempts WHERE day >= DATE '1997-12-01' AND day < DATE '1998-01-01' AND NOT (currency = 'BUILDING' AND rpgt = '2-HIGH') AND currency <> 'FURNITURE' GROUP BY ALL HAVING count(*) FILTER (success) > 0),
 by_type AS (SELECT rpgt, avg(ticket) AS ticket FROM tickets WHERE rpgt <> '5-LOW' GROUP BY rpgt)"""
 
@@ -286,3 +312,23 @@ def ranking_feasible_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("volume") * F.col("share")
     g = _split(spark, sf_dir).groupBy("gateway").agg(F.sum(v * F.col("success_rate")).alias("objective"), F.greatest(F.sum(v * F.col("risk_rate")) / F.sum(v) - 0.035, F.lit(0.0)).alias("violation"))
     return g.select("gateway", F.round(ef.feasible_first(F.col("objective"), F.col("violation")), 4).alias("key"))
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, g AS (SELECT rpgt, currency, bank, gateway, count(*) AS attempts, count(*) FILTER (success) AS success, coalesce(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (success), 0) AS won FROM attempts WHERE day > DATE '1998-08-01' AND day <= DATE '1998-08-31' GROUP BY ALL),
+s AS (SELECT *, CAST(success AS DOUBLE) / attempts AS gateway_rate, CAST(sum(success) OVER c AS DOUBLE) / sum(attempts) OVER c AS cell_rate, CASE WHEN sum(success) OVER b > 0 THEN CAST(sum(won) OVER b AS DOUBLE) / sum(success) OVER b ELSE 25.0 END AS ticket,
+  sum(success) OVER c AS cs, sum(won) OVER c AS cw FROM g WINDOW c AS (PARTITION BY rpgt, currency, bank), b AS (PARTITION BY currency, bank))
+SELECT rpgt, currency, bank, gateway, attempts, success, round(gateway_rate, 6) AS gateway_rate, round(cell_rate, 6) AS cell_rate, round(ticket, 4) AS ticket, round(CASE WHEN cs > 0 THEN CAST(cw AS DOUBLE) / cs ELSE ticket END, 4) AS type_ticket FROM s""")
+def impact_base_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and tickets of the last thirty days, on three levels from one tally."""
+    a = attempts(spark, sf_dir, datetime.date(1998, 8, 2), datetime.date(1998, 9, 1))
+    found = rp.base_metrics(a, datetime.date(1998, 8, 31))
+    return rounded(rounded(found, 6, "gateway_rate", "cell_rate"), 4, "ticket", "type_ticket")
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, p AS (SELECT rpgt, count(*) * (30.0 / 20) AS projected FROM attempts WHERE day BETWEEN DATE '1998-06-01' AND DATE '1998-06-20' AND rpgt <> '4-NOT SPECIFIED' GROUP BY rpgt),
+k(rpgt, less) AS (VALUES ('1-URGENT', 50.0), ('2-HIGH', 0.0), ('4-NOT SPECIFIED', 0.0), ('5-LOW', 100000.0)) SELECT rpgt, CAST(greatest(coalesce(round_even(projected, 0), 0) - less, 0) AS BIGINT) AS units FROM k LEFT JOIN p USING (rpgt)""")
+def forecast_month_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month 0 by type: the projection in whole units, less agreed amounts, never below 0."""
+    a = attempts(spark, sf_dir, datetime.date(1998, 6, 1), datetime.date(1998, 6, 21)).where("rpgt <> '4-NOT SPECIFIED'")
+    p = a.groupBy("rpgt").agg((F.count(F.lit(1)) * 1.5).alias("projected"))
+    return rp.month_filled(p, ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"], {"1-URGENT": 50.0, "5-LOW": 100_000.0})

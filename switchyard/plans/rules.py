@@ -167,3 +167,11 @@ def rules_template_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POOLED_SQL} SELECT rpgt, count(*) AS pools, max(priority) AS top FROM pools GROUP BY rpgt")
 def rules_pool_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pooled(spark, sf_dir).groupBy("rpgt").agg(F.count(F.lit(1)).alias("pools"), F.max("priority").alias("top"))
+
+
+@query(f"WITH {TEMPLATE_SQL} SELECT {_SUB}, gateway, round(CAST(units AS DOUBLE) / sum(units) OVER (PARTITION BY {_SUB}), 6) AS share FROM sheet WHERE units > 0 AND rpgt <> '3-MEDIUM'")
+def rules_of_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template's sheet read back as rules; one type is left to its actuals."""
+    names = [f"gw_{k}" for k in range(10)]
+    sheet = te.wide(_sheet(spark, sf_dir).select(*SUB, "gateway", "units"), SUB, names)
+    return te.shares_of(sheet.where("rpgt <> '3-MEDIUM'"), SUB, names).withColumn("share", F.round("share", 6))
