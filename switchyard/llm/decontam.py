@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm.bitmap import bitmap, held
 from switchyard.llm.scratch import stored
-from switchyard.llm.text import WordHashes, kept, mixed, shingles, texts
+from switchyard.llm.text import WordHashes, kept, mixed, shingles, sliced, texts
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Containment = Contai
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, r = kept("words", WordHashes), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches, 1):
             signs_, own = [], []
             for text in texts(batch.column(1)):
                 some = np.concatenate([shingles(text, cache, w) for w in widths]) if widths else np.zeros(0, np.uint64)
@@ -106,6 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Containment = Contai
                 own.append((some if len(first) else first).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(r, r + len(own))), batch.column(0), pa.array(signs_, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], names=["r", "doc_id", "signs", "own"])
             r += len(own)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = stored(rows.mapInArrow(run, "r long, doc_id long, signs array<long>, own array<long>"), "scan")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm.labelled import labels_of, logistic, remainder
 from switchyard.llm.scratch import stored
-from switchyard.llm.text import kept, texts
+from switchyard.llm.text import kept, sliced, texts
 
 MARKS = b".,!?;:|#*$%&<>\"'()[]{}@^~`=_/\\+-"
 TAIL = b" \x01every window of a text ends alike\x02"  # without it, matches near a window's end are not found
@@ -223,10 +223,11 @@ def toxicity(docs: DataFrame, model: Model, p: Distance = Distance()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances, w = kept(("windows", hash(model), p.level), lambda: Windows(model.toxic, model.ordinary, p.level)), np.array(model.weights)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             x = np.array([features(t, distances, p) for t in texts(batch.column(1))], dtype=float).reshape(-1, len(w) - 1)
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(x[:, 4])], names=["doc_id", "score", "predicted", "top_distance"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, top_distance double")
 
