@@ -102,16 +102,15 @@ def tails(volume: DataFrame, rates: DataFrame, curves: DataFrame, factors: DataF
     cohort of age T appears at (m, T+m) with factor * curve.  A month's shortfall against an average month is carried to
     the next month and age.  ``days``: m, days (six rows).
     """
-    zero = curves.where("t = 0").select(*keys, F.col("pct").alias("c0"))
     curves = curves.select(*keys, "t", "pct")
-    c = curves.join(zero, list(keys))
+    c = curves.withColumn("c0", F.max(F.when(F.col("t") == 0, F.col("pct"))).over(Window.partitionBy(*keys)))  # ten ages
     new = volume.join(rates, list(keys)).join(c, list(keys)).select(*keys, (F.col("m") + F.col("t")).cast("int").alias("m"), "t", F.when(F.col("c0") > 0, F.col("trx") * F.col("rate0") / F.col("c0") * F.col("pct")).when(F.col("t") == 0, F.col("trx") * F.col("rate0")).otherwise(0.0).alias("raw"))
     old = factors.join(curves, list(keys)).where("t >= age").select(*keys, (F.col("t") - F.col("age")).cast("int").alias("m"), "t", (F.col("factor") * F.col("pct")).alias("raw"))
     raw = new.where(F.col("m") < MONTHS).unionByName(old.where(F.col("m") < MONTHS)).groupBy(*keys, "m", "t").agg(F.sum("raw").alias("raw"))
     flexed = raw.join(F.broadcast(days.select("m", (F.col("days") / AVERAGE_MONTH).alias("flex"))), "m")
-    here = flexed.select(*keys, "m", "t", (F.col("raw") * F.col("flex")).alias("risk"))
-    carried = flexed.select(*keys, (F.col("m") + 1).alias("m"), (F.col("t") + 1).alias("t"), (F.col("raw") * (1 - F.col("flex"))).alias("risk")).where((F.col("m") < MONTHS) & (F.col("t") < AGES))
-    return here.unionByName(carried).groupBy(*keys, "m", "t").agg(F.sum("risk").alias("risk"))
+    part = lambda step, much: F.struct((F.col("m") + step).alias("m"), (F.col("t") + step).alias("t"), (F.col("raw") * much).alias("risk"))
+    both = flexed.select(*keys, F.explode(F.array(part(0, F.col("flex")), part(1, 1 - F.col("flex")))).alias("x")).select(*keys, "x.*")
+    return both.where((F.col("m") < MONTHS) & (F.col("t") < AGES)).groupBy(*keys, "m", "t").agg(F.sum("risk").alias("risk"))
 
 
 def waterfall_shares(future: DataFrame, history: DataFrame, key: str = "prof") -> DataFrame:

@@ -129,7 +129,7 @@ TAILS_SQL, TAILS_B_SQL = RISK_SQL + _TAILS, RISK_B_SQL + _TAILS
 
 def risk_tails(h: DataFrame, scheme: str = "a") -> DataFrame:
     spark, keys, risk = h.sparkSession, ["rpgt", "currency"], risk_of(h, scheme)
-    curves = fc.decay_curve(risk, keys)
+    curves = written(fc.decay_curve(risk, keys), "curves")  # used several times; ten rows for each key
     sold = volume(h).groupBy(*keys, "m").agg(F.sum("trx").alias("trx"))
     days = spark.createDataFrame([(m, float(d)) for m, d in enumerate(DAYS)], "m int, days double")
     return fc.tails(sold, fc.base_rate(risk, txn_history(h), keys), curves, fc.extrapolation(risk, curves, keys), keys, days)

@@ -256,6 +256,20 @@ def test_forecasts_scan_the_lines_once(spark, tmp_path):
         assert "l_shipdate" not in plan  # all of it comes from the written history
 
 
+def test_plans_scan_the_lines_once(spark):
+    from pathlib import Path
+
+    from switchyard import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no tables")
+    for name in ("rates_shrunk_success", "split_softmax", "effect_water_filled", "effect_respilled", "rates_refitted", "rates_backed_off", "impact_evaluated", "forecast_rescued", "allocation_after", "allocation_from_sheets", "rules_template", "projection_candidates"):
+        plan = catalogue.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        scans = sum("Relation [" in line and "l_shipdate" in line for line in plan.splitlines())
+        assert scans <= (2 if name == "rules_template" else 1), (name, scans)  # the template also reads where attempts came from
+
+
 def test_clusters_keep_the_target(spark):
     kinds = [np.array(x) for x in ((0.9, 0.1, 0.0), (0.1, 0.8, 0.1), (0.0, 0.2, 0.8))]
     rows = [("t", f"b{k:02d}", f"g{i}", float(v), float(10 + k)) for k in range(24) for i, v in enumerate(kinds[k % 3])] + [("u", "b00", "g0", 1.0, 5.0)]
