@@ -231,3 +231,8 @@ def gateway_columns(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
     """Columns of a wide template that hold gateways' shares: those that are not keys, by name without regard to case."""
     taken = {k.lower() for k in keys}
     return [c for c in columns if c.lower() not in taken and not c.startswith("_")]
+
+
+def scheme_code(scheme: Column) -> Column:
+    """``vi`` for the first scheme (and where none is named), ``non-vi`` for all others."""
+    return F.when(F.lower(F.trim(F.coalesce(scheme, F.lit("visa")))) == "visa", "vi").otherwise("non-vi")

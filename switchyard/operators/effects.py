@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from switchyard.functions.columns import share_of
 from switchyard.operators.relational import with_fallback, without_covered
+from switchyard.sources.shared import written
 
 DUST = 1e-12
 
@@ -118,7 +119,7 @@ def granular_projection(rows: DataFrame, shares: DataFrame, cell: Sequence[str],
     the fraction of the cohort's own month, its timing by the month it appears in, to MIDs that carried risk in the
     cohort's month; a group without such a MID stays.  What moves in equals what moves out, in every period.
     """
-    full = back_filled(rows, shares, cell)
+    full = written(back_filled(rows, shares, cell), "filled")
     group = [*cell, "period"]
     w = Window.partitionBy(*group)
     zero = full.where("t = 0").join(shares, [*cell, "mid"], "left").withColumn("prop", F.coalesce("prop", F.lit(0.0)))
@@ -133,7 +134,7 @@ def granular_projection(rows: DataFrame, shares: DataFrame, cell: Sequence[str],
     post = F.when((F.col("psum") > 0) & (F.col("total") > 0), F.col("txn") * (1 - mv) + F.col("pool") * F.col("share")).otherwise(F.col("txn"))
     carries = F.when(F.col("risk") > 0, F.col("prop")).otherwise(0.0)
     zero = zero.withColumn("txn_post", post).withColumn("_c", carries).withColumn("to", share_of("_c", group))
-    zero = zero.withColumn("part", F.when(F.col("psum") > 0, F.col("fcp1_frac")).otherwise(0.0))
+    zero = written(zero.withColumn("part", F.when(F.col("psum") > 0, F.col("fcp1_frac")).otherwise(0.0)), "age-zero")  # used three times; its size follows the keys
 
     origin = zero.select(*cell, "mid", F.col("period").alias("origin"), "part", "to")
     timing = zero.groupBy(*group).agg(F.min_by("pro_rata", "mid").alias("timing"))

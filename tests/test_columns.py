@@ -44,3 +44,9 @@ def test_aliases_that_meet_are_coalesced(spark):
     f = spark.createDataFrame([(None, "b", 1), ("a", "c", 2)], "BIN string, bank string, n int")
     out = co.normalise_columns(f, {"bank": ["bin"]})
     assert sorted(out.columns) == ["bank", "n"] and {tuple(r) for r in out.select("bank", "n").collect()} == {("b", 1), ("c", 2)}
+
+
+def test_template_columns_and_scheme_codes(spark):
+    assert co.gateway_columns(["BIN", "Currency", "gw_1", "_sheet", "GW 2"], ["bin", "currency"]) == ["gw_1", "GW 2"]
+    f = spark.createDataFrame([(" VISA ",), ("mastercard",), (None,), ("",)], "s string")
+    assert [r[0] for r in rows(f.select(co.scheme_code(F.col("s"))))] == ["vi", "non-vi", "vi", "non-vi"]
