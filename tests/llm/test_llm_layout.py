@@ -67,3 +67,15 @@ def test_shards_are_even_whole_and_gapless(spark, odd, none):
     odd_rows = shard(odd).toPandas()
     assert len(odd_rows) == odd.count() and all(sorted(s.slot) == list(range(len(s))) for _, s in odd_rows.groupby("shard"))
     assert shard(none).count() == 0
+
+
+def test_shards_of_repeated_rows_and_clashing_names(spark, odd):
+    """Rows that agree in all take a slot each; columns named like results or like the operator's own do not matter."""
+    rows = odd.select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id = 2"))
+    plain = shard(rows).toPandas()
+    clash = rows.selectExpr("doc_id", "text", "'x' AS size", "doc_id AS shard", "'h' AS h", "1 AS rows", "2 AS bytes", "text AS law", "0 AS slot")
+    found = shard(clash).toPandas()
+    key = ["doc_id", "size", "text_crc32"]
+    assert sorted(map(str, plain[key].to_numpy().tolist())) == sorted(map(str, found[key].to_numpy().tolist())) and found.columns.tolist() == plain.columns.tolist()
+    assert (found[found.doc_id == 2].groupby("shard").slot.nunique().sum()) == (found.doc_id == 2).sum() == 4
+    assert found.doc_id.isna().sum() == 1 and all(sorted(s.slot) == list(range(len(s))) for _, s in found.groupby("shard"))

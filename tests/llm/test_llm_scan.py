@@ -164,3 +164,25 @@ def test_scores_equal_an_exact_model_of_every_order(spark):
         got = sorted((r.page_id, r.score) for r in url_verdicts(frame, Ratio(**more)).collect())
         assert [k for k, _ in got] == [k for k, _ in want]
         assert max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 1e-6
+
+
+def test_verdicts_of_odd_pages(spark):
+    """Null ids, urls and repeated rows each keep their row; columns named like results do not matter; the same url has one verdict."""
+    rows = [(k, f"https://a{k % 5}.example.org/en/{k % 7}") for k in range(40)] + [(None, "http://x.com/fr/1"), (50, None), (50, None), (51, "no scheme"), (52, ""), (53, "http://x.com/fr/1"), (54, "ftp://HOST.DE?q")]
+    pages = spark.createDataFrame([(*r, "clash", "h", "p") for r in rows], "page_id long, url string, rule string, host string, path string")
+    got = url_verdicts(pages).collect()
+    assert len(got) == len(rows) and sum(r.page_id is None for r in got) == 1
+    by = {}
+    for r in got:
+        by.setdefault((r.host, r.path), set()).add((r.rule, r.verdict))
+    assert all(len(v) == 1 for v in by.values()) and {r.verdict for r in got} <= {"allow", "block"}
+    assert {(r.host, r.path) for r in got if r.page_id in (50, 51, 52)} == {("", "")} and {r.host for r in got if r.page_id == 54} == {"host.de"}
+    assert all(r.rule == "com/fr/" and r.verdict == "allow" for r in got if r.host == "x.com")
+
+
+def test_secrets_of_odd_rows(spark, odd, none):
+    """Repeated and bare rows keep their row; columns named like results do not matter; empty tables give none."""
+    want = sorted((str(r.doc_id), r.base_sha256) for r in secrets.secret_report(odd.select("doc_id", "text")).collect())
+    got = secrets.secret_report(odd.withColumn("spans", F.lit("x")).withColumn("n_hex", F.lit(5)).withColumn("p", F.lit(0))).collect()
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want and len(got) == odd.count()
+    assert secrets.secret_report(none).count() == 0 and secrets.redacted(none).columns == none.columns
