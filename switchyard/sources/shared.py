@@ -7,6 +7,8 @@ stays in the handle ``SESSION``.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,7 +54,9 @@ def folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="switchyard-"))
+        made = tempfile.mkdtemp(prefix="switchyard-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _LOCAL.append("file://" + made)
     return _LOCAL[0]
 
 
