@@ -8,7 +8,8 @@ Scale: rows with equal sets collapse to one node first, so copies never form pai
 with the bucket's hub only (linear); a hub meets its members in salted parts, its own data once in each.  What the hub
 links leave in different components of one bucket is compared in blocks of bounded size, the minority components against
 all, inside tasks that emit surviving pairs alone: first each member's best pair with a component, then, for what those
-leave apart, all.  A bucket that would take too many comparisons is split by the other buckets its members share.
+leave apart, all.  Blocks are as many as a bucket needs, whatever its size; in a large one they hold more members, so that
+signatures are copied less often.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from switchyard.llm.text import WordHashes, binary_rows, kept, mixed, shingle_se
 class NearDuplicates:
     """Parameters.  ``bands`` of ``rows`` hashes; ``hashes`` in all, compared in steps of ``batch``; ``miss``: posterior
     probability under which a candidate is pruned; ``block``: members of a bucket that meet in one task at a time;
-    ``wide``: comparisons in one bucket over which it is split; ``salts``: parts of a hub's members."""
+    ``wide``: comparisons in one bucket over which its blocks hold ``wider`` times as many (which changes no result);
+    ``salts``: parts of a hub's members."""
 
     percent: int = 75
     width: int = 5
@@ -45,6 +47,7 @@ class NearDuplicates:
     miss: float = 1e-4
     block: int = 1024
     wide: int = 1 << 26
+    wider: int = 8
     salts: int = 256
     seed: int = 11
 
@@ -213,7 +216,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDuplica
 
 
 def _across(rows: DataFrame, p: NearDuplicates, best: bool) -> DataFrame:
-    """Surviving pairs (hub, spoke) of different components within each block pair.  A pair is emitted in the first band that it shares (in every part of a split bucket).
+    """Surviving pairs (hub, spoke) of different components within each block pair.  A pair is emitted in the first band that it shares.
 
     ``best``: of a member's pairs with one component in one block, only the most similar by signature.
     """
@@ -242,7 +245,7 @@ def _across(rows: DataFrame, p: NearDuplicates, best: bool) -> DataFrame:
                     u, v = u[order], v[order]
                     top = np.append(True, (u[1:] != u[:-1]) | (comp[v[1:]] != comp[v[:-1]]))
                     u, v = u[top], v[top]
-                first = ((code[u] == code[v]).argmax(axis=1) == band[0]) | (band[0] < 0)
+                first = (code[u] == code[v]).argmax(axis=1) == band[0]
                 out.append(np.stack([np.minimum(ids[u[first]], ids[v[first]]), np.maximum(ids[u[first]], ids[v[first]])], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
@@ -276,27 +279,16 @@ def _parted(at: DataFrame, p: NearDuplicates) -> DataFrame:
     """Buckets of ``at`` (bucket, id, comp) with more than one component: main_comp, and blocks of all members (nj) and of those outside it (ni)."""
     parts = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    n_block = lambda c: F.ceil(c / F.lit(p.block)).cast("int")
     few = F.col("size") - F.col("top.n")
-    return split.select("bucket", F.col("top.comp").alias("main_comp"), n_block(F.col("size")).alias("nj"), n_block(few).alias("ni"), (few * F.col("size") > p.wide).alias("wide"))
+    room = F.when(few * F.col("size") > p.wide, p.block * p.wider).otherwise(p.block)
+    n_block = lambda c: F.ceil(c / room).cast("int")
+    return split.select("bucket", F.col("top.comp").alias("main_comp"), n_block(F.col("size")).alias("nj"), n_block(few).alias("ni"))
 
 
 def cross_pairs(members: DataFrame, comps: DataFrame, sigs: DataFrame, p: NearDuplicates, best: bool) -> DataFrame:
-    """Surviving pairs (hub, spoke) that share a bucket but not a component: in each bucket the members outside its main component against all, by blocks.
-
-    A bucket of more than ``wide`` comparisons holds many texts that are alike but not linked.  Its members meet where they
-    share a second bucket too; a pair of similarity 0.75 shares no second one with a probability of 3e-4, and that falls fast.
-    """
+    """Surviving pairs (hub, spoke) that share a bucket but not a component: in each bucket the members outside its main component against all, by blocks."""
     at = stored(members.join(comps, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp")), "members-components")
-    split = stored(_parted(at, p), "parted")
-    keep = ["bucket", "band", "id", "comp", "main_comp", "ni", "nj"]
-    here = at.join(split.where("not wide"), "bucket").select(*keep)
-    wide = at.join(split.where("wide").select("bucket"), "bucket").select("bucket", "id", "comp")
-    finer = wide.join(members.select("id", F.col("bucket").alias("other")), "id").where("other <> bucket")
-    finer = finer.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), F.lit(-1).alias("band"), "id", "comp").distinct()
-    if not split.where("wide").isEmpty():
-        finer = stored(finer, "finer")
-        here = here.unionByName(finer.join(_parted(finer, p), "bucket").select(*keep))
+    here = at.join(stored(_parted(at, p), "parted"), "bucket")
     here = here.join(sigs, "id").withColumn("main", F.col("comp") == F.col("main_comp"))
     keep = ["bucket", "band", "id", "comp", "main", "sig", "code"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
