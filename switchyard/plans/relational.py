@@ -9,7 +9,7 @@ from switchyard.functions import columns as co
 from switchyard.operators import relational as rl
 from switchyard.plans.history import banded_weights
 from switchyard.registry import query
-from switchyard.sources.tables import ATTEMPTS_SQL, attempts, table
+from switchyard.sources.tables import ATTEMPTS_SQL, attempts, sold, table
 
 # Attempts with every kind of field, from the lines' own numbers.
 FIELDS_LIST = [
@@ -152,10 +152,21 @@ def join_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS_SQL} SELECT rpgt, currency, count(DISTINCT CASE WHEN NOT success THEN order_id END) AS failed_orders, count(DISTINCT CAST(order_id AS VARCHAR) || '_' || provider) AS records,
 round(count(DISTINCT order_id) * 30.4167 / day(last_day(max(day))), 4) AS normalised, round(CAST(count(DISTINCT CASE WHEN success THEN order_id END) AS DOUBLE) / nullif(count(DISTINCT order_id), 0), 6) AS ratio FROM attempts GROUP BY ALL""")
 def aggregate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lambda c: F.count_distinct(c)
-    return attempts(spark, sf_dir).groupBy("rpgt", "currency").agg(
-        d(F.when(~F.col("success"), F.col("order_id"))).alias("failed_orders"), d(F.concat_ws("_", "order_id", "provider")).alias("records"),
-        F.round(d("order_id") * co.month_factor(F.max("day")), 4).alias("normalised"), F.round(F.try_divide(d(F.when(F.col("success"), F.col("order_id"))), d("order_id")), 6).alias("ratio"))
+    """Lines become one row for each order before they meet it, so no row is copied for a count and no set is held.
+
+    The partitions are as many as the lines ask for (their number stands in the files' footers), so a task's memory stays as it is.
+    """
+    last, some = F.max("day").alias("day"), lambda c: F.max(c).alias(c)
+    success = F.col("l_returnflag") != "R"
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", F.to_date("l_shipdate").alias("day"), success.alias("success"), (~success).alias("failed"))
+    n_parts = max(1, -(-table(spark, sf_dir, "lineitem").count() // 250_000))
+    records = lines.repartition(n_parts, "l_orderkey").groupBy("l_orderkey", "l_linestatus").agg(some("success"), some("failed"), last)
+    records = records.groupBy("l_orderkey").agg(some("success"), some("failed"), F.count("l_linestatus").alias("records"), last)
+    joined = records.join(sold(spark, sf_dir).repartition(n_parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = joined.groupBy(F.col("o_orderpriority").alias("rpgt"), F.col("c_mktsegment").alias("currency"), F.col("l_orderkey").alias("order_id")).agg(some("success"), some("failed"), some("records"), last)
+    n, having = F.count("order_id"), lambda c: F.count(F.when(F.col(c), F.col("order_id")))
+    return orders.groupBy("rpgt", "currency").agg(
+        having("failed").alias("failed_orders"), F.sum("records").alias("records"), F.round(n * co.month_factor(F.max("day")), 4).alias("normalised"), F.round(F.try_divide(having("success"), n), 6).alias("ratio"))
 
 
 @query("""WITH v AS (SELECT user_id, event_type AS e, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, e) AS k FROM v)

@@ -16,21 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their payers: o_orderkey, o_custkey, o_orderdate, o_orderpriority, c_mktsegment, n_name, n_regionkey."""
+    orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    payers = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name", "n_regionkey")
+    return orders.join(payers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "c_mktsegment", "n_name", "n_regionkey")
+
+
 def attempts(spark: SparkSession, sf_dir: str, since: datetime.date | None = None, until: datetime.date | None = None) -> DataFrame:
     """Payment attempts of [since, until): day, origin, rpgt, currency, bank, gateway, provider, country, success, amount, quantity and the line's ids.
 
     Equal to ``ATTEMPTS_SQL``.  Orders meet their payers first, so lines are shuffled once; the range of days is written on the
     stored column, so the scan sees it.  The only broadcast is ``nation``, a table of 25 rows at any scale.
     """
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    lines = table(spark, sf_dir, "lineitem")
     at = lambda d: F.lit(d).cast(lines.schema["l_shipdate"].dataType)
     lines = lines.where(F.col("l_shipdate") >= at(since)) if since else lines
     lines = lines.where(F.col("l_shipdate") < at(until)) if until else lines
-    payers = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name", "n_regionkey")
-    sold = orders.join(payers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "c_mktsegment", "n_name", "n_regionkey")
     return (
-        lines.join(sold, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(sold(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.to_date("l_shipdate").alias("day"), F.to_date("o_orderdate").alias("origin"), F.col("o_orderpriority").alias("rpgt"), F.col("c_mktsegment").alias("currency"),
             F.col("n_name").alias("bank"), F.concat(F.lit("gw_"), (F.col("l_suppkey") % 10).cast("string")).alias("gateway"), F.col("l_linestatus").alias("provider"),
