@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.llm.bitmap import bitmap, held
@@ -36,7 +36,7 @@ class NearDuplicates:
     """Parameters.  ``bands`` of ``rows`` hashes; ``hashes`` in all, compared in steps of ``batch``; ``miss``: posterior
     probability under which a candidate is pruned; ``block``: members of a bucket that meet in one task at a time;
     ``wide``: comparisons in one bucket over which its blocks hold ``wider`` times as many (which changes no result);
-    ``salts``: parts of a hub's members."""
+    ``salts``: parts of a hub's members at most, one for each ``part`` members of a bucket."""
 
     percent: int = 75
     width: int = 5
@@ -49,6 +49,7 @@ class NearDuplicates:
     wide: int = 1 << 26
     wider: int = 8
     salts: int = 256
+    part: int = 64
     seed: int = 11
 
     def least_matches(self) -> list[tuple[int, int]]:
@@ -95,19 +96,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """One row per row: r (its number), doc_id, key, n_shingles, set_key (of the full set), bands (bucket of each band), sig (a byte of each hash), code (32 bits of each bucket)."""
+    """One row per row: r (its number), doc_id, key, n_shingles, set_key (of the full set), bands (bucket of each band), sig (a byte of each hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, least, r = kept("words", WordHashes), MinHashes(p), TaskContext.get().partitionId() << 33
         place = np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for batch in batches:
-            n, keys, bands, sigs, codes = [], [], [], [], []
+            n, keys, bands, sigs = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingle_set(text, cache, p.width)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if not len(s):
-                    bands.append([]), sigs.append(b""), codes.append(b"")
+                    bands.append([]), sigs.append(b"")
                     continue
                 h = least(s)
                 key = place.copy()
@@ -115,12 +116,11 @@ def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
                     key = mixed(key + column)
                 bands.append(key.view(np.int64))
                 sigs.append(((h * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes())
-                codes.append(key.astype(np.uint32).tobytes())
             rows = pa.array(np.arange(r, r + len(n)))
             r += len(n)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(codes, pa.binary())], names=["r", "doc_id", "key", "n_shingles", "set_key", "bands", "sig", "code"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["r", "doc_id", "key", "n_shingles", "set_key", "bands", "sig"])
 
-    return keyed(docs).mapInArrow(run, "r long, doc_id long, key long, n_shingles long, set_key binary, bands array<long>, sig binary, code binary")
+    return keyed(docs).mapInArrow(run, "r long, doc_id long, key long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
 def _alive(x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]], u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _alive(x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]], u: np.nd
 
 
 def _met(pairs: DataFrame, data: DataFrame, p: NearDuplicates, test: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
-    """Those of ``pairs`` (hub, spoke) whose ``data`` (id, data) pass ``test``, which takes a hub's data and those of some spokes.
+    """Those of ``pairs`` (hub, spoke, parts: in how many the hub's spokes are dealt out) whose ``data`` (id, data) pass ``test``, which takes a hub's data and those of some spokes.
 
     A hub's spokes come in salted parts, each behind one copy of the hub's data, so no hub is one task's and no data are
     copied for every pair.
@@ -145,7 +145,7 @@ def _met(pairs: DataFrame, data: DataFrame, p: NearDuplicates, test: Callable[[b
         hub, own = None, b""
         for batch in batches:
             hubs, spoke = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            ids, values, found = batch.column(3).to_numpy(), batch.column(4), []
+            ids, values, parts, found = batch.column(3).to_numpy(), batch.column(4), batch.column(5).to_numpy(), []
             heads = np.flatnonzero(~spoke).tolist()
             for at, end in zip([-1, *heads], [*heads, len(hubs)], strict=True):
                 if at >= 0:
@@ -154,20 +154,20 @@ def _met(pairs: DataFrame, data: DataFrame, p: NearDuplicates, test: Callable[[b
                 some = some[hubs[some] == hub] if len(some) else some
                 if len(some):
                     some = some[test(own, values.take(pa.array(some)).to_pylist())]
-                    found.append(np.stack([hubs[some], ids[some]]))
-            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["hub", "spoke"])
+                    found.append(np.stack([hubs[some], ids[some], parts[some]]))
+            both = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(np.int32))], names=["hub", "spoke", "parts"])
 
-    salt = F.pmod(F.xxhash64("spoke"), F.lit(p.salts)).cast("int")
-    parts = pairs.select("hub", salt.alias("salt"), "spoke")
-    spokes = parts.join(data, parts.spoke == data.id).select("hub", "salt", F.lit(True).alias("role"), "id", "data")
+    salt = F.pmod(F.xxhash64("spoke"), F.col("parts")).cast("int")
+    parts = pairs.select("hub", salt.alias("salt"), "spoke", "parts")
+    spokes = parts.join(data, parts.spoke == data.id).select("hub", "salt", F.lit(True).alias("role"), "id", "data", "parts")
     hubs = parts.select("hub", "salt").distinct()
-    hubs = hubs.join(data, hubs.hub == data.id).select("hub", "salt", F.lit(False).alias("role"), "id", "data")
-    return spokes.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(run, "hub long, spoke long")
+    hubs = hubs.join(data, hubs.hub == data.id).select("hub", "salt", F.lit(False).alias("role"), "id", "data", F.lit(0).alias("parts"))
+    return spokes.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(run, "hub long, spoke long, parts int")
 
 
 def pruned(pairs: DataFrame, sigs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Pairs (hub, spoke) that the posterior bounds leave."""
+    """Pairs (hub, spoke, parts) that the posterior bounds leave."""
     bounds = p.least_matches()
 
     def test(own: bytes, others: list[bytes]) -> np.ndarray:
@@ -191,11 +191,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, p: NearDuplicates, bits: in
                 yield pa.RecordBatch.from_arrays([some.column(2), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set_key", "data"])
 
     rows = keyed(docs).mapInArrow(run, "key long, set_key binary, data binary")
-    return rows.join(wanted, ["key", "set_key"]).select("id", "data").dropDuplicates(["id"])
+    return rows.join(wanted, ["key", "set_key"]).dropDuplicates(["key", "set_key"]).select("id", "data")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Links (a, b): pairs (hub, spoke) whose full sets have 100 * intersection >= percent * union."""
+    """Links (a, b): pairs (hub, spoke, parts) whose full sets have 100 * intersection >= percent * union."""
 
     def test(own: bytes, others: list[bytes]) -> np.ndarray:
         x, keep = np.frombuffer(own, np.uint64), []
@@ -282,19 +282,24 @@ def _parted(at: DataFrame, p: NearDuplicates) -> DataFrame:
     few = F.col("size") - F.col("top.n")
     room = F.when(few * F.col("size") > p.wide, p.block * p.wider).otherwise(p.block)
     n_block = lambda c: F.ceil(c / room).cast("int")
-    return split.select("bucket", F.col("top.comp").alias("main_comp"), n_block(F.col("size")).alias("nj"), n_block(few).alias("ni"))
+    return split.select("bucket", (F.col("size") > F.col("parts")).alias("again"), F.col("top.comp").alias("main_comp"), n_block(F.col("size")).alias("nj"), n_block(few).alias("ni"))
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame, sigs: DataFrame, p: NearDuplicates, best: bool) -> DataFrame:
-    """Surviving pairs (hub, spoke) that share a bucket but not a component: in each bucket the members outside its main component against all, by blocks."""
+def cross_pairs(members: DataFrame, comps: DataFrame, sigs: DataFrame, p: NearDuplicates, best: bool) -> tuple[DataFrame, DataFrame]:
+    """Surviving pairs (hub, spoke) that share a bucket but not a component: in each bucket the members outside its main component against all, by blocks.
+
+    With them the members of those buckets where ``best`` may have left pairs out: where each is a component of its own, it left none.
+    """
     at = stored(members.join(comps, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp")), "members-components")
-    here = at.join(stored(_parted(at, p), "parted"), "bucket")
+    split = stored(_parted(at, p), "parted")
+    here = at.join(split, "bucket")
     here = here.join(sigs, "id").withColumn("main", F.col("comp") == F.col("main_comp"))
     keep = ["bucket", "band", "id", "comp", "main", "sig", "code"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     right = here.select(*keep, F.lit(False).alias("side"), spread(F.col("ni")).alias("i"), F.pmod(F.xxhash64("id"), F.col("nj")).cast("int").alias("j"))
     left = here.where("not main").select(*keep, F.lit(True).alias("side"), F.pmod(F.xxhash64("id"), F.col("ni")).cast("int").alias("i"), spread(F.col("nj")).alias("j"))
-    return stored(_across(left.unionByName(right), p, best).distinct(), "cross-survivors")
+    again = at.join(split.where("again").select("bucket"), "bucket", "left_semi").select("bucket", "band", "id")
+    return stored(_across(left.unionByName(right), p, best).distinct().withColumn("parts", F.lit(p.salts)), "cross-survivors"), again
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,14 +313,16 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _signed(base: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """(id, sig, code) of the rows ``ids``.  A bitmap keeps most others out of the shuffle; the join is exact."""
+    """(id, sig, code: 32 bits of each bucket) of the rows ``ids`` of ``base``, all of which have bands.  A bitmap keeps most others out of the shuffle; the join is exact."""
     packed = base.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("k")), "k", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(held(packed.value, batch.column(0).to_numpy()))).select(["id", "sig", "code"])
+            some = batch.filter(pa.array(held(packed.value, batch.column(0).to_numpy())))
+            codes = some.column("bands").flatten().to_numpy().astype("<u4").reshape(some.num_rows, -1) if some.num_rows else []
+            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("sig"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "sig", "code"])
 
-    rows = base.select(F.xxhash64("r").alias("k"), F.col("r").alias("id"), "sig", "code").mapInArrow(run, "id long, sig binary, code binary")
+    rows = base.select(F.xxhash64("r").alias("k"), F.col("r").alias("id"), "sig", "bands").mapInArrow(run, "id long, sig binary, code binary")
     return rows.join(ids, "id", "left_semi")
 
 
@@ -325,19 +332,24 @@ def classed(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     full = base.where("n_shingles > 0")
     nodes = full.groupBy("set_key").agg(F.min(F.struct("r", "key")).alias("x"), F.min("doc_id").alias("doc"), F.min_by("r", F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("lead"))
     nodes = stored(nodes.select("set_key", F.col("x.r").alias("id"), "x.key", "doc", "lead"), "nodes")  # one for each distinct set; ``id`` is a row that has it
-    bands = stored(full.select(F.col("r").alias("id"), "bands").join(nodes.select("id"), "id", "left_semi"), "bands")
-    rows = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
+    bands = full.select(F.col("r").alias("id"), "bands").join(nodes.select("id"), "id", "left_semi")
+    rows = bands.select("id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")  # before the window, which else has its order shuffled too
     order = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(4))).alias("o"), F.col("id").alias("hub"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("least")).where("size > 1").select("bucket", F.col("least.hub").alias("hub"))
-    members = stored(rows.join(buckets, "bucket"), "members")
-    sigs = stored(_signed(base, members.select("id").distinct()), "members-signatures")
-
-    spokes = members.where("id <> hub").select("hub", F.col("id").alias("spoke")).distinct()
+    whole = Window.partitionBy("bucket")
+    rows = rows.select("*", F.min(order).over(whole)["hub"].alias("hub"), F.count(F.lit(1)).over(whole).alias("size"))
+    members = stored(rows.where("size > 1"), "members")
+    sigs = stored(_signed(full, members.select("id").distinct()), "members-signatures")
+
+    spokes = members.where("id <> hub").groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"), F.max("size").alias("n"))
+    n_parts = F.least(F.lit(p.salts), F.ceil(F.col("n") / p.part)).cast("int")
+    spokes = stored(spokes.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("spoke"), n_parts.alias("parts")), "spokes")
+    members = members.where("size > 2").select("bucket", "band", "id")  # the pair of two is a hub and its spoke
     links = stored(verified(stored(pruned(spokes, sigs, p), "survivors"), docs, nodes, p), "hub-links")
     comps = components(links)
 
     for best in (True, False):  # most components merge over their best pairs; what then is left apart is compared in full
-        comps = merged(comps, stored(verified(cross_pairs(members, comps, sigs, p, best), docs, nodes, p), "cross-links"))
+        pairs, members = cross_pairs(members, comps, sigs, p, best)
+        comps = merged(comps, stored(verified(pairs, docs, nodes, p), "cross-links"))
 
     named = stored(nodes.join(comps, "id", "left").select("set_key", "doc", "lead", F.coalesce("comp", "id").alias("comp")), "named")
     heads = named.groupBy("comp").agg(F.min("doc").alias("component_id"), F.min_by("lead", F.struct(F.col("doc").isNull(), "doc", "lead")).alias("head"))
