@@ -1,7 +1,9 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from switchyard.llm.packing import Encoder, Packing, hilbert, pack
@@ -54,6 +56,45 @@ def test_ids_are_those_of_the_tokenizer_on_any_letters():
         assert encoder.encode([x.encode() for x in some]) == encoder.direct(some)
 
 
+def counted(encoder: Encoder) -> list[list[str]]:
+    """The words of every string that goes to the tokenizer from now on."""
+    seen, direct = [], encoder.direct
+    encoder.direct = lambda some: seen.extend(x.split() for x in some) or direct(some)
+    return seen
+
+
+def test_words_are_encoded_together_and_the_signs_after_them_apart():
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join(w) for w in itertools.product("aeiouéà", "bcdstß", "lmnr", "éao")]
+    some = [f"{w} {w}, {w}*** {w.upper()},###" for w in words]
+    plain = encoder.direct(some)
+    seen = counted(encoder)
+    assert encoder.encode([x.encode() for x in some]) == plain and len(seen) < 10 and encoder.encode([x.encode() for x in some]) == plain and len(seen) < 10
+
+
+def test_common_words_are_not_forgotten_with_rare_ones():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, direct = Encoder(path, limit=1000), Encoder(path).direct
+    common = [f"{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst"]
+    seen = counted(encoder)
+    for k in range(12):
+        rare = ["uvwxyzäöüéèç"[k] + "".join(w) for w in itertools.product("abcdefgh", "abcdefgh", "klmno")]
+        some = [" ".join(common + rare), "y" * 5000 + str(k)]
+        assert encoder.encode([x.encode() for x in some]) == direct(some)
+    assert sum(words.count(common[0]) for words in seen) == 1
+    assert len(encoder.pieces) <= 1000 and max(map(len, encoder.pieces.to_pylist())) <= 64
+
+
+def test_letters_of_the_fast_way_and_the_signs_after_them():
+    """Every sign after each letter of the class and its neighbours, letters in pairs, and nulls beside a special token's name."""
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x61, 0x460)) if c.isprintable()]
+    some = [a + b for a in letters for b in map(chr, range(33, 127))] + [a + b + "," for a in letters[::5] for b in letters[::7]]
+    assert encoder.encode([x.encode() for x in some]) == encoder.direct(some)
+    odd_texts = [None, "a <|endoftext|> b", "", "a. b", None]
+    assert encoder.encode_column(pa.array(odd_texts, pa.string())).to_pylist() == encoder.direct([x or "" for x in odd_texts])
+
+
 def test_shards_are_even_whole_and_gapless(spark, odd, none):
     rng = np.random.default_rng(1)
     rows = [(k, "hot text of a third of all rows" if k % 3 == 0 else f"{k} " + "x" * int(rng.integers(10, 60))) for k in range(6000)]
